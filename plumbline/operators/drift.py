@@ -132,9 +132,19 @@ def numeric_psi(
 
     A feature that is present but has no values scores 0.0; an absent one gives no row.
     """
+    return numeric_psi_of(label_counts(df, numeric_labels(df, profile), keys), profile, cfg, keys)
+
+
+def numeric_labels(df: DataFrame, profile: ReferenceProfile) -> dict[str, Column]:
     present = {n: e for n, e in profile.edges.items() if n in df.columns}
     values = numeric_columns(df, list(present))
-    counts = label_counts(df, {n: bin_label(values[n], e) for n, e in present.items()}, keys)
+    return {n: bin_label(values[n], e) for n, e in present.items()}
+
+
+def numeric_psi_of(
+    counts: DataFrame, profile: ReferenceProfile, cfg: DriftConfig, keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """The same from (keys..., feature, label, n) counts."""
     psi = _psi_rows(counts, profile.shares, keys)
     return _psi_metric(psi, "psi", cfg.psi_medium, psi_severity(F.col("psi"), cfg), keys)
 
@@ -155,8 +165,17 @@ def output_psi(
     keys: tuple[str, ...] = (),
 ) -> DataFrame:
     """Stability index of the predicted label against the reference label shares."""
-    label = bin_label(col(prediction).cast("double"), OUTPUT_EDGES)
-    counts = label_counts(df, {"prediction": label}, keys)
+    return output_psi_of(label_counts(df, output_labels(prediction), keys), profile, cfg, keys)
+
+
+def output_labels(prediction: str = "prediction") -> dict[str, Column]:
+    return {"prediction": bin_label(col(prediction).cast("double"), OUTPUT_EDGES)}
+
+
+def output_psi_of(
+    counts: DataFrame, profile: ReferenceProfile, cfg: DriftConfig, keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """The same from (keys..., feature, label, n) counts."""
     psi = _psi_rows(counts, {"prediction": output_reference(profile.output)}, keys)
     severity = psi_severity(F.col("psi"), cfg, output=True)
     return _psi_metric(psi, "output_dist", cfg.output_psi, severity, keys)
@@ -173,10 +192,19 @@ def categorical_chi2(
     statistic equals (A - (1 - r)^2 S) / r, where A is the statistic before
     rescaling; that needs one pass over the cells instead of two.
     """
+    return categorical_chi2_of(label_counts(df, categorical_labels(df, profile), keys), profile, cfg, keys)
+
+
+def categorical_labels(df: DataFrame, profile: ReferenceProfile) -> dict[str, Column]:
+    return {n: category_label(n) for n in profile.categorical if n in df.columns}
+
+
+def categorical_chi2_of(
+    counts: DataFrame, profile: ReferenceProfile, cfg: DriftConfig, keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """The same from (keys..., feature, label, n) counts."""
     names = profile.categorical
-    present = [n for n in names if n in df.columns]
     key_cols = [col(k) for k in keys]
-    counts = label_counts(df, {n: category_label(n) for n in present}, keys)
     # Both uses of ``counts`` share one shuffle of the log.
     totals = counts.groupBy(*key_cols, "feature").agg(F.sum("n").alias("total"))
     if not keys:

@@ -138,12 +138,12 @@ def bins_table(spark: SparkSession, profile: ReferenceProfile) -> DataFrame:
 
 
 def stats_table(spark: SparkSession, profile: ReferenceProfile) -> DataFrame:
-    """(feature, n, mean, min, max, edges) of each numeric feature."""
+    """(feature, position, n, mean, min, max, edges) of each numeric feature."""
     rows = [
-        (name, s["n"], s["mean"], s["min"], s["max"], [float(x) for x in profile.edges[name]])
-        for name, s in profile.stats.items()
+        (name, i, s["n"], s["mean"], s["min"], s["max"], [float(x) for x in profile.edges[name]])
+        for i, (name, s) in enumerate(profile.stats.items())
     ]
-    schema = "feature string, n bigint, mean double, min double, max double, edges array<double>"
+    schema = "feature string, position int, n bigint, mean double, min double, max double, edges array<double>"
     return local_table(spark, rows, schema)
 
 

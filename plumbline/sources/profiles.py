@@ -85,7 +85,7 @@ def load_active(spark: SparkSession, root: str, model_name: str) -> ReferencePro
     bins = _part(spark, root, BINS, pid)
     outputs = _part(spark, root, OUTPUTS, pid)
     edges, facts, shares = {}, {}, {}
-    for r in stats.collect() if stats is not None else []:
+    for r in stats.orderBy("position").collect() if stats is not None else []:
         edges[r["feature"]] = list(r["edges"])
         facts[r["feature"]] = {k: r[k] for k in ("n", "mean", "min", "max")}
     for r in bins.orderBy("feature", "bin").collect() if bins is not None else []:

@@ -7,13 +7,12 @@ import csv
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.functions.columns import col
 from plumbline.operators.cleaning import strip_names
 
 # Columns of the bank marketing campaign file, in file order.
-BANK_SCHEMA = T._parse_datatype_string(
+BANK_SCHEMA = (
     "age bigint, job string, marital string, education string, default string, housing string, loan string, "
     "contact string, month string, day_of_week string, duration bigint, campaign bigint, pdays bigint, "
     "previous bigint, poutcome string, `emp.var.rate` double, `cons.price.idx` double, `cons.conf.idx` double, "
@@ -32,7 +31,7 @@ def sniff_delimiter(spark: SparkSession, path: str, candidates: str = ";,\t|") -
     return max(candidates, key=lambda d: len(next(csv.reader([line[0]], delimiter=d))))
 
 
-def load_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def load_delimited(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A delimited file with a header. The schema is explicit; without one every column is text."""
     reader = spark.read.option("header", True).option("sep", sniff_delimiter(spark, path))
     if schema is not None:

@@ -1,0 +1,6 @@
+"""Queries over the given tables, one module per area."""
+
+from plumbline.workloads import drift  # noqa: F401
+from plumbline.workloads.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
