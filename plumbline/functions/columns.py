@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,15 +36,22 @@ def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.NumericType, T.BooleanType))
 
 
+def literal(value: float, dtype: str = "double") -> str:
+    """A number as SQL text that reads back to the same value."""
+    text = {math.inf: "Infinity", -math.inf: "-Infinity"}.get(value, repr(value))
+    return f"{dtype}('{text}')"
+
+
 def numeric_value(name: str, dtype: T.DataType) -> Column:
     """The column as a double, with unparsable text and NaN turned to null."""
+    value = quoted(name)
     if isinstance(dtype, T.StringType):
-        value = col(name).try_cast("double")
+        value = f"try_cast({value} AS double)"
     elif isinstance(dtype, T.BooleanType):
-        value = col(name).cast("int").cast("double")
-    else:
-        value = col(name).cast("double")
-    return F.when(~F.isnan(value), value)
+        value = f"cast(cast({value} AS int) AS double)"
+    elif not isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.expr(f"cast({value} AS double)")
+    return F.expr(f"nullif(cast({value} AS double), double('NaN'))")
 
 
 def require(df: DataFrame, *names: str) -> None:

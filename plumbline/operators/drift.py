@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import ALERTING, CLIP, CONTRACT_COLOUR, SEVERITY_RANK, DriftConfig
-from plumbline.functions.columns import col
+from plumbline.functions.columns import col, literal
 from plumbline.functions.stats import chi2_sf, psi_term
 from plumbline.functions.text import version_number
 from plumbline.operators.profile import (
     OUTPUT_EDGES,
+    Binned,
     ReferenceProfile,
-    bin_label,
     category_label,
     label_counts,
     numeric_columns,
@@ -86,9 +86,11 @@ def _psi_rows(
         ).alias("by_bin"),
         F.sum(F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0)).alias("total"),
     )
-    literal = _lookup({name: F.array(*[F.lit(x) for x in s]) for name, s in shares.items()})
+    literals = _lookup(
+        {n: F.expr(f"array({', '.join(literal(x) for x in s)})") for n, s in shares.items()}
+    )
     position = _lookup({name: F.lit(i) for i, name in enumerate(shares)})
-    with_shares = per_feature.withColumn("ref_shares", F.try_element_at(literal, F.col("feature")))
+    with_shares = per_feature.withColumn("ref_shares", F.try_element_at(literals, F.col("feature")))
     psi = F.aggregate(
         F.sequence(F.lit(0), F.size("ref_shares") - 1),
         F.lit(0.0),
@@ -135,10 +137,10 @@ def numeric_psi(
     return numeric_psi_of(label_counts(df, numeric_labels(df, profile), keys), profile, cfg, keys)
 
 
-def numeric_labels(df: DataFrame, profile: ReferenceProfile) -> dict[str, Column]:
+def numeric_labels(df: DataFrame, profile: ReferenceProfile) -> dict[str, Binned]:
     present = {n: e for n, e in profile.edges.items() if n in df.columns}
     values = numeric_columns(df, list(present))
-    return {n: bin_label(values[n], e) for n, e in present.items()}
+    return {n: Binned(values[n], e) for n, e in present.items()}
 
 
 def numeric_psi_of(
@@ -168,8 +170,8 @@ def output_psi(
     return output_psi_of(label_counts(df, output_labels(prediction), keys), profile, cfg, keys)
 
 
-def output_labels(prediction: str = "prediction") -> dict[str, Column]:
-    return {"prediction": bin_label(col(prediction).cast("double"), OUTPUT_EDGES)}
+def output_labels(prediction: str = "prediction") -> dict[str, Binned]:
+    return {"prediction": Binned(col(prediction).cast("double"), OUTPUT_EDGES)}
 
 
 def output_psi_of(

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import col, is_numeric, local_table, numeric_value
+from plumbline.functions.columns import col, is_numeric, literal, local_table, numeric_value
 from plumbline.operators.ranks import exact_quantiles
 
 DECILES = [k * 0.1 for k in range(10)] + [1.0]
@@ -73,16 +73,18 @@ def decile_edges(
     return edges, stats
 
 
-def bin_label(value: Column, edges: list[float]) -> Column:
-    """Bin number as text; the outer bins are open, null stays null.
+@dataclass(frozen=True)
+class Binned:
+    """A numeric value labelled by its bin number; the outer bins are open, null stays null."""
 
-    Labels are literals, so binning is a chain of comparisons in generated code.
-    """
-    inner = edges[1:-1]
-    label = F.when(value.isNull(), F.lit(None).cast("string"))
-    for i, edge in enumerate(inner):
-        label = label.when(value < F.lit(edge), F.lit(str(i)))
-    return label.otherwise(F.lit(str(len(inner))))
+    value: Column
+    edges: list[float]
+
+    def label(self, name: str) -> Column:
+        """Labels are literals, so binning is a chain of comparisons in generated code."""
+        inner = self.edges[1:-1]
+        branches = " ".join(f"WHEN {name} < {literal(e)} THEN '{i}'" for i, e in enumerate(inner))
+        return F.expr(f"CASE WHEN {name} IS NULL THEN NULL {branches} ELSE '{len(inner)}' END")
 
 
 def category_label(name: str) -> Column:
@@ -90,14 +92,23 @@ def category_label(name: str) -> Column:
     return F.coalesce(col(name).cast("string"), F.lit("nan"))
 
 
-def label_counts(df: DataFrame, labels: dict[str, Column], keys: tuple[str, ...] = ()) -> DataFrame:
+def label_counts(
+    df: DataFrame, labels: dict[str, Column | Binned], keys: tuple[str, ...] = ()
+) -> DataFrame:
     """(keys..., feature, label, n) for every label expression, in one scan.
 
     One unpivot and one map-side combined aggregation serve all features, so a
     hot category or bin never travels as rows.
     """
     names = {f"f{i}": name for i, name in enumerate(labels)}
-    wide = df.select(*[col(k) for k in keys], *[labels[n].alias(k) for k, n in names.items()])
+    parts = {k: labels[n] for k, n in names.items()}
+    values = [(p.value if isinstance(p, Binned) else p).alias(k) for k, p in parts.items()]
+    wide = df.select(*[col(k) for k in keys], *values)
+    # A second projection, so that each value is computed once for all its bins.
+    wide = wide.select(
+        *[col(k) for k in keys],
+        *[(p.label(k) if isinstance(p, Binned) else F.col(k)).alias(k) for k, p in parts.items()],
+    )
     counted = (
         wide.unpivot([col(k) for k in keys], list(names), "series", "label")
         .groupBy(*[col(k) for k in keys], "series", "label")
@@ -116,7 +127,7 @@ def bin_shares(df: DataFrame, edges: dict[str, list[float]]) -> dict[str, list[f
     At most ten numbers per feature come to the driver.
     """
     values = numeric_columns(df, list(edges))
-    counts = label_counts(df, {n: bin_label(values[n], e) for n, e in edges.items()})
+    counts = label_counts(df, {n: Binned(values[n], e) for n, e in edges.items()})
     found: dict[str, dict[int, int]] = {n: {} for n in edges}
     for row in counts.where(F.col("label").isNotNull()).collect():
         found[row["feature"]][int(row["label"])] = row["n"]

@@ -23,13 +23,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import or_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import literal, local_table
+
 # Sketch size, and how far around a wanted rank the cuts are laid (as a fraction
 # of the rows; well above the rank error of a sketch of this size).
 SKETCH_K = 4096
@@ -67,10 +67,6 @@ def _bucketed(wide: DataFrame, cuts: dict[str, list]) -> DataFrame:
     return placed.select(F.inline(F.array(*cells))).where(F.col("v").isNotNull())
 
 
-def _any(conditions) -> Column:
-    return reduce(or_, conditions)
-
-
 def values_at_ranks(
     df: DataFrame,
     columns: dict[str, Column],
@@ -147,32 +143,27 @@ def values_at_ranks(
 
     # The value intervals are literals, so the scan can skip row groups by them.
     series = sorted({k for k, _ in open_ranks})
-    nearby = _any(F.col(k).between(F.lit(lo), F.lit(hi)) for (k, _), (lo, hi) in bounds.items())
-    in_bucket = _any(
-        (F.col("series") == k) & F.col("bucket").isin(*[b for s, b in open_ranks if s == k]) for k in series
+    nearby = " OR ".join(
+        f"{k} BETWEEN {literal(lo, dtype)} AND {literal(hi, dtype)}" for (k, _), (lo, hi) in bounds.items()
     )
+    wanted_rows = [(k, b, r - offset[(k, b)]) for (k, b), rs in open_ranks.items() for r in rs]
+    # A few targets per column.
+    targets = F.broadcast(local_table(df.sparkSession, wanted_rows, "series string, bucket int, target bigint"))
+    intervals = local_table(df.sparkSession, list(open_ranks), "series string, bucket int")
     running = Window.partitionBy("series", "bucket").orderBy("v")
     counted = (
-        _bucketed(wide.select(*series).where(nearby), {k: cuts[k] for k in series})
-        .where(in_bucket)
+        _bucketed(wide.select(*series).where(F.expr(nearby)), {k: cuts[k] for k in series})
+        .join(F.broadcast(intervals), ["series", "bucket"], "left_semi")
         .groupBy("series", "bucket", "v")
         .agg(F.count("v").alias("n"))
         .withColumn("below", F.sum("n").over(running) - F.col("n"))
     )
-    local = {spot: [r - offset[spot] for r in rs] for spot, rs in open_ranks.items()}
-    hit = _any(
-        (F.col("series") == k)
-        & (F.col("bucket") == b)
-        & _any((F.col("below") <= r) & (F.col("below") + F.col("n") > r) for r in rs)
-        for (k, b), rs in local.items()
-    )
-    for row in counted.where(hit).collect():
+    hits = counted.join(targets, ["series", "bucket"]).where("below <= target AND target < below + n")
+    for row in hits.select("series", "bucket", "v", "below", "target").collect():
         spot = (row["series"], row["bucket"])
-        for r in local[spot]:
-            if row["below"] <= r < row["below"] + row["n"]:
-                found = out[keys[spot[0]]]
-                found.values[r + offset[spot]] = row["v"]
-                found.below[r + offset[spot]] = offset[spot] + row["below"]
+        found = out[keys[spot[0]]]
+        found.values[row["target"] + offset[spot]] = row["v"]
+        found.below[row["target"] + offset[spot]] = offset[spot] + row["below"]
     return out
 
 
