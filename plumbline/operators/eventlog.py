@@ -28,8 +28,9 @@ def merged_state(log: DataFrame, keys: list[str], **names) -> DataFrame:
     )
 
 
-def state_by_id(states: DataFrame, id_: str) -> DataFrame:
-    return states.where(F.col("id") == id_)
+def states_by_id(states: DataFrame, ids: DataFrame) -> DataFrame:
+    """The states of the listed ids; unknown ids give no row."""
+    return states.join(ids.select("id"), "id", "left_semi")
 
 
 def drift_line(event: Column) -> Column:

@@ -92,33 +92,42 @@ def category_label(name: str) -> Column:
     return F.coalesce(col(name).cast("string"), F.lit("nan"))
 
 
-def label_counts(
+def long_labels(
     df: DataFrame, labels: dict[str, Column | Binned], keys: tuple[str, ...] = ()
 ) -> DataFrame:
-    """(keys..., feature, label, n) for every label expression, in one scan.
-
-    One unpivot and one map-side combined aggregation serve all features, so a
-    hot category or bin never travels as rows.
-    """
+    """(keys..., series, label): one row per input row and label expression."""
     names = {f"f{i}": name for i, name in enumerate(labels)}
     parts = {k: labels[n] for k, n in names.items()}
+    key_cols = [col(k) for k in keys]
     values = [(p.value if isinstance(p, Binned) else p).alias(k) for k, p in parts.items()]
-    wide = df.select(*[col(k) for k in keys], *values)
     # A second projection, so that each value is computed once for all its bins.
-    wide = wide.select(
-        *[col(k) for k in keys],
+    wide = df.select(*key_cols, *values).select(
+        *key_cols,
         *[(p.label(k) if isinstance(p, Binned) else F.col(k)).alias(k) for k, p in parts.items()],
     )
-    counted = (
-        wide.unpivot([col(k) for k in keys], list(names), "series", "label")
-        .groupBy(*[col(k) for k in keys], "series", "label")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    *head, (_, last) = names.items()
+    return wide.unpivot(key_cols, list(names), "series", "label")
+
+
+def feature_of(labels: dict[str, Column | Binned]) -> Column:
+    """Feature name of a ``series`` value."""
+    *head, (_, last) = [(f"f{i}", name) for i, name in enumerate(labels)]
     feature = F.lit(last)
     for series, name in reversed(head):
         feature = F.when(F.col("series") == series, F.lit(name)).otherwise(feature)
-    return counted.select(*[col(k) for k in keys], feature.alias("feature"), "label", "n")
+    return feature
+
+
+def label_counts(
+    df: DataFrame, labels: dict[str, Column | Binned], keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """(keys..., feature, label, n) for every label expression, in one scan.
+
+    One unpivot and one map-side combined aggregation serve all features, so a
+    hot category or bin never travels as rows.
+    """
+    key_cols = [col(k) for k in keys]
+    counted = long_labels(df, labels, keys).groupBy(*key_cols, "series", "label").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(*key_cols, feature_of(labels).alias("feature"), "label", "n")
 
 
 def bin_shares(df: DataFrame, edges: dict[str, list[float]]) -> dict[str, list[float]]:

@@ -20,11 +20,12 @@ from plumbline.workloads.registry import Tables, query
 def scored_events(t: Tables) -> DataFrame:
     """Events as scored records: label = click, score = k / 100 (few distinct scores)."""
     k = F.get_json_object("props", "$.k").cast("double")
-    return t.events.select("event_id", "event_type", (F.col("event_type") == "click").cast("int").alias("y"), (k / 100).alias("score"))
+    y = (F.col("event_type") == "click").cast("int")
+    return t.events.select("event_id", F.weekday("ts").alias("weekday"), y.alias("y"), (k / 100).alias("score"))
 
 
 SCORED_SQL = """
-scored AS (SELECT event_id, event_type, (event_type = 'click')::INT AS y, json_extract_string(props, '$.k')::DOUBLE / 100 AS score FROM events)"""
+scored AS (SELECT event_id, (isodow(ts) - 1)::INT AS weekday, (event_type = 'click')::INT AS y, json_extract_string(props, '$.k')::DOUBLE / 100 AS score FROM events)"""
 
 
 def scored_lines(t: Tables) -> DataFrame:
@@ -78,12 +79,11 @@ def line_auc(t: Tables) -> DataFrame:
 
 @query(
     "roc_auc_by_group",
-    f"WITH {SCORED_SQL.replace('event_type = ', 'event_type = ')}, g AS (SELECT (event_id % 7)::INT AS model, * FROM scored), {auc_sql('g', 'y', 'model')} SELECT model, round(auc, 6) AS auc FROM auc",
+    f"WITH {SCORED_SQL}, {auc_sql('scored', 'y', 'weekday')} SELECT weekday, round(auc, 6) AS auc FROM auc",
 )
 def event_auc_by_group(t: Tables) -> DataFrame:
-    """One AUC per candidate model; here the event id decides which model scored a row."""
-    rows = scored_events(t).withColumn("model", (F.col("event_id") % 7).cast("int"))
-    return rounded(roc_auc(rows, "y", "score", ("model",)), "auc")
+    """One AUC per candidate model; here the weekday stands for the model that scored a row."""
+    return rounded(roc_auc(scored_events(t), "y", "score", ("weekday",)), "auc")
 
 
 @query(
