@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
+from plumbline.sources.folders import ensure_checkpoint_folder
 
 # A key with at most this many rows is handled inside one task.
 MAX_ROWS_IN_TASK = 1_000_000
@@ -137,15 +137,6 @@ def events_since(events: DataFrame, since: Column, emitted_at: str = "emitted_at
     return events.where(since.isNull() | (col(emitted_at) > since))
 
 
-def _accepted(micros: np.ndarray, gap: int) -> np.ndarray:
-    """Positions kept from sorted times: each more than ``gap`` after the last kept one."""
-    keep, i = [], 0
-    while i < len(micros):
-        keep.append(i)
-        i = int(np.searchsorted(micros, micros[i] + gap, side="right"))
-    return np.asarray(keep, dtype=np.int64)
-
-
 def accept_jobs(
     jobs: DataFrame, key: str, time: str, tie_break: str, hours: int = 24, max_rows_in_task: int = MAX_ROWS_IN_TASK
 ) -> DataFrame:
@@ -165,34 +156,39 @@ def accept_jobs(
     # Of jobs at the very same instant only the first can be accepted.
     instants = rows.groupBy("k", "t").agg(F.min("id").alias("id"))
     sizes = instants.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    # At most rows / max_rows_in_task keys are large.
+    # At most rows / max_rows_in_task keys are large, so their list is small
+    # enough to broadcast, which also keeps their rows from being moved by key.
     large = sizes.where(F.col("n") > max_rows_in_task).select("k").persist()
     id_type = dict(rows.dtypes)["id"]
 
     def chain(groups: pd.DataFrame) -> pd.DataFrame:
         ordered = groups.sort_values("t", kind="stable")
-        return ordered.iloc[_accepted(ordered["t"].to_numpy(), gap)]
+        times, keep, i = ordered["t"].to_numpy(), [], 0
+        while i < len(times):
+            keep.append(i)
+            i = int(times.searchsorted(times[i] + gap, side="right"))
+        return ordered.iloc[keep]
 
     has_large = not large.isEmpty()
-    ordinary = instants.join(large, "k", "left_anti") if has_large else instants
+    ordinary = instants.join(F.broadcast(large), "k", "left_anti") if has_large else instants
     kept = ordinary.groupBy("k").applyInPandas(chain, schema=f"k string, t bigint, id {id_type}")
     if has_large:
-        kept = kept.unionByName(_accept_large(instants.join(large, "k", "left_semi"), gap))
+        hot = instants.join(F.broadcast(large), "k", "left_semi")
+        kept = kept.unionByName(_accept_large(hot, gap))
     return kept.select(F.col("id").alias(tie_break), F.col("k").alias(key), F.timestamp_micros("t").alias(time))
 
 
 def _accept_large(instants: DataFrame, gap: int) -> DataFrame:
-    spark = instants.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        raise ValueError("set spark.checkpoint.dir: rounds over large keys are checkpointed")
+    """Rounds over the large keys; every round is checkpointed, so plans stay short."""
+    ensure_checkpoint_folder(instants.sparkSession)
     log = instants.checkpoint()
     first = F.min_by(F.struct("t", "id"), "t").alias("f")
     latest = log.groupBy("k").agg(first).select("k", "f.t", "f.id").checkpoint()
     kept = latest
     while not latest.isEmpty():
-        last = latest.select("k", F.col("t").alias("last"))
+        # One row per large key.
+        last = F.broadcast(latest.select("k", F.col("t").alias("last")))
         later = log.join(last, "k").where(F.col("t") > F.col("last") + gap)
         latest = later.groupBy("k").agg(first).select("k", "f.t", "f.id").checkpoint()
         kept = kept.unionByName(latest)
     return kept
-

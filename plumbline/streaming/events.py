@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from plumbline.functions.columns import col
+from plumbline.operators.eventlog import accept_jobs
+from plumbline.streaming.runtime import for_each_batch, read_batches, write_batch
 
 
 def drop_repeated_events(events: DataFrame, key: str = "event_id", time: str = "created_at", delay: str = "1 day") -> DataFrame:
@@ -28,35 +25,33 @@ def rows_past_watermark(query: StreamingQuery) -> int:
     )
 
 
-def accept_jobs_stream(
-    jobs: DataFrame, key: str = "job_id", time: str = "created_at", tie_break: str = "id", hours: int = 24
-) -> DataFrame:
+def accept_jobs_each_batch(
+    jobs: DataFrame, root: str, checkpoint: str, key: str = "job_id", time: str = "created_at", tie_break: str = "id", hours: int = 24
+) -> DataStreamWriter:
     """Jobs accepted when a key is refused until ``hours`` after its last accepted job.
 
-    The time of the last accepted job is the state of a key. Jobs must arrive in
-    time order across batches; within a batch they are ordered here. The rows of
-    one key in one batch are handled together, so the size of a batch (the
-    source's rate limit) bounds what a task holds.
+    Each micro-batch runs the batch rule, which copes with keys of any size. The
+    last accepted job of every key still inside its ``hours`` is carried along
+    and takes part as the first job of its key. Batches must arrive in time
+    order. Output: ``root/accepted``; carried state: ``root/last``.
     """
-    gap = hours * 3_600_000_000
-    rows = jobs.select(
-        col(key).cast("string").alias("k"), F.unix_micros(col(time)).alias("t"), col(tie_break).cast("long").alias("id")
-    )
 
-    def accept(key: tuple[Any, ...], chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        batch = pd.concat(list(chunks)).sort_values(["t", "id"], kind="stable")
-        times = batch["t"].to_numpy()
-        keep, i = [], 0 if last is None else int(times.searchsorted(last + gap, side="right"))
-        while i < len(times):
-            keep.append(i)
-            last = int(times[i])
-            i = int(times.searchsorted(last + gap, side="right"))
-        if last is not None:
-            state.update((last,))
-        yield batch.iloc[keep][["k", "t", "id"]]
-
-    out = rows.groupBy("k").applyInPandasWithState(
-        accept, "k string, t bigint, id bigint", "last bigint", "append", GroupStateTimeout.NoTimeout
-    )
-    return out.select(F.col("id").alias(tie_break), F.col("k").alias(key), F.timestamp_micros("t").alias(time))
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(col(key).cast("string").alias(key), col(time), col(tie_break), F.lit(False).alias("seen"))
+        carried = read_batches(spark, f"{root}/last", batch_id)
+        if carried is not None:
+            last = carried.where(F.col("batch") == batch_id - 1)
+            rows = rows.unionByName(last.select(key, time, tie_break, F.lit(True).alias("seen")))
+        # Of two jobs at one instant the one already accepted comes first.
+        ordered = rows.withColumn("_tie", F.struct((~F.col("seen")).alias("fresh"), col(tie_break).alias("id")))
+        kept = accept_jobs(ordered, key, time, "_tie", hours).select(
+            key, time, F.col("_tie.id").alias(tie_break), (~F.col("_tie.fresh")).alias("seen")
+        ).persist()
+        write_batch(kept.where(~F.col("seen")).drop("seen"), f"{root}/accepted", batch_id)
+        newest = kept.groupBy(key).agg(F.max_by(F.struct(time, tie_break), time).alias("n")).select(key, "n.*")
+        end = rows.agg(F.max(time)).scalar()
+        write_batch(newest.where(col(time) + F.expr(f"interval {hours} hours") >= end), f"{root}/last", batch_id)
+        kept.unpersist()
+
+    return for_each_batch(jobs, handle, checkpoint)

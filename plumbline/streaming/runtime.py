@@ -7,8 +7,6 @@ keeps results whole when executors or the driver are lost.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,19 +18,6 @@ from plumbline.sources.tables import read_or_none
 BATCH = "batch"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's checkpoint folder.
-
-    Only a local session without that setting gets a temporary folder instead.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="plumbline-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def stream_table(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A Parquet table as a stream, with the schema of the table.
 

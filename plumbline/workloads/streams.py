@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import DriftConfig
-from plumbline.sources.tables import read_or_none
+from plumbline.sources.folders import fresh_folder
 from plumbline.streaming.drift import check_each_batch, check_windows, severity_alerts
-from plumbline.streaming.events import accept_jobs_stream, drop_repeated_events, rows_past_watermark
-from plumbline.streaming.runtime import drain, shared_folder, stream_table, to_files
+from plumbline.streaming.events import accept_jobs_each_batch, drop_repeated_events, rows_past_watermark
+from plumbline.streaming.runtime import drain, stream_table, to_files
 from plumbline.streaming.scoring import score_stream
 from plumbline.workloads.adapters import LOG_SQL, current_part, prediction_log, stamp
 from plumbline.workloads.drift import (
@@ -34,7 +34,7 @@ SELECT CASE WHEN NOT good THEN 'quarantine' WHEN p >= 0.5 THEN 'yes' ELSE 'no' E
 )
 def stream_scored_payloads(t: Tables) -> DataFrame:
     """Payloads validated and scored as a stream, with quarantine."""
-    root = shared_folder(t.spark)
+    root = fresh_folder(t.spark)
     payloads = event_payloads(stream_table(t.spark, t.path("events")))
     scorer = lambda df: df.withColumn("probability", F.col("k") / 100.0)
     drain(score_stream(payloads, EVENT_CONTRACT, scorer, 0.5, root, f"{root}/checkpoint"))
@@ -49,7 +49,7 @@ def stream_scored_payloads(t: Tables) -> DataFrame:
 )
 def stream_drift_check(t: Tables) -> DataFrame:
     """The newest-200 check after the last micro-batch."""
-    root = shared_folder(t.spark)
+    root = fresh_folder(t.spark)
     log = prediction_log(stream_table(t.spark, t.path("events")))
     drain(check_each_batch(log, event_profile(t), CFG, root, f"{root}/checkpoint"))
     rows = t.spark.read.parquet(f"{root}/report_metrics")
@@ -67,7 +67,7 @@ FINAL_SQL = "day IN (SELECT day FROM days GROUP BY day HAVING max(CAST(day AS TI
 )
 def stream_window_drift(t: Tables) -> DataFrame:
     """Drift per event-time day, for the days the watermark has passed."""
-    root = shared_folder(t.spark)
+    root = fresh_folder(t.spark)
     log = current_part(prediction_log(stream_table(t.spark, t.path("events"))))
     drain(check_windows(log, event_profile(t), CFG, root, f"{root}/checkpoint"))
     rows = t.spark.read.parquet(f"{root}/report_metrics")
@@ -79,7 +79,7 @@ def stream_window_drift(t: Tables) -> DataFrame:
 @query("stream_window_reports", f"""{PERIOD_SQL} SELECT day, f.window_size, severity FROM facts f JOIN overall USING (day) WHERE {FINAL_SQL}""")
 def stream_window_reports(t: Tables) -> DataFrame:
     """Overall severity per event-time day."""
-    root = shared_folder(t.spark)
+    root = fresh_folder(t.spark)
     log = current_part(prediction_log(stream_table(t.spark, t.path("events"))))
     drain(check_windows(log, event_profile(t), CFG, root, f"{root}/checkpoint"))
     rows = t.spark.read.parquet(f"{root}/reports")
@@ -89,7 +89,7 @@ def stream_window_reports(t: Tables) -> DataFrame:
 @query("stream_severity_alerts", f"{PERIOD_SQL} SELECT day, severity, previous_severity FROM alerts")
 def stream_severity_alerts(t: Tables) -> DataFrame:
     """Alerts of the daily report stream, with the previous severity kept as state."""
-    root = shared_folder(t.spark)
+    root = fresh_folder(t.spark)
     reports, _ = daily(t)
     reports.select(
         F.lit(CFG.model_name).alias("model_name"), F.to_timestamp("day", "yyyy-MM-dd").alias("created_at"), "severity"
@@ -103,7 +103,7 @@ def stream_severity_alerts(t: Tables) -> DataFrame:
 @query("stream_event_dedupe", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_event_dedupe(t: Tables) -> DataFrame:
     """Every event delivered twice, kept once."""
-    root = shared_folder(t.spark)
+    root = fresh_folder(t.spark)
     once = stream_table(t.spark, t.path("events")).withColumn("created_at", F.col("ts").cast("timestamp"))
     twice = once.unionByName(stream_table(t.spark, t.path("events")).withColumn("created_at", F.col("ts").cast("timestamp")))
     drain(to_files(drop_repeated_events(twice).select("event_id", "event_type"), f"{root}/out", f"{root}/checkpoint"))
@@ -118,7 +118,7 @@ SELECT (SELECT count(*) FROM log) AS arrived, (SELECT count(*) FROM cur) + (SELE
 )
 def stream_late_rows(t: Tables) -> DataFrame:
     """Events of the second half arrive first; what comes after the watermark is dropped and counted."""
-    root = shared_folder(t.spark)
+    root = fresh_folder(t.spark)
     log = prediction_log(t.events).select("id", "created_at")
     # Two arrivals: the newer half of the log, then the older one.
     current_part(log).write.parquet(f"{root}/in/arrival=1")
@@ -135,9 +135,9 @@ def stream_late_rows(t: Tables) -> DataFrame:
 
 @query("stream_job_dedupe_24h", ORACLES["job_dedupe_24h"])
 def stream_job_dedupe(t: Tables) -> DataFrame:
-    """The 24-hour job rule with the last accepted time kept as state."""
-    root = shared_folder(t.spark)
+    """The 24-hour job rule batch by batch, with the last accepted jobs carried along."""
+    root = fresh_folder(t.spark)
     jobs = stream_table(t.spark, t.path("events")).withColumn("ts", F.col("ts").cast("timestamp"))
-    kept = accept_jobs_stream(jobs.select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", 24)
-    drain(to_files(kept, f"{root}/out", f"{root}/checkpoint"))
-    return read_or_none(t.spark, f"{root}/out").withColumn("ts", stamp("ts"))
+    drain(accept_jobs_each_batch(jobs, root, f"{root}/checkpoint", "user_id", "ts", "event_id", 24))
+    rows = t.spark.read.parquet(f"{root}/accepted")
+    return rows.select("user_id", "event_id", stamp("ts").alias("ts"))
