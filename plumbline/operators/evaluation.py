@@ -167,7 +167,7 @@ def recall_thresholds(
     )
     best = passed.groupBy(*key_cols).agg(
         F.max_by(F.struct("score", "tp", "fp", "positives"), F.col("score")).alias("b")
-    )
+    ).where(F.col("b").isNotNull())
     return best.select(
         *key_cols, F.col("b.score").alias("threshold"), *_metrics_at(F.col("b.tp"), F.col("b.fp"), F.col("b.positives"))
     )
