@@ -7,6 +7,8 @@ comes out of the same scan.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,20 +112,52 @@ def _psi_rows(
     )
 
 
-def _psi_metric(
-    psi: DataFrame, metric: str, threshold: float, severity: Column, keys: tuple[str, ...]
+# Prefixes keep the kinds of signal apart where they share one table of counts.
+NUMERIC, CATEGORICAL, OUTPUT = "n|", "c|", "o|"
+
+
+def psi_labels(
+    df: DataFrame, profile: ReferenceProfile, numeric: bool = True, prediction: str | None = "prediction"
+) -> dict[str, Binned]:
+    """Bin labels of the profiled numeric features in ``df`` and of its prediction column."""
+    labels = {}
+    if numeric:
+        present = [n for n in profile.edges if n in df.columns]
+        values = numeric_columns(df, present)
+        labels |= {NUMERIC + n: Binned(values[n], profile.edges[n]) for n in present}
+    if prediction and profile.output is not None:
+        labels[OUTPUT + "prediction"] = Binned(col(prediction).cast("double"), OUTPUT_EDGES)
+    return labels
+
+
+def output_reference(output: dict[int, float]) -> list[float]:
+    """Reference shares of the two output bins, from whole per-mille counts (at least 1)."""
+    weights = [0, 0]
+    for label, share in output.items():
+        weights[0 if label < OUTPUT_EDGES[1] else 1] += max(int(share * 1000), 1)
+    return [w / max(sum(weights), 1) for w in weights]
+
+
+def psi_of(
+    counts: DataFrame, profile: ReferenceProfile, cfg: DriftConfig, keys: tuple[str, ...] = ()
 ) -> DataFrame:
-    return psi.select(
+    """Stability indexes from (keys..., prefixed feature, label, n) counts."""
+    shares = {NUMERIC + n: s for n, s in profile.shares.items()}
+    if profile.output is not None:
+        shares[OUTPUT + "prediction"] = output_reference(profile.output)
+    is_output = F.col("feature").startswith(OUTPUT)
+    value = F.col("psi")
+    return _psi_rows(counts, shares, keys).select(
         *[col(k) for k in keys],
-        "feature",
-        F.lit(metric).alias("metric"),
-        F.col("psi").alias("value"),
+        F.expr(f"substring(feature, {len(NUMERIC) + 1})").alias("feature"),
+        F.when(is_output, "output_dist").otherwise("psi").alias("metric"),
+        value.alias("value"),
         F.lit(None).cast("double").alias("pvalue"),
         "n_bins",
-        F.lit(threshold).alias("threshold"),
-        severity.alias("severity"),
+        F.when(is_output, cfg.output_psi).otherwise(cfg.psi_medium).alias("threshold"),
+        F.when(is_output, psi_severity(value, cfg, output=True)).otherwise(psi_severity(value, cfg)).alias("severity"),
         F.lit(None).cast("boolean").alias("drifted"),
-        "position",
+        F.when(is_output, 0).otherwise(F.col("position")).alias("position"),
     )
 
 
@@ -134,29 +168,8 @@ def numeric_psi(
 
     A feature that is present but has no values scores 0.0; an absent one gives no row.
     """
-    return numeric_psi_of(label_counts(df, numeric_labels(df, profile), keys), profile, cfg, keys)
-
-
-def numeric_labels(df: DataFrame, profile: ReferenceProfile) -> dict[str, Binned]:
-    present = {n: e for n, e in profile.edges.items() if n in df.columns}
-    values = numeric_columns(df, list(present))
-    return {n: Binned(values[n], e) for n, e in present.items()}
-
-
-def numeric_psi_of(
-    counts: DataFrame, profile: ReferenceProfile, cfg: DriftConfig, keys: tuple[str, ...] = ()
-) -> DataFrame:
-    """The same from (keys..., feature, label, n) counts."""
-    psi = _psi_rows(counts, profile.shares, keys)
-    return _psi_metric(psi, "psi", cfg.psi_medium, psi_severity(F.col("psi"), cfg), keys)
-
-
-def output_reference(output: dict[int, float]) -> list[float]:
-    """Reference shares of the two output bins, from whole per-mille counts (at least 1)."""
-    weights = [0, 0]
-    for label, share in output.items():
-        weights[0 if label < OUTPUT_EDGES[1] else 1] += max(int(share * 1000), 1)
-    return [w / max(sum(weights), 1) for w in weights]
+    labels = psi_labels(df, profile, prediction=None)
+    return psi_of(label_counts(df, labels, keys), profile, cfg, keys)
 
 
 def output_psi(
@@ -167,20 +180,8 @@ def output_psi(
     keys: tuple[str, ...] = (),
 ) -> DataFrame:
     """Stability index of the predicted label against the reference label shares."""
-    return output_psi_of(label_counts(df, output_labels(prediction), keys), profile, cfg, keys)
-
-
-def output_labels(prediction: str = "prediction") -> dict[str, Binned]:
-    return {"prediction": Binned(col(prediction).cast("double"), OUTPUT_EDGES)}
-
-
-def output_psi_of(
-    counts: DataFrame, profile: ReferenceProfile, cfg: DriftConfig, keys: tuple[str, ...] = ()
-) -> DataFrame:
-    """The same from (keys..., feature, label, n) counts."""
-    psi = _psi_rows(counts, {"prediction": output_reference(profile.output)}, keys)
-    severity = psi_severity(F.col("psi"), cfg, output=True)
-    return _psi_metric(psi, "output_dist", cfg.output_psi, severity, keys)
+    labels = psi_labels(df, profile, numeric=False, prediction=prediction)
+    return psi_of(label_counts(df, labels, keys), profile, cfg, keys)
 
 
 def categorical_chi2(
@@ -254,18 +255,18 @@ def drift_metrics(
     keys: tuple[str, ...] = (),
     prediction: str = "prediction",
 ) -> DataFrame:
-    """All signals of a window in one long frame."""
+    """All signals of a window in one long frame.
+
+    Numeric features and the prediction share one pass; categories take another,
+    over other columns.
+    """
     parts = []
-    if profile.edges:
-        parts.append(numeric_psi(df, profile, cfg, keys))
+    labels = psi_labels(df, profile, prediction=prediction)
+    if labels:
+        parts.append(psi_of(label_counts(df, labels, keys), profile, cfg, keys))
     if profile.categories is not None:
         parts.append(categorical_chi2(df, profile, cfg, keys))
-    if profile.output is not None:
-        parts.append(output_psi(df, profile, cfg, prediction, keys))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def overall_severity(metrics: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

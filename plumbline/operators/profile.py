@@ -47,12 +47,12 @@ def numeric_columns(df: DataFrame, names: list[str]) -> dict[str, Column]:
     return {n: numeric_value(n, df.schema[n].dataType) for n in names}
 
 
-def decile_edges(
-    df: DataFrame, names: list[str]
-) -> tuple[dict[str, list[float]], dict[str, dict[str, float]]]:
-    """De-duplicated decile edges and mean / min / max of each numeric column.
+def numeric_profile(df: DataFrame, names: list[str]) -> tuple[dict, dict, dict]:
+    """(edges, shares, stats) of each numeric column.
 
-    A constant column gets ``[min, max + 1]``; a column without values is left out.
+    Edges are the distinct deciles; a constant column gets ``[min, max + 1]`` and
+    a column without values is left out. Shares are those of the bins between
+    the edges. Everything comes out of the same three passes.
     """
     found = exact_quantiles(
         df,
@@ -60,17 +60,20 @@ def decile_edges(
         DECILES,
         extra={"mean": F.avg, "min": F.min, "max": F.max},
     )
-    edges, stats = {}, {}
+    edges, shares, stats = {}, {}, {}
     for name in names:
         ranked = found[name]
         if not ranked.n:
             continue
-        distinct = sorted(set(ranked.values.values()))
+        below = {ranked.values[i]: ranked.below[i] for i in ranked.values}
+        distinct = sorted(below)
         if len(distinct) < 2:
             distinct = [ranked.extra["min"], ranked.extra["max"] + 1]
+        steps = [0, *[below[e] for e in distinct[1:-1]], ranked.n]
         edges[name] = distinct
+        shares[name] = [(b - a) / ranked.n for a, b in zip(steps, steps[1:])]
         stats[name] = {"n": ranked.n, **ranked.extra}
-    return edges, stats
+    return edges, shares, stats
 
 
 @dataclass(frozen=True)
@@ -130,23 +133,6 @@ def label_counts(
     return counted.select(*key_cols, feature_of(labels).alias("feature"), "label", "n")
 
 
-def bin_shares(df: DataFrame, edges: dict[str, list[float]]) -> dict[str, list[float]]:
-    """Share of the non-null values in each bin, empty bins included.
-
-    At most ten numbers per feature come to the driver.
-    """
-    values = numeric_columns(df, list(edges))
-    counts = label_counts(df, {n: Binned(values[n], e) for n, e in edges.items()})
-    found: dict[str, dict[int, int]] = {n: {} for n in edges}
-    for row in counts.where(F.col("label").isNotNull()).collect():
-        found[row["feature"]][int(row["label"])] = row["n"]
-    shares = {}
-    for name, e in edges.items():
-        total = max(sum(found[name].values()), 1)
-        shares[name] = [found[name].get(i, 0) / total for i in range(len(e) - 1)]
-    return shares
-
-
 def bins_table(spark: SparkSession, profile: ReferenceProfile) -> DataFrame:
     """(feature, bin, lower, upper, ref_share)."""
     rows = [
@@ -191,7 +177,7 @@ def build_profile(
     df: DataFrame, numeric: list[str], categorical: list[str], target: str | None = None
 ) -> ReferenceProfile:
     """Profile every listed feature and the target of a reference population."""
-    edges, stats = decile_edges(df, numeric) if numeric else ({}, {})
+    edges, shares, stats = numeric_profile(df, numeric) if numeric else ({}, {}, {})
     output = None
     if target:
         rows = output_shares(df, target).limit(MAX_LABELS + 1).collect()
@@ -201,7 +187,7 @@ def build_profile(
     return ReferenceProfile(
         edges=edges,
         stats=stats,
-        shares=bin_shares(df, edges) if edges else {},
+        shares=shares,
         categorical=tuple(categorical),
         categories=category_shares(df, categorical).persist() if categorical else None,
         output=output,

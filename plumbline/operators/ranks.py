@@ -38,7 +38,10 @@ PAD = 0.002
 
 @dataclass
 class Ranked:
-    """Outcome for one column: row count, value by rank, and extra aggregates."""
+    """Outcome for one column: row count, value by rank, and extra aggregates.
+
+    ``below`` counts the rows with a smaller value than the one found.
+    """
 
     n: int
     values: dict[int, float] = field(default_factory=dict)
@@ -173,7 +176,11 @@ def exact_quantiles(
     fractions: list[float],
     extra: dict[str, Callable[[Column], Column]] | None = None,
 ) -> dict[str, Ranked]:
-    """Linear-interpolated quantiles; ``values`` is keyed by position in ``fractions``."""
+    """Linear-interpolated quantiles; results are keyed by position in ``fractions``.
+
+    A quantile lies between two neighbouring order statistics, so the number of
+    rows below it follows from theirs and needs no further pass.
+    """
 
     def neighbours(_: str, n: int) -> list[int]:
         lows = [math.floor((n - 1) * p) for p in fractions]
@@ -181,11 +188,14 @@ def exact_quantiles(
 
     found = values_at_ranks(df, columns, fractions, neighbours, extra=extra)
     for ranked in found.values():
-        by_rank, ranked.values = ranked.values, {}
+        by_rank, below_rank = ranked.values, ranked.below
+        ranked.values, ranked.below = {}, {}
         for i, p in enumerate(fractions if ranked.n else []):
             spot = (ranked.n - 1) * p
             low = math.floor(spot)
-            a, b = by_rank[low], by_rank[min(low + 1, ranked.n - 1)]
+            high = min(low + 1, ranked.n - 1)
+            a, b = by_rank[low], by_rank[high]
             t = spot - low
             ranked.values[i] = a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t)
+            ranked.below[i] = below_rank[high] if ranked.values[i] > a else below_rank[low]
     return found

@@ -14,14 +14,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from plumbline.config import ALERTING, DriftConfig
 from plumbline.functions.columns import col
 from plumbline.operators.drift import (
+    CATEGORICAL,
+    OUTPUT,
     categorical_chi2_of,
     categorical_labels,
     last_window,
-    numeric_labels,
-    numeric_psi_of,
-    output_labels,
-    output_psi_of,
     overall_severity,
+    psi_labels,
+    psi_of,
 )
 from plumbline.operators.profile import Binned, ReferenceProfile, feature_of, long_labels
 from plumbline.plans.drift_check import ALERTS, METRICS, REPORTS, check_window, previous_severity
@@ -79,13 +79,9 @@ def window_label_counts(
     )
 
 
-# Prefixes keep the three kinds of signal apart in one stream of counts.
-NUMERIC, CATEGORICAL, OUTPUT = "n|", "c|", "o|"
-
-
-def _kind(counts: DataFrame, prefix: str) -> DataFrame:
-    own = counts.where(F.col("feature").startswith(prefix))
-    return own.withColumn("feature", F.substring("feature", len(prefix) + 1, 1_000))
+def _categories(counts: DataFrame) -> DataFrame:
+    own = counts.where(F.col("feature").startswith(CATEGORICAL))
+    return own.withColumn("feature", F.expr(f"substring(feature, {len(CATEGORICAL) + 1})"))
 
 
 def check_windows(
@@ -106,21 +102,20 @@ def check_windows(
     ``cfg.min_window_size`` records. Output: ``root/report_metrics`` and ``root/reports``.
     """
     labels = {
-        **{NUMERIC + n: v for n, v in numeric_labels(scored, profile).items()},
+        **psi_labels(scored, profile),
         **{CATEGORICAL + n: v for n, v in categorical_labels(scored, profile).items()},
-        **{OUTPUT + n: v for n, v in output_labels().items()},
     }
     counts = window_label_counts(scored, labels, time, delay, length, slide)
     keys = ("window_start",)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         final = batch.persist()
-        sizes = _kind(final, OUTPUT).groupBy("window_start", "window_end").agg(F.sum("n").alias("window_size"))
+        predictions = final.where(F.col("feature").startswith(OUTPUT))
+        sizes = predictions.groupBy("window_start", "window_end").agg(F.sum("n").alias("window_size"))
         sizes = sizes.where(F.col("window_size") >= cfg.min_window_size)
-        metrics = numeric_psi_of(_kind(final, NUMERIC), profile, cfg, keys)
+        metrics = psi_of(final.where(~F.col("feature").startswith(CATEGORICAL)), profile, cfg, keys)
         if profile.categories is not None:
-            metrics = metrics.unionByName(categorical_chi2_of(_kind(final, CATEGORICAL), profile, cfg, keys))
-        metrics = metrics.unionByName(output_psi_of(_kind(final, OUTPUT), profile, cfg, keys))
+            metrics = metrics.unionByName(categorical_chi2_of(_categories(final), profile, cfg, keys))
         metrics = metrics.join(sizes.select("window_start"), "window_start", "left_semi").persist()
         write_batch(metrics, f"{root}/{METRICS}", batch_id)
         write_batch(sizes.join(overall_severity(metrics, keys), "window_start"), f"{root}/{REPORTS}", batch_id)
