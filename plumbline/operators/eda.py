@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,25 +36,48 @@ def _missing(name: str, dtype: T.DataType) -> Column:
     return col(name).isNull()
 
 
+def _common_type(dtype: T.DataType) -> str:
+    if isinstance(dtype, T.IntegralType):
+        return "bigint"
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return "double"
+    return dtype.simpleString()
+
+
 def column_overview(df: DataFrame) -> DataFrame:
-    """dtype, missing count and percent, and distinct values (null counts as one)."""
-    aggregates = [F.count(F.lit(1)).alias("rows")]
-    for i, f in enumerate(df.schema.fields):
-        null = _missing(f.name, f.dataType)
-        aggregates.append(F.count_if(null).alias(f"m{i}"))
-        aggregates.append(F.count_distinct(F.when(~null, col(f.name))).alias(f"d{i}"))
-    row = df.agg(*aggregates)
-    structs = [
-        F.struct(
-            F.lit(f.name).alias("column"),
-            F.lit(f.dataType.simpleString()).alias("dtype"),
-            F.col(f"m{i}").alias("missing_count"),
-            F.round(F.when(F.col("rows") > 0, F.col(f"m{i}") / F.col("rows") * 100), 2).alias("missing_percent"),
-            (F.col(f"d{i}") + (F.col(f"m{i}") > 0).cast("int")).alias("unique_count"),
+    """dtype, missing count and percent, and distinct values (null counts as one).
+
+    Columns of one type are unpivoted together and grouped by (column, value), so
+    what is shuffled is one narrow row per distinct value of a column. Each type
+    scans only its own columns.
+    """
+    fields = {f"c{i}": f for i, f in enumerate(df.schema.fields)}
+    kinds: dict[str, list[str]] = {}
+    for k, f in fields.items():
+        kinds.setdefault(_common_type(f.dataType), []).append(k)
+    parts = []
+    for kind, names in kinds.items():
+        values = [
+            F.when(~_missing(fields[k].name, fields[k].dataType), col(fields[k].name)).cast(kind).alias(k) for k in names
+        ]
+        groups = df.select(*values).unpivot([], names, "series", "v").groupBy("series", "v").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(
+            groups.groupBy("series").agg(
+                F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("missing_count"),
+                F.sum("n").alias("rows"),
+                F.count(F.lit(1)).alias("unique_count"),
+            )
         )
-        for i, f in enumerate(df.schema.fields)
-    ]
-    return row.select(F.inline(F.array(*structs)))
+    facts = F.create_map(
+        *[x for k, f in fields.items() for x in (F.lit(k), F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("dtype")))]
+    )[F.col("series")]
+    return reduce(DataFrame.unionByName, parts).select(
+        facts["name"].alias("column"),
+        facts["dtype"].alias("dtype"),
+        "missing_count",
+        F.round(F.col("missing_count") / F.col("rows") * 100, 2).alias("missing_percent"),
+        "unique_count",
+    )
 
 
 def missing_summary(df: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Curve metrics (ROC AUC, recall-constrained threshold) need running counts in
 score order. Scores are first collapsed to (score, positives, negatives), then
-placed in about a thousand equally filled score ranges; running counts are taken
-inside each range and the ranges are chained by their totals. No task ever sees
-the whole curve, and a score shared by a third of the rows is a single row.
+placed in about a thousand equally filled score ranges of 64 even steps each;
+running counts are taken inside each step and the steps are chained by their
+totals. No task ever sees the whole curve, and a score shared by a third of the
+rows is a single row.
 """
 
 from __future__ import annotations
@@ -16,23 +17,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import MIN_RECALL
-from plumbline.functions.columns import col
+from plumbline.functions.columns import col, literal
 from plumbline.functions.stats import f1_score, safe_ratio
 
 RANGES = 1024
+STEPS = 64
 
 
 def _in_ranges(df: DataFrame, label: str, score: str, keys: tuple[str, ...], ranges: int) -> DataFrame:
     """(keys..., score, y, range) with range numbers that grow with the score."""
     rows = df.select(*[col(k) for k in keys], col(score).cast("double").alias("score"), col(label).cast("int").alias("y"))
-    probes = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    probes = F.expr(f"array({', '.join(literal(i / ranges) for i in range(ranges + 1))})")
     sketch = rows.agg(F.count("score").alias("n"), F.kll_sketch_agg_double("score", 4096).alias("s"))
     cuts = sketch.select(F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("s", probes))).first()[0] or [0.5]
-    edges = [-math.inf, *sorted(set(cuts)), math.inf]
-    placed = Bucketizer(splits=edges, inputCol="score", outputCol="range", handleInvalid="keep").transform(rows)
-    return placed.withColumn("range", F.col("range").cast("int"))
-
-
+    cuts = sorted(set(cuts))
+    placed = Bucketizer(
+        splits=[-math.inf, *cuts, math.inf], inputCol="score", outputCol="range", handleInvalid="keep"
+    ).transform(rows)
+    # Range i > 0 starts at cuts[i - 1]; its inside is divided evenly.
+    starts = F.expr(f"array({', '.join(literal(c) for c in cuts)})")
+    low, high = F.get(starts, F.col("range") - 1), F.get(starts, F.col("range"))
+    step = F.floor(STEPS * F.try_divide(F.col("score") - low, high - low))
+    step = F.greatest(F.least(F.coalesce(step, F.lit(0)), F.lit(STEPS - 1)), F.lit(0))
+    placed = placed.withColumn("range", F.col("range").cast("int"))
+    return placed.withColumn("range", (F.col("range") * STEPS + step).cast("int"))
 
 
 def _by_score(placed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -58,7 +66,7 @@ def roc_auc(
             F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("pairs"),
         )
     )
-    # At most ``ranges`` rows per key from here on.
+    # At most ranges x STEPS rows per key from here on.
     chained = parts.withColumn(
         "below", F.sum("neg").over(Window.partitionBy(*key_cols).orderBy("range")) - F.col("neg")
     )
@@ -140,7 +148,7 @@ def recall_thresholds(
         F.count_if(F.col("y") == 1).cast("double").alias("pos"),
         F.count_if(F.col("y") == 0).cast("double").alias("neg"),
     )
-    # At most ``ranges`` rows per key.
+    # At most ranges x STEPS rows per key.
     down = Window.partitionBy(*key_cols).orderBy(F.col("range").desc())
     everything = Window.partitionBy(*key_cols)
     crossing = (

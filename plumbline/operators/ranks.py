@@ -10,12 +10,13 @@ each of which shuffles only a summary:
 2. count: rows between neighbouring cuts are counted (map-side combined), which
    tells exactly which narrow interval holds each wanted rank;
 3. pinpoint: only rows inside those intervals are grouped by value, and a
-   running count inside each interval finds the value.
+   running count inside each interval finds the value. An interval that still
+   holds too many rows for one task is first narrowed by steps 1 and 2 again.
 
 The result is exact whatever the sketch returns; a poor sketch only makes the
-last pass read more. Hot values cost nothing extra because pass 3 works on
-(value, count) pairs. What reaches the driver is a few dozen numbers per
-column.
+last pass read more. Hot values cost nothing extra: a cut value gets an interval
+of its own, and pass 3 works on (value, count) pairs. What reaches the driver is
+a few dozen numbers per column.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ from plumbline.functions.columns import literal, local_table
 # of the rows; well above the rank error of a sketch of this size).
 SKETCH_K = 4096
 PAD = 0.002
+# An interval with more rows than this is narrowed again, up to a depth at which
+# it can only hold a few distinct values.
+MAX_PINPOINT_ROWS = 2_000_000
+MAX_DEPTH = 8
 
 
 @dataclass
@@ -70,6 +75,10 @@ def _bucketed(wide: DataFrame, cuts: dict[str, list]) -> DataFrame:
     return placed.select(F.inline(F.array(*cells))).where(F.col("v").isNotNull())
 
 
+def _within(name: str, limits: tuple, dtype: str) -> str:
+    return f"{name} BETWEEN {literal(limits[0], dtype)} AND {literal(limits[1], dtype)}"
+
+
 def values_at_ranks(
     df: DataFrame,
     columns: dict[str, Column],
@@ -77,6 +86,7 @@ def values_at_ranks(
     ranks: Callable[[str, int], Iterable[int]],
     dtype: str = "double",
     extra: dict[str, Callable[[Column], Column]] | None = None,
+    depth: int = 0,
 ) -> dict[str, Ranked]:
     """Value at each 0-based rank of each column (nulls left out).
 
@@ -117,7 +127,10 @@ def values_at_ranks(
     wanted = {k: rs for k, rs in wanted.items() if rs}
     if not wanted:
         return out
-    cuts = {k: sorted({float(c) for c in first[f"cuts_{k}"]}) for k in wanted}
+    cuts = {
+        k: sorted({x for c in first[f"cuts_{k}"] for x in (float(c), math.nextafter(float(c), math.inf))})
+        for k in wanted
+    }
 
     spans = (
         _bucketed(wide.select(*wanted), cuts)
@@ -127,6 +140,7 @@ def values_at_ranks(
     )
     open_ranks: dict[tuple[str, int], list[int]] = {}
     bounds: dict[tuple[str, int], tuple] = {}
+    sizes: dict[tuple[str, int], int] = {}
     offset: dict[tuple[str, int], int] = {}
     for k in wanted:
         below = 0
@@ -139,16 +153,36 @@ def values_at_ranks(
                 else:
                     open_ranks.setdefault(spot, []).append(r)
                     bounds[spot] = (span["lo"], span["hi"])
+                    sizes[spot] = span["n"]
                     offset[spot] = below
             below += span["n"]
     if not open_ranks:
         return out
 
+    wide_spots = [s for s in open_ranks if sizes[s] > MAX_PINPOINT_ROWS and depth < MAX_DEPTH]
+    if wide_spots:
+        parts = {f"p{i}": spot for i, spot in enumerate(wide_spots)}
+        inside = {
+            name: F.when(F.expr(_within(spot[0], bounds[spot], dtype)), F.col(spot[0])) for name, spot in parts.items()
+        }
+        local = {name: [r - offset[s] for r in open_ranks[s]] for name, s in parts.items()}
+        where = {round(r / sizes[parts[name]], 4) for name, rs in local.items() for r in rs}
+        nearby = " OR ".join(_within(s[0], bounds[s], dtype) for s in wide_spots)
+        narrowed = values_at_ranks(
+            wide.where(F.expr(nearby)), inside, where, lambda name, _: local[name], dtype, depth=depth + 1
+        )
+        for name, spot in parts.items():
+            found = out[keys[spot[0]]]
+            for r, value in narrowed[name].values.items():
+                found.values[r + offset[spot]] = value
+                found.below[r + offset[spot]] = narrowed[name].below[r] + offset[spot]
+            del open_ranks[spot], bounds[spot]
+        if not open_ranks:
+            return out
+
     # The value intervals are literals, so the scan can skip row groups by them.
     series = sorted({k for k, _ in open_ranks})
-    nearby = " OR ".join(
-        f"{k} BETWEEN {literal(lo, dtype)} AND {literal(hi, dtype)}" for (k, _), (lo, hi) in bounds.items()
-    )
+    nearby = " OR ".join(_within(k, limits, dtype) for (k, _), limits in bounds.items())
     wanted_rows = [(k, b, r - offset[(k, b)]) for (k, b), rs in open_ranks.items() for r in rs]
     # A few targets per column.
     targets = F.broadcast(local_table(df.sparkSession, wanted_rows, "series string, bucket int, target bigint"))

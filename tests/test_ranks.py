@@ -48,7 +48,17 @@ def test_exact_with_a_poor_sketch(spark, monkeypatch):
     check(spark, a=rng.normal(size=2000), b=np.round(rng.random(2000), 2))
 
 
-def test_ranks_of_whole_numbers(spark):
+def test_wide_intervals_are_narrowed(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "MAX_PINPOINT_ROWS", 20)
+    monkeypatch.setattr(ranks, "PAD", 0.05)
+    rng = np.random.default_rng(6)
+    n = 3000
+    check(spark, a=rng.normal(size=n), hot=np.where(rng.random(n) < 0.4, 7.0, rng.random(n) * 10), few=rng.integers(0, 40, n))
+
+
+@pytest.mark.parametrize("rows_in_task", [2_000_000, 30])
+def test_ranks_of_whole_numbers(spark, monkeypatch, rows_in_task):
+    monkeypatch.setattr(ranks, "MAX_PINPOINT_ROWS", rows_in_task)
     rng = np.random.default_rng(5)
     values = [int(v) for v in rng.integers(-(2**62), 2**62, 2000)]
     df = spark.createDataFrame([(v,) for v in values], "v bigint")
