@@ -195,7 +195,10 @@ def categorical_chi2(
     statistic equals (A - (1 - r)^2 S) / r, where A is the statistic before
     rescaling; that needs one pass over the cells instead of two.
     """
-    return categorical_chi2_of(label_counts(df, categorical_labels(df, profile), keys), profile, cfg, keys)
+    counts = label_counts(df, categorical_labels(df, profile), keys)
+    if not df.is_cached:
+        counts = counts.persist()  # one row per category, read twice; spares a scan of ``df``
+    return categorical_chi2_of(counts, profile, cfg, keys)
 
 
 def categorical_labels(df: DataFrame, profile: ReferenceProfile) -> dict[str, Column]:
@@ -208,7 +211,6 @@ def categorical_chi2_of(
     """The same from (keys..., feature, label, n) counts."""
     names = profile.categorical
     key_cols = [col(k) for k in keys]
-    # Both uses of ``counts`` share one shuffle of the log.
     totals = counts.groupBy(*key_cols, "feature").agg(F.sum("n").alias("total"))
     if not keys:
         totals = F.broadcast(totals)  # one row per feature

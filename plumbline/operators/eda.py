@@ -156,8 +156,11 @@ def category_target_rate(df: DataFrame, columns: list[str], target: str) -> Data
     long = df.select(
         col(target).cast("double").alias("_y"), *[col(c).cast("string").alias(k) for k, c in names.items()]
     ).unpivot(["_y"], list(names), "series", "category")
-    groups = long.groupBy("series", "category").agg(
-        F.count("_y").alias("count"), (F.avg("_y") * 100).alias("target_yes_percent")
+    # One row per category; persisted because the cardinality reads it again.
+    groups = (
+        long.groupBy("series", "category")
+        .agg(F.count("_y").alias("count"), (F.avg("_y") * 100).alias("target_yes_percent"))
+        .persist()
     )
     # One row per column.
     sizes = groups.groupBy("series").agg(F.count(F.lit(1)).alias("cardinality"))

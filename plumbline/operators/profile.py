@@ -113,11 +113,8 @@ def long_labels(
 
 def feature_of(labels: dict[str, Column | Binned]) -> Column:
     """Feature name of a ``series`` value."""
-    *head, (_, last) = [(f"f{i}", name) for i, name in enumerate(labels)]
-    feature = F.lit(last)
-    for series, name in reversed(head):
-        feature = F.when(F.col("series") == series, F.lit(name)).otherwise(feature)
-    return feature
+    pairs = [F.lit(x) for i, name in enumerate(labels) for x in (f"f{i}", name)]
+    return F.try_element_at(F.create_map(*pairs), F.col("series"))
 
 
 def label_counts(
