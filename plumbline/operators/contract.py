@@ -16,6 +16,8 @@ from plumbline.operators.profile import label_counts
 # A value list up to this length is carried as a literal set; a longer one stays
 # a table and is checked by a join.
 MAX_ENUM = 10_000
+# Up to this length such a table is broadcast, so that payloads need no shuffle.
+MAX_BROADCAST_VALUES = 1_000_000
 
 # Declared dtype by Spark type.
 DTYPES = {
@@ -36,6 +38,7 @@ class Field:
     dtype: str
     allowed_values: tuple[str, ...] | None = None
     by_table: bool = False
+    n_values: int | None = None
 
     @property
     def enumerated(self) -> bool:
@@ -80,6 +83,7 @@ def infer_contract(
     texts = [f.name for f in kept if isinstance(f.dataType, T.StringType)]
     lists: dict[str, tuple[str, ...]] = {}
     long: set[str] = set()
+    sizes: dict[str, int] = {}
     values = None
     if texts:
         table = allowed_values(df, texts)
@@ -97,6 +101,7 @@ def infer_contract(
             dtype_name(f.dataType),
             tuple(sorted(lists.get(f.name, []))) if f.name in texts and f.name not in long else None,
             f.name in long,
+            sizes.get(f.name),
         )
         for f in kept
     )
@@ -182,6 +187,8 @@ def validate(df: DataFrame, contract: Contract, payload: str = "payload") -> Dat
             known = contract.values.where(F.col("field") == f.name).select(
                 F.col("value").alias(f"_v{i}"), F.lit(True).alias(f"_in{i}")
             )
+            if f.n_values is not None and f.n_values <= MAX_BROADCAST_VALUES:
+                known = F.broadcast(known)
             parsed = parsed.withColumn(f"_v{i}", F.try_variant_get("_doc", _path(f.name), "string"))
             parsed = parsed.join(known, f"_v{i}", "left").drop(f"_v{i}")
 

@@ -22,6 +22,8 @@ from plumbline.functions.stats import f1_score, safe_ratio
 
 RANGES = 1024
 STEPS = 64
+# Up to this many keys the score ranges to look at are broadcast.
+MAX_BROADCAST_KEYS = 100_000
 
 
 def _in_ranges(df: DataFrame, label: str, score: str, keys: tuple[str, ...], ranges: int) -> DataFrame:
@@ -160,8 +162,9 @@ def recall_thresholds(
         .where((F.col("tp_above") + F.col("pos")) / F.col("positives") >= min_recall)
         .select(*key_cols, "range", "positives", "tp_above", "fp_above")
     )
-    if not keys:
-        crossing = F.broadcast(crossing)  # a single row
+    crossing = crossing.persist()  # one row per key
+    if crossing.count() <= MAX_BROADCAST_KEYS:
+        crossing = F.broadcast(crossing)
     rest = ("positives", "tp_above", "fp_above")
     within = placed.join(crossing, [*keys, "range"]).groupBy(*key_cols, "score", *rest).agg(
         F.count_if(F.col("y") == 1).cast("double").alias("pos"),

@@ -17,8 +17,7 @@ from plumbline.workloads.registry import Tables, query
 def versions(t: Tables) -> DataFrame:
     """A model version per supplier; the model is the supplier's nation."""
     stage = F.when(F.col("s_acctbal") > 7000, "Production").when(F.col("s_acctbal") < 1000, "Archived").otherwise("Staging")
-    # One row per nation.
-    return t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select(
+    return t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("n_name").alias("model_name"),
         F.col("s_suppkey").cast("string").alias("version"),
         stage.alias("stage"),
@@ -39,7 +38,7 @@ versions AS (
 
 def aliases(t: Tables) -> DataFrame:
     """Production alias for nations of region 1, Default alias for those of region 2."""
-    rows = versions(t).join(F.broadcast(t.nation.select(F.col("n_name").alias("model_name"), "n_regionkey")), "model_name")
+    rows = versions(t).join(t.nation.select(F.col("n_name").alias("model_name"), "n_regionkey"), "model_name")
     chosen = rows.where(F.col("n_regionkey").isin(1, 2)).groupBy("model_name", "n_regionkey")
     return chosen.agg(F.min(F.col("version").cast("int")).cast("string").alias("version")).select(
         "model_name", F.when(F.col("n_regionkey") == 1, "Production").otherwise("Default").alias("alias"), "version"
