@@ -46,7 +46,7 @@ def auc_sql(source: str, y: str, key: str = "") -> str:
     return f"""
 auc_d AS (SELECT {k}score, sum({y})::DOUBLE AS p, sum(1 - {y})::DOUBLE AS n FROM {source} GROUP BY {k}score),
 auc_c AS (SELECT *, sum(n) OVER ({part} ORDER BY score) - n AS below FROM auc_d),
-auc AS (SELECT {k}sum(p * (below + n / 2)) / (sum(p) * sum(n)) AS auc FROM auc_c {group})"""
+auc AS (SELECT {k}sum(p * (below + n / 2)) / nullif(sum(p) * sum(n), 0) AS auc FROM auc_c {group})"""
 
 
 def threshold_sql(source: str, y: str, floor: float, key: str = "") -> str:
