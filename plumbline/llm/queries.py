@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import plumbline
+from plumbline.llm.decontamination import contamination
 from plumbline.llm.jaccard_join import jaccard_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +62,9 @@ FROM n LEFT JOIN copies c ON n.n > 0 AND c.grams = n.grams LEFT JOIN least l ON
 def op5(table):
     """Documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more, as components."""
     return jaccard_components(table("documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op1_benchmark_decontamination")
+def op1(table):
+    """Documents that hold a benchmark item, whole or edited, with the item and the place."""
+    return contamination(table("documents"), table("benchmark"))
