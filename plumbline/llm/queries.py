@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import plumbline
+from plumbline.llm.byte_pairs import decode, encode
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.jaccard_join import jaccard_components
 
@@ -68,3 +70,16 @@ def op5(table):
 def op1(table):
     """Documents that hold a benchmark item, whole or edited, with the item and the place."""
     return contamination(table("documents"), table("benchmark"))
+
+
+@query("op7_byte_bpe")
+def op7(table):
+    """Ids of every document by byte-level BPE, and what they decode to, as digests."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    done = decode(encode(table("documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text"), path)
+    return done.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
