@@ -13,6 +13,8 @@ import plumbline
 from plumbline.llm.byte_pairs import decode, encode
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.jaccard_join import jaccard_components
+from plumbline.llm.token_files import read_tokens, write_tokens
+from plumbline.sources.folders import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +85,12 @@ def op7(table):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op6_token_files")
+def op6(table):
+    """Token files of all documents, written in ascending doc_id order and read back."""
+    docs = table("documents")
+    folder = fresh_folder(docs.sparkSession)
+    write_tokens(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
