@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import plumbline
+from plumbline.llm import license_scan, secret_scan
 from plumbline.llm.byte_pairs import decode, encode
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.jaccard_join import jaccard_components
@@ -94,3 +95,65 @@ def op6(table):
     folder = fresh_folder(docs.sparkSession)
     write_tokens(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return read_tokens(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _secrets_sql() -> str:
+    """The scan by plain matching of every rule on every text."""
+    lists = []
+    for i, r in enumerate(secret_scan.RULES):
+        gap, whole, part = (f"{f}(t, {_sql(r.pattern)}{g})" for f, g in (("string_split_regex", ""), ("regexp_extract_all", ", 0"), ("regexp_extract_all", f", {r.group}")))
+        lists.append(f"{gap} AS gap{i}, {whole} AS whole{i}, {part} AS part{i}")
+    spans = []
+    for i, r in enumerate(secret_scan.RULES):
+        before = f"list_sum(list_transform(gap{i}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole{i}[1:i - 1], lambda x: length(x))), 0)"
+        some = f"list_filter(range(1, len(whole{i}) + 1), lambda i: length(part{i}[i]) >= {r.least})"
+        spans.append(f"list_transform({some}, lambda i: {{'s': ({before})::INT, 'k': {i}, 'e': ({before} + length(whole{i}[i]))::INT}}) AS s{i}")
+    names = "[" + ", ".join(_sql(r.kind) for r in secret_scan.RULES) + "]"
+    text = f"array_to_string(list_transform(list_sort(%s), lambda x: {names}[x.k + 1] || ':' || x.s || ':' || x.e), ',')"
+    every = "list_concat(" * (len(spans) - 1) + "s0" + "".join(f", s{i})" for i in range(1, len(spans)))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, {', '.join(lists)} FROM d),
+s AS (SELECT doc_id, {', '.join(spans)} FROM m)
+SELECT doc_id, len(s0)::BIGINT AS n_assign, len(s1)::BIGINT AS n_access, len(s2)::BIGINT AS n_hex,
+       sha256({text % 'list_concat(list_concat(s0, s1), s2)'}) AS base_sha256, {text % every} AS spans
+FROM s"""
+
+
+@query("op4_secret_scan", _secrets_sql())
+def op4(table):
+    """Secrets in every document: counts of the base kinds, a digest of their places, and all places."""
+    found = secret_scan.find_secrets(table("documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"] < len(secret_scan.BASE))
+    of_kind = lambda i: F.size(F.filter("secrets", lambda s: s["kind"] == i)).cast("long")
+    counts = [of_kind(i).alias(f"n_{r.kind}") for i, r in enumerate(secret_scan.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("secrets")).alias("spans"))
+
+
+def _licenses_sql() -> str:
+    known = ", ".join(_sql(s) for many in license_scan.SENTENCES.values() for s in many)
+    names = ", ".join(_sql(i) for i, many in license_scan.SENTENCES.items() for _ in many)
+    run = "run"
+    for licence, ids in license_scan.RULES:
+        run = f"replace({run}, {_sql(''.join(f'<{i}>' for i in ids))}, '[{licence}]')"
+    return rf"""
+WITH s AS (
+  SELECT doc_id, list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), {_sql(license_scan.BREAK)}),
+         lambda s: regexp_replace(regexp_replace(s, '[^a-z0-9.-]+', ' ', 'g'), '^[ .-]+|[ .-]+$', '', 'g')), lambda s: NOT regexp_matches(s, '^[0-9a-z]?$')) AS s
+  FROM documents),
+r AS (SELECT doc_id, list_transform(s, lambda x: CASE WHEN list_contains([{known}], x) THEN '<' || [{names}][list_position([{known}], x)] || '>' ELSE '|' END) AS marks FROM s),
+j AS (SELECT doc_id, regexp_replace(coalesce(array_to_string(marks, ''), ''), '[|]+', '|', 'g') AS run FROM r),
+f AS (SELECT doc_id, {run} AS run FROM j)
+SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(run, '\[([^\]]+)\]', 1))), ',') AS licenses,
+       array_to_string(regexp_extract_all(run, '<([^>]+)>', 1), ',') AS unmatched
+FROM f"""
+
+
+@query("op3_license_scan", _licenses_sql())
+def op3(table):
+    """Licences of every document by sentence rules."""
+    return license_scan.find_licenses(table("documents").select("doc_id", "text")).select("doc_id", "licenses", "unmatched")
