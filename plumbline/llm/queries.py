@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import plumbline
-from plumbline.llm import license_scan, secret_scan
+from plumbline.llm import license_scan, quality_mil, secret_scan
 from plumbline.llm.byte_pairs import decode, encode
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.jaccard_join import jaccard_components
@@ -157,3 +157,16 @@ FROM f"""
 def op3(table):
     """Licences of every document by sentence rules."""
     return license_scan.find_licenses(table("documents").select("doc_id", "text")).select("doc_id", "licenses", "unmatched")
+
+
+def _fold(parts: int):
+    """Remainder of the id's checksum; null for null ids, which are neither learned from nor held out."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+@query("op2_quality_classifier")
+def op2(table):
+    """Quality of every document, learned from the labels of four fifths of them."""
+    model = quality_mil.fit(table("documents"), table("labels").where(_fold(5) != 0))
+    scored = quality_mil.score(table("documents").select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
