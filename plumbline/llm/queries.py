@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import plumbline
-from plumbline.llm import license_scan, quality_mil, secret_scan
+from plumbline.llm import language_id, license_scan, quality_mil, secret_scan
 from plumbline.llm.byte_pairs import decode, encode
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.jaccard_join import jaccard_components
@@ -170,3 +170,12 @@ def op2(table):
     model = quality_mil.fit(table("documents"), table("labels").where(_fold(5) != 0))
     scored = quality_mil.score(table("documents").select("doc_id", "text"), model)
     return scored.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op9_language_id")
+def op9(table):
+    """Language of every document, learned from three quarters of them."""
+    docs = table("documents")
+    model = language_id.fit(docs.where(_fold(4) != 2))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
