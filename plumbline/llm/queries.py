@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import plumbline
-from plumbline.llm import language_id, license_scan, quality_mil, secret_scan
+from plumbline.llm import language_id, license_scan, nearest_forest, quality_mil, secret_scan
 from plumbline.llm.byte_pairs import decode, encode
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.jaccard_join import jaccard_components
@@ -179,3 +179,9 @@ def op9(table):
     model = language_id.fit(docs.where(_fold(4) != 2))
     found = language_id.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op10_nearest_forest")
+def op10(table):
+    """The 20 nearest vectors by inner product for every twentieth vector."""
+    return nearest_forest.search_forest(table("embeddings"), F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score")
