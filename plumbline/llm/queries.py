@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import plumbline
-from plumbline.llm import language_id, license_scan, nearest_forest, quality_mil, secret_scan
+from plumbline.llm import language_id, license_scan, nearest_forest, quality_mil, secret_scan, toxicity_chain
 from plumbline.llm.byte_pairs import decode, encode
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.jaccard_join import jaccard_components
@@ -185,3 +185,12 @@ def op9(table):
 def op10(table):
     """The 20 nearest vectors by inner product for every twentieth vector."""
     return nearest_forest.search_forest(table("embeddings"), F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score")
+
+
+@query("op8_toxicity_chain")
+def op8(table):
+    """Toxic documents with the probability of each category; labels of a fifth of the documents are not learned from."""
+    names = [*toxicity_chain.SEEDS, "toxic"]
+    model = toxicity_chain.fit(table("documents"), table("labels").where(_fold(5) != 0))
+    scored = toxicity_chain.score(table("documents").select("doc_id", "text"), model, names)
+    return scored.where("p_toxic >= 0.5").select("doc_id", *(f"p_{n}" for n in names), F.lit(1).alias("predicted"))
