@@ -32,6 +32,8 @@ SEEDS = {
     "degrading": ("scum", "trash", "worthless"),
     "contempt": ("stupid", "pathetic", "disgusting"),
 }
+#: Chi-square below which a hash may tell the label by chance.
+LEAST_GAIN = 15.0
 #: Bytes of word beginnings.
 BEGINNINGS = (4, 5)
 
@@ -132,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     df, hit = np.bincount(where), np.bincount(where, y[text], len(keys))
     share = y.mean()
     gain = np.where(df >= 3, (hit - df * share) ** 2 / (df * share * (1 - share) * (1 - df / len(y)) + 1e-9), -1)
-    chosen = keys[np.lexsort((keys, -gain))[:most_features]]
+    chosen = keys[[i for i in np.lexsort((keys, -gain))[:most_features] if gain[i] >= LEAST_GAIN]]
     seeds = {name: [word_hash(w) for w in words] for name, words in SEEDS.items()}
     targets = [np.array([v and np.isin(np.array(s, np.uint64), h).any() for h, v in zip(sets, y, strict=True)]) for s in seeds.values()]
     model = Chain([*SEEDS, label], np.sort(chosen), [])
