@@ -11,9 +11,9 @@ one row per document with the component of the link graph it belongs to.
    group of class k keeps a combination unless p - k + 1 of them are missing, so the prefix is extended until these numbers sum to more
    than t(x); then linked sets share an entry. Combinations keep the lists of passages and copies that a large share of the documents
    hold short.
-3. Exact copies (one digest of the set) are one class. In each list every class is first compared with the most ordinary one (the star
-   round); components of those links are contracted, and only pairs of classes in different components, whose parity bitmaps do not rule
-   out a link, are compared after that. No list is expanded into all its pairs.
+3. Exact copies (one digest of the set) are one class. In each list every class is first compared with the most ordinary one of its size
+   (the star round); components of those links are contracted, and after that only classes of fitting sizes in different components
+   are compared. Parity bitmaps rule pairs out inside the joins, so few leave them.
 4. Each candidate pair is verified on its texts.
 
 Rows without words have 0 n-grams, link to nothing and are their own component. A null id takes part like any other; it is never the
@@ -23,13 +23,15 @@ least id of a component unless all are null. Repeated ids are separate rows. Oth
 from __future__ import annotations
 
 import hashlib
+import math
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.tables import components, written
@@ -39,8 +41,8 @@ from plumbline.llm.words import Hasher, mix, per_text, shingles, slices, utf8
 COUNTERS, BLOCK = 1 << 18, 1 << 13
 #: Classes 2 and 3 hold n-grams that this share of the documents contains.
 SHARES = (0.01, 0.1)
-#: 64-bit numbers of a parity bitmap.
-BITMAP = 8
+#: 64-bit numbers of a parity bitmap, and of its folded form.
+BITMAP, FOLDS = 32, 4
 
 def _sets(batch: pa.RecordBatch, column: str, hasher: Hasher, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per text: its words, its n-grams in order of position, made distinct, and where each stands first."""
@@ -75,11 +77,11 @@ def _sketch(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
                 totals[0] += np.bincount(_slot(words), minlength=COUNTERS)
                 totals[1] += np.bincount(_slot(shingles(words, per_text(starts, offsets), k)[0]), minlength=COUNTERS)
         blocks = totals.reshape(-1, BLOCK)
-        yield pa.record_batch({"block": pa.array(range(len(blocks)), pa.int32()), "counts": pa.array([x.tobytes() for x in blocks])})
+        yield pa.record_batch({"block": pa.array(range(len(blocks)), pa.int32()), "counts": pa.array([zlib.compress(x.tobytes(), 1) for x in blocks])})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, np.int64) for x in pdf["counts"]], axis=0)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [total.tobytes()]})
+        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["counts"])
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "block int, counts binary"
     rows = docs.select(text_col).mapInArrow(count, schema)
@@ -88,7 +90,7 @@ def _sketch(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
     got = {r["block"]: r["counts"] for r in rows.groupBy("block").applyInPandas(add, schema).collect()}
     if not got:
         return np.zeros((2, COUNTERS), np.int64)
-    return np.frombuffer(b"".join(got[b] for b in sorted(got)), np.int64).reshape(2, COUNTERS)
+    return np.frombuffer(b"".join(zlib.decompress(got[b]) for b in sorted(got)), np.int64).reshape(2, COUNTERS)
 
 
 def entries(words: np.ndarray, distinct: np.ndarray, at: np.ndarray, k: int, percent: int, rarity: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -140,11 +142,18 @@ def bitmap(distinct: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
-    """Every row of `docs` with `n_shingles` and `component_id` (the smallest id reachable by links), by the method above."""
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's id, text name, size and class (columns id, name, n, cls), and every class's component with its smallest id."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # Two hashes and the length name a text, so that texts of few classes can be picked without encoding all of them again.
+    name = F.struct(F.xxhash64(text_col).alias("h"), F.hash(text_col).alias("g"), F.octet_length(text_col).alias("l"))
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), name.alias("name"))
     counters = _sketch(plain, "text", k)
     n_docs = plain.count()
     context = docs.sparkSession.sparkContext
@@ -155,111 +164,137 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         hasher = Hasher()
         for batch in batches:
             for part in slices(batch, "text"):
-                sizes, digests, scores, lists = [], [], [], []
+                sizes, digests, scores, lists, bits = [], [], [], [], []
                 for words, distinct, at in _sets(part, "text", hasher, k):
                     sizes.append(len(distinct))
                     digests.append(_digest(distinct) if len(distinct) else None)
                     scores.append(float(rarity.value[_slot(words)].mean()) if len(words) else 0.0)
                     lists.append(entries(words, distinct, at, k, percent, rarity.value, known.value).view(np.int64) if len(distinct) else np.zeros(0, np.int64))
-                flat = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+                    bits.append(bitmap(distinct) if len(lists[-1]) else np.zeros(0, np.int64))
                 yield pa.record_batch(
                     {
                         "id": part.column("id"),
+                        "name": part.column("name"),
                         "n": pa.array(sizes, pa.int64()),
                         "cls": pa.array(digests, pa.binary()),
                         "score": pa.array(scores, pa.float32()),
-                        "entries": pa.ListArray.from_arrays(pa.array(ends), flat),
+                        "bits": _lists(bits),
+                        "entries": _lists(lists),
                     }
                 )
 
     kind = plain.schema["id"].dataType.simpleString()
-    marks = written(plain.mapInArrow(mark, f"id {kind}, n long, cls binary, score float, entries array<long>"))
-    posts = marks.select("cls", "score", F.explode("entries").alias("entry"))
-    # The most ordinary words first: an original before its edited copies.
-    lists = posts.groupBy("entry").agg(F.min(F.struct(-F.col("score"), "cls")).alias("hub"), F.min("cls").alias("low"), F.max("cls").alias("high"))
-    lists = lists.where("low <> high").select("entry", F.col("hub.cls").alias("hub"))
-    shared = written(posts.join(lists, "entry").select("entry", "cls", "hub").distinct())
+    marks = written(plain.mapInArrow(mark, f"id {kind}, name struct<h:long,g:int,l:int>, n long, cls binary, score float, bits array<long>, entries array<long>"))
+    # Only an entry and a class number of 8 bytes each are shuffled for all entries; the digest tells classes apart from there on.
+    posts = marks.select(F.xxhash64("cls").alias("c"), F.explode("entries").alias("entry"))
+    lists = posts.groupBy("entry").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("entry")
+    held = written(posts.join(lists, "entry").distinct())
+    marked = marks.where(F.size("bits") > 0).select("cls", F.xxhash64("cls").alias("c"), "n", "score", "bits", "name")
+    classes = marked.join(held.select("c").distinct(), "c", "left_semi").groupBy("cls", "c")
+    classes = classes.agg(*(F.first(x).alias(x) for x in ("n", "score", "bits")), F.min("name").alias("name"))
+    classes = written(classes.withColumn("level", _level(F.col("n"))).withColumns({f"f{i}": _fold(i) for i in range(FOLDS)}))
+    shared = held.join(classes.select("c", "cls", "score", "level"), "c").drop("c")
 
-    texts = written(_class_texts(plain, shared.select("cls").distinct(), k))
-    star = shared.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    first = written(_verified(_near(star, texts, percent), texts, k, percent))
+    # The most ordinary words first: an original before its edited copies.
+    hubs = shared.groupBy("entry", "level").agg(F.min(F.struct(-F.col("score"), "cls")).alias("hub"))
+    star = shared.join(hubs, ["entry", "level"]).where("cls <> hub.cls").select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct()
+    first = written(_verified(written(_near(star, classes, percent)), plain, classes, k, percent))
     label = written(components(first))
 
-    # What is left: pairs within a list whose classes are in different components, one of them not the hub's.
+    # What is left: pairs within a list whose classes are in different components, so that one is not in the component of the most
+    # ordinary member. Partners have one of the size levels of the first.
     named = shared.join(label.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    main = named.where("cls = hub").select("entry", F.col("component").alias("main"))
-    open_ = named.join(main, "entry").where("cls <> hub")
-    narrow = texts.select("cls", "n", "bits")
-    rest = written(open_.where("component <> main").select("entry", "cls", "component").join(narrow, "cls"))
-    # Lists in which all classes have joined their hub drop out here.
-    still = rest.select("entry").distinct()
-    others = open_.join(still, "entry").select("entry", "cls", "component", "main").join(narrow, "cls")
+    main = named.groupBy("entry").agg(F.min_by("component", F.struct(-F.col("score"), "cls")).alias("main"))
+    open_ = written(named.join(main, "entry").select("entry", "cls", "component", "main", "level"))
+    still = open_.where("component <> main").select("entry").distinct()
+    narrow = classes.select("cls", "n", *(f"f{i}" for i in range(FOLDS)))
+    levels = F.sequence(_level(F.ceil(F.col("n") * percent / 100)), _level(F.floor(F.col("n") * 100 / percent)))
+    rest = open_.where("component <> main").select("entry", "cls", "component").join(narrow, "cls").withColumn("level", F.explode(levels))
+    others = open_.join(still, "entry").select("entry", "cls", "component", "main", "level").join(narrow, "cls")
     r, o = rest.alias("r"), others.alias("o")
-    rule = (F.col("r.entry") == F.col("o.entry")) & (F.col("r.component") != F.col("o.component")) & _may_link("r", "o", percent)
+    same = (F.col("r.entry") == F.col("o.entry")) & (F.col("r.level") == F.col("o.level")) & (F.col("r.component") != F.col("o.component"))
     once = (F.col("o.component") == F.col("o.main")) | (F.col("r.cls") < F.col("o.cls"))
-    more = r.join(o, rule & once).select(F.least("r.cls", "o.cls").alias("a"), F.greatest("r.cls", "o.cls").alias("b")).distinct()
-    second = _verified(more, texts, k, percent)
+    folded = [F.bit_count(F.col(f"r.f{i}").bitwiseXOR(F.col(f"o.f{i}"))) for i in range(FOLDS)]
+    near = same & once & _fits(F.col("r.n"), F.col("o.n"), sum(folded), percent)
+    more = r.join(o, near).select(F.least("r.cls", "o.cls").alias("a"), F.greatest("r.cls", "o.cls").alias("b")).distinct()
+    second = _verified(written(_near(more, classes, percent)), plain, classes, k, percent)
     final = components(written(first.union(second)))
 
     ids = marks.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("least"))
     ids = ids.join(final.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     ids = written(ids)
     least = ids.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = ids.join(least, "component").select("cls", "component_id")
-    return marks.join(by_class, "cls", "left").select(
+    return marks.select("id", "name", "n", "cls"), ids.join(least, "component").select("cls", "component", "component_id")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
+    """Every row's id with `n_shingles` and `component_id` (the smallest id reachable by links), by the method above."""
+    rows, classes = _classified(docs, id_col, text_col, k, percent)
+    return rows.join(classes, "cls", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
-def _class_texts(plain: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """One text of each wanted class, with its size and parity bitmap."""
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
+    """One row of `docs` per component: the one with the smallest id, of equal or null ids that with the least text hash.
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = Hasher(), set()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                rows, digests, sizes, bits = [], [], [], []
-                for i, (_, distinct, _) in enumerate(_sets(part, "text", hasher, k)):
-                    name = _digest(distinct) if len(distinct) else None
-                    if name and name not in seen:  # copies within a task go once
-                        seen.add(name)
-                        rows.append(i)
-                        digests.append(name)
-                        sizes.append(len(distinct))
-                        bits.append(bitmap(distinct))
-                if rows:
-                    yield pa.record_batch(
-                        {
-                            "cls": pa.array(digests, pa.binary()),
-                            "n": pa.array(sizes, pa.int64()),
-                            "bits": pa.array([b.tolist() for b in bits], pa.list_(pa.int64())),
-                            "text": part.column("text").take(pa.array(rows)),
-                        }
-                    )
-
-    every = plain.select("text").mapInArrow(digest, "cls binary, n long, bits array<long>, text string")
-    return every.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("text").alias("text"))
-
-
-def _may_link(a: str, b: str, percent: int):
-    """False only for pairs that sizes or bitmaps rule out: linked sets differ in (100 - p)/(100 + p) of the sum of their sizes at most."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = sum(F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(BITMAP))
+    Rows without words are components of their own; of rows with the same id and text only one stays.
+    """
+    rows, classes = _classified(docs, id_col, text_col, k, percent)
+    best = F.struct(F.col("id").isNull().alias("none"), "id", "name")
+    best = rows.join(classes, "cls").groupBy("component").agg(F.min(best).alias("best")).select("best.id", "best.name")
+    key = [F.xxhash64("id").alias("_i"), F.col("name.h").alias("_h"), F.col("name.g").alias("_g"), F.col("name.l").alias("_l")]
+    stay = best.select(*key).union(rows.where("cls IS NULL").select(*key).distinct())
+    names = ["_i", "_h", "_g", "_l"]
+    named = docs.withColumns({"_i": F.xxhash64(id_col), "_h": F.xxhash64(text_col), "_g": F.hash(text_col), "_l": F.octet_length(text_col)})
+    for c in names:  # a null text has no length
+        named, stay = named.withColumn(c, F.coalesce(c, F.lit(-1).cast(named.schema[c].dataType))), stay.withColumn(c, F.coalesce(c, F.lit(-1).cast(named.schema[c].dataType)))
+    return named.join(stay, names, "left_semi").dropDuplicates(names).drop(*names)
+
+
+def _level(n: Column) -> Column:
+    """Size level: grows with the size, one step for a ninth more."""
+    return F.floor(F.log(n) / math.log(10 / 9)).cast("int")
+
+
+#: Rows of (text name, class) that may be broadcast: about 50 bytes each.
+MOST_NAMES = 200_000
+
+
+def _texts(plain: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One text of each class in `pairs`."""
+    wanted = classes.select("cls", "name").join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls")
+    if pairs.count() <= MOST_NAMES // 2:  # so at most MOST_NAMES classes
+        wanted = F.broadcast(wanted)
+    return plain.select("name", "text").join(wanted, "name").groupBy("cls").agg(F.first("text").alias("text"))
+
+
+def _fold(i: int) -> Column:
+    """Every FOLDS-th number of a bitmap, combined: a smaller parity bitmap with the same promise."""
+    out = F.col("bits")[i]
+    for j in range(i + FOLDS, BITMAP, FOLDS):
+        out = out.bitwiseXOR(F.col("bits")[j])
+    return out
+
+
+def _fits(n: Column, m: Column, differ: Column, percent: int) -> Column:
+    """False only where sizes or differing bits rule a link out: linked sets differ in (100 - p)/(100 + p) of their sizes' sum at most."""
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ * (100 + percent) <= (n + m) * (100 - percent))
 
 
-def _near(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    narrow = texts.select("cls", "n", "bits")
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    narrow = classes.select("cls", "n", "bits")
     p = pairs.join(narrow.select(F.col("cls").alias("a"), F.struct("n", "bits").alias("x")), "a")
     p = p.join(narrow.select(F.col("cls").alias("b"), F.struct("n", "bits").alias("y")), "b")
-    return p.where(_may_link("x", "y", percent)).select("a", "b")
+    differ = sum(F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(BITMAP))
+    return p.where(_fits(F.col("x.n"), F.col("y.n"), differ, percent)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, plain: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose texts link."""
+    texts = written(_texts(plain, classes, pairs))
     p = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
     p = p.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
 
