@@ -66,12 +66,12 @@ def psi_severity(value: Column, cfg: DriftConfig, output: bool = False) -> Colum
 def last_window(
     log: DataFrame, size: int, time: str = "created_at", tie_break: str = "id"
 ) -> DataFrame:
-    """The newest ``size`` rows of the log.
+    """The newest ``size`` rows of the log, by a top-k over it.
 
-    A top-k over the log. The few rows are persisted because every metric of
-    the check reads them.
+    Lazy: every action reads the log as it is then. A job that reads the window
+    several times keeps it itself and lets go of it afterwards.
     """
-    return log.orderBy(col(time).desc(), col(tie_break).desc()).limit(size).persist()
+    return log.orderBy(col(time).desc(), col(tie_break).desc()).limit(size)
 
 
 def _psi_rows(
@@ -196,8 +196,6 @@ def categorical_chi2(
     rescaling; that needs one pass over the cells instead of two.
     """
     counts = label_counts(df, categorical_labels(df, profile), keys)
-    if not df.is_cached:
-        counts = counts.persist()  # one row per category, read twice; spares a scan of ``df``
     return categorical_chi2_of(counts, profile, cfg, keys)
 
 

@@ -162,9 +162,8 @@ def recall_thresholds(
         .where((F.col("tp_above") + F.col("pos")) / F.col("positives") >= min_recall)
         .select(*key_cols, "range", "positives", "tp_above", "fp_above")
     )
-    crossing = crossing.persist()  # one row per key
-    if crossing.count() <= MAX_BROADCAST_KEYS:
-        crossing = F.broadcast(crossing)
+    if not keys:
+        crossing = F.broadcast(crossing)  # one row
     rest = ("positives", "tp_above", "fp_above")
     within = placed.join(crossing, [*keys, "range"]).groupBy(*key_cols, "score", *rest).agg(
         F.count_if(F.col("y") == 1).cast("double").alias("pos"),

@@ -186,6 +186,6 @@ def build_profile(
         stats=stats,
         shares=shares,
         categorical=tuple(categorical),
-        categories=category_shares(df, categorical).persist() if categorical else None,
+        categories=category_shares(df, categorical) if categorical else None,
         output=output,
     )

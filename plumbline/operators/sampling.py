@@ -1,15 +1,15 @@
 """Deterministic sampling, splitting and what-if shifts.
 
 Rows are ordered by a seeded hash of a unique key. A split is then a set of
-cut-off hashes, found exactly by rank search, and every row is assigned by
-comparing its own hash: no sort of the table, no window with two giant
-partitions, and the same answer on every run and cluster size.
+cut-off hashes per class, found exactly by counting hash buckets, and every row
+is assigned by comparing its own hash: no sort of the table, no window over a
+giant class, any number of classes, and the same answer on every run and
+cluster size.
 """
 
 from __future__ import annotations
 
 import math
-from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +18,8 @@ from plumbline.config import SHIFT_PROFILES, SplitConfig
 from plumbline.functions.columns import col
 from plumbline.operators.ranks import values_at_ranks
 
-MAX_STRATA = 32
+# Leading bits of the hash that make up a bucket; a class has at most 2^16 buckets.
+BUCKET_BITS = 16
 
 
 def row_hash(key: str | list[str], seed: int) -> Column:
@@ -26,47 +27,59 @@ def row_hash(key: str | list[str], seed: int) -> Column:
     return F.xxhash64(*[col(k) for k in keys], F.lit(seed))
 
 
-def class_counts(df: DataFrame, label: str) -> dict:
-    rows = df.groupBy(col(label)).agg(F.count(F.lit(1)).alias("n")).limit(MAX_STRATA + 1).collect()
-    return {r[0]: r["n"] for r in rows}
+def apportion(table: DataFrame, size: str, total: int, name: str) -> DataFrame:
+    """Add ``name``: ``total`` split over the rows of a class table in proportion to ``size``, by largest remainder.
 
-
-def apportion(total: int, sizes: dict) -> dict:
-    """Split ``total`` over classes in proportion to size, by largest remainder."""
-    everything = sum(sizes.values())
-    exact = {c: Fraction(total * n, everything) for c, n in sizes.items()}
-    out = {c: int(x) for c, x in exact.items()}
-    spare = total - sum(out.values())
-    order = sorted(sizes, key=lambda c: (out[c] - exact[c], str(c)))
-    for c in order[:spare]:
-        out[c] += 1
-    return out
-
-
-def _assign(df: DataFrame, label: str, h: Column, cuts: dict[object, list[int]], name: str) -> DataFrame:
-    """Part number of each row = how many of its class's cut ranks its hash has passed."""
-    columns = {f"s{i}": F.when(col(label).eqNullSafe(F.lit(c)), h) for i, c in enumerate(cuts)}
-    series = {f"s{i}": c for i, c in enumerate(cuts)}
-    near = sorted({r / max(n, 1) for rs in cuts.values() for r, n in rs})
-    found = values_at_ranks(
-        df, columns, near, lambda s, _: [r for r, _n in cuts[series[s]]], dtype="bigint"
-    )
-    part = F.lit(None).cast("int")
-    for i, c in enumerate(cuts):
-        passed = F.lit(0)
-        for r, n in cuts[c]:
-            # A cut at or past the end of the class leaves the later parts empty.
-            if r < n:
-                passed = passed + (h >= F.lit(found[f"s{i}"].values[r])).cast("int")
-        part = F.when(col(label).eqNullSafe(F.lit(c)), passed).otherwise(part)
-    return df.withColumn(name, part)
-
-
-def _assign_many(df: DataFrame, label: str, h: Column, parts, name: str) -> DataFrame:
-    """The same for a label with many classes: rank inside each class."""
-    order = Window.partitionBy(col(label)).orderBy(h)
-    size = F.count(F.lit(1)).over(Window.partitionBy(col(label)))
-    return df.withColumn(name, parts(F.row_number().over(order) - 1, size))
+    Ties go to the class that sorts first as text. The classes that get one more
+    are found by a top-k over the class table.
+    """
+    everything = table.agg(F.sum(size)).first()[0] or 0
+    if not everything:
+        return table.withColumn(name, F.lit(0).cast("long"))
+    product = F.col(size).cast("decimal(38,0)") * F.lit(total).cast("decimal(18,0)")
+    whole = F.floor(product / F.lit(everything)).cast("long")
+    exact = F.lit(everything).cast("decimal(18,0)")
+    left = (F.lit(total).cast("decimal(18,0)") * F.col(size).cast("decimal(18,0)") - whole.cast("decimal(18,0)") * exact).cast("decimal(38,0)")
+    out = table.withColumns({name: whole, "_left": left})
+    spare = total - (out.agg(F.sum(name)).first()[0] or 0)
+    if spare > 0:
+        more = out.orderBy(F.col("_left").desc(), "_class").limit(spare).select("_class", F.lit(1).alias("_one"))
+        out = out.join(more, "_class", "left").withColumn(name, F.col(name) + F.coalesce("_one", F.lit(0))).drop("_one")
+    return out.drop("_left")
+
+
+def _class_key(label: str) -> Column:
+    """The class as text, with a name of its own for missing labels."""
+    return F.coalesce(F.concat(F.lit("="), col(label).cast("string")), F.lit("null"))
+
+
+def _assign(df: DataFrame, label: str, h: Column, cuts_of, name: str) -> DataFrame:
+    """Part number of each row: how many of its class's cut ranks its hash has passed.
+
+    ``cuts_of`` turns the class table (``_class``, ``size``) into (``_class``,
+    ``cuts``). Hash buckets are counted per class, which tells in which bucket
+    each cut falls; only rows of those buckets are ranked, so that a class with
+    most of the rows is spread over its buckets. The cut-off hashes (a few per
+    class) are then joined to the rows; a frequent class is split by the join.
+    """
+    bucket = F.shiftright("_h", 64 - BUCKET_BITS)
+    keyed = df.withColumns({"_class": _class_key(label), "_h": h})
+    counts = keyed.groupBy("_class", bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("_class").agg(F.sum("n").alias("size"))
+    cuts = cuts_of(sizes).select("_class", F.posexplode("cuts").alias("_cut", "_rank"))
+    running = F.sum("n").over(Window.partitionBy("_class").orderBy("_bucket"))
+    placed = counts.withColumn("_before", running - F.col("n")).join(cuts, "_class")
+    placed = placed.where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("n")))
+    placed = placed.select("_class", "_bucket", (F.col("_rank") - F.col("_before")).alias("_offset"))
+    within = keyed.select("_class", "_h", bucket.alias("_bucket")).join(placed.select("_class", "_bucket").distinct(), ["_class", "_bucket"], "left_semi")
+    order = Window.partitionBy("_class", "_bucket").orderBy("_h")
+    within = within.withColumn("_offset", F.row_number().over(order) - 1)
+    limits = within.join(placed, ["_class", "_bucket", "_offset"]).groupBy("_class").agg(F.collect_list("_h").alias("_limits"))
+    # A cut at or past the end of a class has no limit: the later parts stay empty.
+    passed = F.size(F.filter("_limits", lambda x: x <= F.col("_h")))
+    # One row per class; a class has no limits only when all its cuts are past its end.
+    joined = keyed.join(limits, "_class", "left")
+    return joined.withColumn(name, F.coalesce(F.when(F.col("_limits").isNotNull(), passed), F.lit(0))).select(*[col(c) for c in df.columns], name)
 
 
 def stratified_split(
@@ -90,44 +103,31 @@ def train_test_split(
 
 
 def _split(df, label, key, cfg: SplitConfig, name: str, parts: list[str]) -> DataFrame:
-    sizes = class_counts(df, label)
-    h = row_hash(key, cfg.seed)
-    names = F.array(*[F.lit(p) for p in parts])
-    if len(sizes) > MAX_STRATA:
-        share = [cfg.train, cfg.train + cfg.validation] if len(parts) == 3 else [cfg.train]
-
-        def part(i: Column, n: Column) -> Column:
-            out = F.lit(0)
-            for s in share:
-                out = out + (i >= F.floor(n * s + 1e-9)).cast("int")
-            return out
-
-        placed = _assign_many(df, label, h, part, "_part")
-        return placed.withColumn(name, F.get(names, F.col("_part"))).drop("_part")
-    n = sum(sizes.values())
-    if len(parts) == 2:
-        train = apportion(n - math.ceil(n * cfg.test - 1e-9), sizes)
-        cuts = {c: [(train[c], sizes[c])] for c in sizes}
-    else:
-        train = apportion(math.floor(n * cfg.train + 1e-9), sizes)
-        rest = {c: sizes[c] - train[c] for c in sizes}
-        left = sum(rest.values())
-        test = apportion(math.ceil(left * cfg.test / (cfg.validation + cfg.test) - 1e-9), rest) if left else rest
-        cuts = {c: [(train[c], sizes[c]), (sizes[c] - test[c], sizes[c])] for c in sizes}
-    placed = _assign(df, label, h, cuts, "_part")
-    return placed.withColumn(name, F.get(names, F.col("_part"))).drop("_part")
+    def cuts_of(sizes: DataFrame) -> DataFrame:
+        n = sizes.agg(F.sum("size")).first()[0] or 0
+        if len(parts) == 2:
+            table = apportion(sizes, "size", n - math.ceil(n * cfg.test - 1e-9), "train")
+            return table.select("_class", F.array("train").alias("cuts"))
+        table = apportion(sizes, "size", math.floor(n * cfg.train + 1e-9), "train").withColumn("rest", F.col("size") - F.col("train"))
+        left = table.agg(F.sum("rest")).first()[0] or 0
+        table = apportion(table, "rest", math.ceil(left * cfg.test / (cfg.validation + cfg.test) - 1e-9) if left else 0, "test")
+        return table.select("_class", F.array("train", F.col("size") - F.col("test")).alias("cuts"))
+
+    placed = _assign(df, label, row_hash(key, cfg.seed), cuts_of, "_part")
+    return placed.withColumn(name, F.get(F.array(*[F.lit(p) for p in parts]), F.col("_part"))).drop("_part")
 
 
 def stratified_folds(
     df: DataFrame, label: str, key: str | list[str], k: int = 5, seed: int = 42, name: str = "fold"
 ) -> DataFrame:
     """Add a fold number 0..k-1; fold sizes differ by at most one row within a class."""
-    sizes = class_counts(df, label)
-    h = row_hash(key, seed)
-    if len(sizes) > MAX_STRATA:
-        return _assign_many(df, label, h, lambda i, n: F.floor(i * k / n).cast("int"), name)
-    cuts = {c: [(math.ceil(j * n / k), n) for j in range(1, k)] for c, n in sizes.items()}
-    return _assign(df, label, h, cuts, name)
+    def cuts_of(sizes: DataFrame) -> DataFrame:
+        ranks = [F.ceil(F.col("size") * j / F.lit(k)).cast("long") for j in range(1, k)]
+        return sizes.select("_class", F.array(*ranks).alias("cuts"))
+
+    if k < 2:
+        return df.withColumn(name, F.lit(0))
+    return _assign(df, label, row_hash(key, seed), cuts_of, name)
 
 
 def split_summary(df: DataFrame, label: str, by: str = "split") -> DataFrame:

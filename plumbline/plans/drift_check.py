@@ -46,6 +46,16 @@ def previous_severity(reports: DataFrame | None) -> str | None:
     return newest["s"]
 
 
+def newest_rows(log: DataFrame, size: int) -> DataFrame:
+    """The newest ``size`` rows as a table of their own.
+
+    A window is a few hundred rows. Taken out once, all parts of a check see the
+    same rows, no cache stays behind, and the next check reads the log anew.
+    """
+    window = last_window(log, size)
+    return log.sparkSession.createDataFrame(window.collect(), window.schema)
+
+
 def check_window(
     window: DataFrame,
     profile: ReferenceProfile,
@@ -66,8 +76,7 @@ def check_window(
     if window.count() < cfg.min_window_size:
         report = facts.withColumn("severity", F.lit("insufficient_data"))
         return DriftCheck("insufficient_data", report, None, None)
-    # A few rows per feature, read by the report, the alert and the caller.
-    metrics = drift_metrics(window, profile, cfg).persist()
+    metrics = drift_metrics(window, profile, cfg)
     severity = overall_severity(metrics).first()["severity"]
     report_id = F.sha2(F.concat_ws("|", "model_name", "window_end", "created_at"), 256).substr(1, 32)
     report = facts.withColumn("severity", F.lit(severity)).withColumn("report_id", report_id)
@@ -107,7 +116,7 @@ def check_drift(
     as_of: Column,
 ) -> DriftCheck:
     """Check the newest predictions of the log and store the outcome."""
-    window = last_window(log, cfg.window_size)
+    window = newest_rows(log, cfg.window_size)
     previous = previous_severity(read_or_none(spark, f"{root}/{REPORTS}"))
     check = check_window(window, profile, cfg, previous, as_of)
     store_check(check, root)

@@ -124,7 +124,7 @@ def estimator(name: str, numeric: list[str], categorical: list[str], rows: int,
     elif name == "random_forest":
         model = RandomForestClassifier(
             numTrees=params.get("trees", cfg.trees),
-            maxDepth=params.get("depth") or min(MAX_TREE_DEPTH, 15),
+            maxDepth=params.get("depth") or MAX_TREE_DEPTH,
             minInstancesPerNode=params.get("min_leaf", cfg.min_leaf),
             weightCol=WEIGHT,
             seed=seed,

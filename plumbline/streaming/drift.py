@@ -18,13 +18,12 @@ from plumbline.operators.drift import (
     OUTPUT,
     categorical_chi2_of,
     categorical_labels,
-    last_window,
     overall_severity,
     psi_labels,
     psi_of,
 )
 from plumbline.operators.profile import Binned, ReferenceProfile, feature_of, long_labels
-from plumbline.plans.drift_check import ALERTS, METRICS, REPORTS, check_window, previous_severity
+from plumbline.plans.drift_check import ALERTS, METRICS, REPORTS, check_window, newest_rows, previous_severity
 from plumbline.streaming.runtime import for_each_batch, read_batches, write_batch
 
 WINDOW = "window"
@@ -45,7 +44,7 @@ def check_each_batch(
         rows = batch
         if before is not None:
             rows = rows.unionByName(before.where(F.col("batch") == batch_id - 1).drop("batch"))
-        window = last_window(rows, cfg.window_size)
+        window = newest_rows(rows, cfg.window_size)
         as_of = F.lit(window.agg(F.max("created_at")).first()[0])
         previous = previous_severity(read_batches(spark, f"{root}/{REPORTS}", batch_id))
         check = check_window(window, profile, cfg, previous, as_of)
@@ -54,7 +53,6 @@ def check_each_batch(
             write_batch(check.metrics, f"{root}/{METRICS}", batch_id)
             write_batch(check.alert, f"{root}/{ALERTS}", batch_id)
             write_batch(check.report, f"{root}/{REPORTS}", batch_id)
-        window.unpersist()
 
     return for_each_batch(scored, handle, checkpoint)
 

@@ -12,7 +12,6 @@ from plumbline.operators.drift import (
     contract_colour,
     drift_metrics,
     event_payload,
-    last_window,
     numeric_psi,
     output_psi,
     overall_severity,
@@ -21,7 +20,7 @@ from plumbline.operators.drift import (
 )
 from plumbline.functions.text import metrics_block, version_number
 from plumbline.operators.profile import bins_table, build_profile, stats_table
-from plumbline.plans.drift_check import alerts_with_reports, check_window, period_alerts, period_reports, result_tables
+from plumbline.plans.drift_check import alerts_with_reports, check_window, newest_rows, period_alerts, period_reports, result_tables
 from plumbline.sources.tables import as_of, newest
 from plumbline.workloads.adapters import (
     CATEGORICAL,
@@ -185,7 +184,7 @@ def event_profile(t: Tables):
 
 
 def event_window(t: Tables) -> DataFrame:
-    return last_window(prediction_log(t.events), CFG.window_size)
+    return newest_rows(prediction_log(t.events), CFG.window_size)
 
 
 def line_parts(t: Tables) -> tuple[DataFrame, DataFrame]:

@@ -75,17 +75,19 @@ runs AS (
 
 
 def artifacts(t: Tables) -> DataFrame:
-    """Artifact files per run: one kind per return flag of the supplier's largest, most discounted lines."""
+    """Artifact files per run: every line of a supplier says which file it wrote, or none (a null path)."""
     kinds = F.create_map(F.lit("A"), F.lit("schema.json"), F.lit("N"), F.lit("threshold.json"), F.lit("R"), F.lit("card.md"))
-    lines = t.lineitem.where((F.col("l_quantity") >= 48) & (F.col("l_discount") >= 0.05))
-    return lines.select(F.concat(F.lit("run-"), F.col("l_suppkey")).alias("run_id"), kinds[F.col("l_returnflag")].alias("path"))
+    wrote = (F.col("l_quantity") >= 48) & (F.col("l_discount") >= 0.05)
+    run = F.concat(F.lit("run-"), F.col("l_suppkey")).alias("run_id")
+    return t.lineitem.select(run, F.when(wrote, kinds[F.col("l_returnflag")]).alias("path"))
 
 
 ARTIFACTS_SQL = """
 artifacts AS (
   SELECT DISTINCT 'run-' || l_suppkey AS run_id,
-         CASE l_returnflag WHEN 'A' THEN 'schema.json' WHEN 'N' THEN 'threshold.json' ELSE 'card.md' END AS path
-  FROM lineitem WHERE l_quantity >= 48 AND l_discount >= 0.05),
+         CASE WHEN l_quantity < 48 OR l_discount < 0.05 THEN NULL
+              WHEN l_returnflag = 'A' THEN 'schema.json' WHEN l_returnflag = 'N' THEN 'threshold.json' ELSE 'card.md' END AS path
+  FROM lineitem),
 missing AS (
   SELECT model_name, version, array_to_string(list_filter(['schema.json', 'threshold.json', 'card.md'],
          lambda p: NOT list_contains(coalesce(a.found, []), p)), ',') AS missing

@@ -309,6 +309,46 @@ def two_way_split_summary(t: Tables) -> DataFrame:
     return split_summary(train_test_split(t.labels, "quality", "doc_id", test=0.30), "quality")
 
 
+# Classes of very different sizes, some of them with a single row.
+PART_CLASS_SQL = "p_brand || '/' || (p_size // 5)"
+
+
+def part_classes(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", F.concat_ws("/", "p_brand", F.floor(F.col("p_size") / 5)).alias("y"))
+
+
+@query(
+    "stratified_split_many_classes",
+    f"""WITH c AS (SELECT {PART_CLASS_SQL} AS y, count(*) AS n FROM part GROUP BY 1), s AS (SELECT sum(n)::BIGINT AS n FROM c),
+q AS (SELECT y, c.n, floor(s.n * 0.6)::BIGINT AS k, (floor(s.n * 0.6)::BIGINT * c.n // s.n)::BIGINT AS w, (floor(s.n * 0.6)::BIGINT * c.n % s.n)::BIGINT AS m FROM c, s),
+b AS (SELECT *, w + (row_number() OVER (ORDER BY m DESC, '=' || y) <= k - sum(w) OVER ())::INT AS train FROM q),
+r AS (SELECT y, n, train, n - train AS rest, ceil(sum(n - train) OVER () * 0.5)::BIGINT AS k2, (sum(n - train) OVER ())::BIGINT AS left_n FROM b),
+d AS (SELECT *, (k2 * rest // left_n)::BIGINT AS w2, (k2 * rest % left_n)::BIGINT AS m2 FROM r),
+e AS (SELECT *, w2 + (row_number() OVER (ORDER BY m2 DESC, '=' || y) <= k2 - sum(w2) OVER ())::INT AS test FROM d),
+p AS (SELECT y, 'train' AS split, train AS m FROM e UNION ALL SELECT y, 'validation', rest - test FROM e UNION ALL SELECT y, 'test', test FROM e)
+SELECT y, split, m::BIGINT AS rows FROM p WHERE m > 0""",
+)
+def stratified_split_many_classes(t: Tables) -> DataFrame:
+    """Rows per class and part of a three-way split over many classes."""
+    split = stratified_split(part_classes(t), "y", "p_partkey")
+    return split.groupBy("y", "split").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    "two_way_split_many_classes",
+    """WITH c AS (SELECT l_suppkey AS y, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT sum(n)::BIGINT AS n FROM c),
+q AS (SELECT y, c.n, (s.n - ceil(s.n * 0.2))::BIGINT AS k, ((s.n - ceil(s.n * 0.2))::BIGINT * c.n // s.n)::BIGINT AS w, ((s.n - ceil(s.n * 0.2))::BIGINT * c.n % s.n)::BIGINT AS m FROM c, s),
+b AS (SELECT *, w + (row_number() OVER (ORDER BY m DESC, '=' || y) <= k - sum(w) OVER ())::INT AS train FROM q),
+p AS (SELECT y, 'train' AS split, train AS m FROM b UNION ALL SELECT y, 'test', n - train FROM b)
+SELECT y, split, m::BIGINT AS rows FROM p WHERE m > 0""",
+)
+def two_way_split_many_classes(t: Tables) -> DataFrame:
+    """Rows per supplier and part of a two-way split of all lines."""
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("y"))
+    split = train_test_split(lines, "y", ["l_orderkey", "l_linenumber"])
+    return split.groupBy("y", "split").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query(
     "kfold_summary",
     """WITH c AS (SELECT (event_type = 'click')::INT AS y, count(*) AS n FROM events GROUP BY 1)

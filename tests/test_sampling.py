@@ -45,10 +45,25 @@ def test_two_way_split_and_folds(rows):
     assert sorted(r["count"] for r in folds if r["y"] == 0) == [26, 27, 27]
 
 
-def test_many_classes(spark):
-    df = spark.createDataFrame([(i, i % 50) for i in range(1000)], "id bigint, y int")
-    split = stratified_split(df, "y", "id").groupBy("y", "split").count().collect()
-    assert {(r["split"], r["count"]) for r in split} == {("train", 12), ("validation", 4), ("test", 4)}
+@pytest.mark.parametrize("classes, per_class", [(32, 2), (33, 2), (50, 20), (40, 1)])
+def test_many_classes(spark, classes, per_class):
+    """Exact totals and shares within one row of every class, whatever the number of classes."""
+    n = classes * per_class
+    df = spark.createDataFrame([(i, i % classes) for i in range(n)], "id bigint, y int")
+    split = stratified_split(df, "y", "id").groupBy("split").count().collect()
+    train = int(n * 0.6)
+    test = -(-(n - train) // 2)
+    assert {r["split"]: r["count"] for r in split} == {"train": train, "validation": n - train - test, "test": test}
+    each = stratified_split(df, "y", "id").where("split = 'train'").groupBy("y").count().collect()
+    assert all(abs(r["count"] - per_class * 0.6) < 1 for r in each)
+    two = {r["split"]: r["count"] for r in train_test_split(df, "y", "id", test=0.3).groupBy("split").count().collect()}
+    assert two["test"] == -(-n * 3 // 10)
+
+
+def test_missing_labels_are_a_class(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "null") for i in range(40)], "id bigint, y string")
+    got = {(r["y"], r["split"]): r["count"] for r in stratified_split(df, "y", "id").groupBy("y", "split").count().collect()}
+    assert got == {(y, s): c for y in (None, "null") for s, c in (("train", 12), ("validation", 4), ("test", 4))}
 
 
 def test_tiny_classes(spark):
