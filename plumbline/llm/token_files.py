@@ -14,6 +14,8 @@ rows stay. Every document ends with the end id, so none is without ids.
 
 from __future__ import annotations
 
+import json
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +29,15 @@ from plumbline.llm.words import slices, utf8
 
 #: Bytes of raw ids in one block.
 BLOCK = 4 << 20
-#: Text units whose ids a worker keeps.
+#: Words whose ids a worker keeps.
 KEPT = 1_000_000
 
 #: White space besides the space and the line feed.
 OTHER_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (0x0A, 0x20)]
 
+#: Signs that may stand behind a word.
+SIGNS = string.punctuation
+
 #: Lengths of the four numbers of each control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
@@ -62,43 +67,69 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out
 
 
+class _Words(dict):
+    """Ids of words behind one kind of gap, worked out when first asked for."""
+
+    def __init__(self, encoder: UnitEncoder, gap: str):
+        self.encoder, self.gap = encoder, gap
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.encoder.unit(self.gap, word)
+        return ids
+
+
 class UnitEncoder:
-    """Encodes texts by units that the tokenizer treats apart, keeping the ids of units it has seen.
+    """Encodes texts word by word, keeping the ids of the words it has seen.
 
     For a byte-level tokenizer with the usual pre-token pattern, a single space or line feed between two other characters starts a new
-    pre-token. Texts with other white space between units, or with an added token in them, are encoded whole.
+    pre-token, so words can be encoded apart; a word of letters behind a space is one pre-token, which goes straight to the tokenizer's
+    merges. Texts with other white space, or with an added token in them, and all texts of other tokenizers are encoded whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        known = json.loads(self.tokenizer.to_str())
+        before, model = known["pre_tokenizer"] or {}, known["model"]
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not known["normalizer"]
+        self.apart = bool(plain and model["type"] == "BPE" and not model.get("dropout"))
+        self.merges = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ids: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def units(self, text: str) -> list[str] | None:
+        # Byte-level vocabularies write a byte as the character of its number where that is printable, the others, in order, as characters
+        # from 256 on (so the space is U+0120).
+        printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        self.letters = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
+        self.first, self.spaced, self.lined = (_Words(self, gap) for gap in ("", " ", "\n"))
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def unit(self, gap: str, word: str) -> bytes:
+        if gap == " ":
+            stem = word.rstrip(SIGNS)
+            if stem.isalpha():
+                if len(stem) < len(word):  # the signs behind a word are one pre-token
+                    return self.spaced[stem] + self.first[word[len(stem) :]]
+                written = ("\u0120" + word) if word.isascii() else "\u0120" + word.encode().decode("latin-1").translate(self.letters)
+                return np.array([t.id for t in self.merges.tokenize(written)], "<u4").tobytes()
+        return self._whole(gap + word)
+
+    def encode(self, text: str) -> bytes:
         flat = text.replace("\n", " ")
-        if "  " in flat or flat[:1] == " " or flat[-1:] == " " or any(c in text for c in OTHER_SPACES) or any(t in text for t in self.added):
-            return None
-        out = []
-        for n, line in enumerate(text.split("\n")):
-            first, *words = line.split(" ")
-            out.append("\n" + first if n else first)
-            out += [" " + w for w in words]
-        return out
+        if not self.apart or "  " in flat or flat[:1] == " " or flat[-1:] == " " or any(c in text for c in OTHER_SPACES) or any(t in text for t in self.added):
+            return self._whole(text)
+        out, words, get = [], self.first, self.spaced.__getitem__
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append(words[first])
+            out += map(get, rest)
+            words = self.lined
+        return b"".join(out)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.ids) > KEPT:
-            self.ids = {}
-        parts = [self.units(t) for t in texts]
-        new = list({u for p in parts if p for u in p if u not in self.ids})
-        for a in range(0, len(new), 4096):
-            self.ids.update(zip(new[a : a + 4096], self._whole(new[a : a + 4096]), strict=True))
-        whole = iter(self._whole([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        get = self.ids.__getitem__
-        return [next(whole) if p is None else b"".join(map(get, p)) for p in parts]
+        for words in (self.first, self.spaced, self.lined):
+            if len(words) > KEPT:
+                words.clear()
+        return [self.encode(t) for t in texts]
 
 
 _encoders: dict[str, UnitEncoder] = {}  # one per worker process
