@@ -15,6 +15,9 @@ Nothing is updated in place; "current" is always derived.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,17 +205,19 @@ def gate(
     above the floor, other metrics known, no regression against Production.
     """
     own = metrics.withColumn("known", F.lit(True))
-    current = production.join(
-        metrics.withColumnRenamed("version", "production_version"), ["model_name", "production_version"], "left"
-    ).select("model_name", "production_version", *[F.col(m).alias(f"production_{m}") for m in ALLOWED_METRIC_DROP])
+    # Production of a model, or of a single request when it says which one.
+    of = ["request_id"] if "request_id" in production.columns else ["model_name"]
+    live = metrics.select(
+        "model_name", F.col("version").alias("production_version"), *[F.col(m).alias(f"production_{m}") for m in ALLOWED_METRIC_DROP]
+    )
     lacking = artifacts_missing.select("model_name", "version", "missing")
     exists = versions.select("model_name", "version", F.lit(True).alias("exists"))
     facts = (
         exists.join(own, ["model_name", "version"], "left")
         .join(lacking, ["model_name", "version"], "left")
-        .join(current, "model_name", "left")
     )
-    judged = requests.join(facts, ["model_name", "version"], "left").withColumns(
+    judged = requests.join(facts, ["model_name", "version"], "left").join(production.select(*of, "production_version"), of, "left")
+    judged = judged.join(live, ["model_name", "production_version"], "left").withColumns(
         {
             "failed_items": failed_checks(),
             "regressions": F.when(F.col("production_version").isNotNull(), metric_regressions()),
@@ -241,6 +246,50 @@ def gate(
     )
 
 
+def production_in_order(
+    eligible: DataFrame, production: DataFrame, metrics: DataFrame, order: tuple[str, ...]
+) -> DataFrame:
+    """(request_id, production_version, position): what is live when each eligible request's turn comes.
+
+    Requests of a model are read in order, one after another, with the version
+    live at that point as the only state: an accepted one is the base of the
+    next. Rows stream through, so a model with very many requests takes time but
+    no memory. ``position`` counts the requests of a model.
+    """
+    names = list(ALLOWED_METRIC_DROP)
+    base = metrics.select("model_name", F.col("version").alias("production_version"), *[F.col(m).alias(f"base_{m}") for m in names])
+    start = production.select("model_name", "production_version").join(base, ["model_name", "production_version"], "left")
+    rows = (
+        eligible.select("request_id", "model_name", "version", *[col(c) for c in order])
+        .join(metrics, ["model_name", "version"], "left")
+        .join(start, "model_name", "left")
+        .repartition("model_name")
+        .sortWithinPartitions("model_name", *[col(c) for c in order], "request_id")
+        .select("request_id", "model_name", "version", *names, "production_version", *[f"base_{m}" for m in names])
+    )
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, live, values, position = None, None, (), 0
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                own = row[3 : 3 + len(names)]
+                if row.model_name != model:
+                    model, position = row.model_name, 0
+                    live, values = row.production_version, row[4 + len(names) :]
+                position += 1
+                out.append((row.request_id, live, position))
+                known = all(pd.notna(v) for n, v in zip(names, own) if n != "test_recall")
+                # A comparison with a missing number is no regression.
+                worse = any(v < b - ALLOWED_METRIC_DROP[n] for n, v, b in zip(names, own, values) if pd.notna(v) and pd.notna(b))
+                if pd.isna(live) or (known and not worse):
+                    live, values = row.version, own
+            yield pd.DataFrame(out, columns=["request_id", "production_version", "position"])
+
+    request_type = eligible.schema["request_id"].dataType.simpleString()
+    return rows.mapInPandas(fold, f"request_id {request_type}, production_version string, position long")
+
+
 def first_requests(requests: DataFrame, audit: DataFrame | None = None, order: tuple[str, ...] = ("created_at",)) -> DataFrame:
     """Requests to judge: the first row per request_id, unless the audit log has it already.
 
@@ -282,11 +331,13 @@ def promotions(judged: DataFrame) -> DataFrame:
         "model_name", "version", F.lit("production").alias("lifecycle_status"), F.col("created_at").alias("at"),
         F.coalesce("production_version", F.lit("")).alias("previous_production_version"),
         F.lit(None).cast("string").alias("archived_reason"),
+        "position",
     )
     replaced = accepted.where(F.col("production_version") != F.col("version")).select(
         "model_name", F.col("production_version").alias("version"), F.lit("archived").alias("lifecycle_status"),
         F.col("created_at").alias("at"), F.lit(None).cast("string").alias("previous_production_version"),
         F.concat(F.lit("replaced_by_v"), F.col("version")).alias("archived_reason"),
+        "position",
     )
     return live.unionByName(replaced)
 
@@ -311,11 +362,13 @@ def mirror_rows(judged: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def lifecycle_state(events: DataFrame) -> DataFrame:
-    """Current state per (model, version), and per model the version live last.
+    """Current state per (model, version).
 
-    A version archived and made live at the same instant is live.
+    Events of one instant count in the order of their requests (``position``,
+    where it is known); a version archived and made live by one request is live.
     """
-    order = F.struct("at", F.col("lifecycle_status") == "production")
+    position = F.coalesce("position", F.lit(0)) if "position" in events.columns else F.lit(0)
+    order = F.struct("at", position, F.col("lifecycle_status") == "production")
     return events.groupBy("model_name", "version").agg(
         F.max_by("lifecycle_status", order).alias("lifecycle_status"), F.max("at").alias("since")
     )

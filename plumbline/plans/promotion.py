@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from plumbline.config import MIN_RECALL
 from plumbline.operators.registry import (
@@ -13,6 +14,7 @@ from plumbline.operators.registry import (
     metric_columns,
     mirror_rows,
     missing_artifacts,
+    production_in_order,
     promotions,
     version_metadata,
 )
@@ -31,18 +33,19 @@ def promote(
 ) -> dict[str, DataFrame]:
     """Judge every new request and return the rows to append to each table.
 
-    Requests are judged against Production as it stands when the round starts.
+    Requests are judged in order; each is compared with the version live at its
+    turn, which the accepted request before it may have put there. What does not
+    depend on that (checklist, version, artifacts, recall floor) is judged first,
+    so that only requests that may pass are gone through in order.
     """
     production = current_production(versions, aliases, mirror)
     metadata = version_metadata(versions, runs)
-    judged = gate(
-        first_requests(requests, audit, order),
-        versions,
-        production,
-        metric_columns(metadata),
-        missing_artifacts(versions, artifacts),
-        min_recall,
-    )
+    metrics, lacking = metric_columns(metadata), missing_artifacts(versions, artifacts)
+    asked = first_requests(requests, audit, order)
+    alone = gate(asked, versions, production.where(F.lit(False)), metrics, lacking, min_recall)
+    turns = production_in_order(alone.where(F.col("status") == "accepted"), production, metrics, order)
+    judged = gate(asked, versions, turns, metrics, lacking, min_recall)
+    judged = judged.join(turns.select("request_id", "position"), "request_id", "left")
     return {
         "judged": judged,
         "audit": audit_rows(judged),

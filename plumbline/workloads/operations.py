@@ -140,22 +140,35 @@ fallback AS (
   WHERE v.stage <> 'Production' AND p.model_name IS NULL GROUP BY v.model_name)"""
 
 REGISTRY_SQL = f"WITH {VERSIONS_SQL}, {ALIASES_SQL}, {PRODUCTION_SQL}"
-GATE_SQL = f"""{REGISTRY_SQL}, {RUNS_SQL}, {ARTIFACTS_SQL}, {REQUESTS_SQL},
+GATE_SQL = f"""{REGISTRY_SQL.replace('WITH', 'WITH RECURSIVE', 1)}, {RUNS_SQL}, {ARTIFACTS_SQL}, {REQUESTS_SQL},
 metrics AS (SELECT model_name, version, auc, recall, f1 FROM versions JOIN runs USING (run_id)),
-judged AS (
-  SELECT f.request_id, f.model_name, f.version, f.created_at, f.failed, p.production_version,
+alone AS (
+  SELECT f.*, m.auc, m.f1, m.recall,
     CASE WHEN f.failed <> '' THEN 'promotion checklist failed'
       WHEN v.version IS NULL THEN 'model version not found'
       WHEN a.missing <> '' THEN 'missing artifacts'
       WHEN m.recall IS NULL THEN 'promotion metrics unavailable'
-      WHEN m.recall < 0.75 THEN 'candidate recall is below the required operating floor'
-      WHEN p.production_version IS NOT NULL AND (m.auc < q.auc - 0.02::DOUBLE OR m.f1 < q.f1 - 0.02::DOUBLE OR m.recall < q.recall)
-        THEN 'candidate metrics regress against current Production' END AS error_message
+      WHEN m.recall < 0.75 THEN 'candidate recall is below the required operating floor' END AS error
   FROM firsts f LEFT JOIN versions v ON v.model_name = f.model_name AND v.version = f.version
   LEFT JOIN missing a ON a.model_name = f.model_name AND a.version = f.version
-  LEFT JOIN metrics m ON m.model_name = f.model_name AND m.version = f.version
-  LEFT JOIN production p ON p.model_name = f.model_name AND v.version IS NOT NULL
-  LEFT JOIN metrics q ON q.model_name = p.model_name AND q.version = p.production_version)"""
+  LEFT JOIN metrics m ON m.model_name = f.model_name AND m.version = f.version),
+eligible AS (
+  SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY created_at, l_linenumber, l_extendedprice, request_id) AS n FROM alone WHERE error IS NULL),
+turns AS (
+  SELECT DISTINCT e.model_name, 0::BIGINT AS n, NULL::VARCHAR AS request_id, NULL::VARCHAR AS base, false AS worse,
+         p.production_version AS live, q.auc, q.f1, q.recall
+  FROM eligible e LEFT JOIN production p ON p.model_name = e.model_name
+  LEFT JOIN metrics q ON q.model_name = p.model_name AND q.version = p.production_version
+  UNION ALL
+  SELECT model_name, n, request_id, base, worse, CASE WHEN worse THEN base ELSE version END, CASE WHEN worse THEN pa ELSE auc END,
+         CASE WHEN worse THEN pf ELSE f1 END, CASE WHEN worse THEN pr ELSE recall END
+  FROM (SELECT e.model_name, e.n, e.request_id, e.version, e.auc, e.f1, e.recall, t.live AS base, t.auc AS pa, t.f1 AS pf, t.recall AS pr,
+               coalesce(t.live IS NOT NULL AND (e.auc < t.auc - 0.02::DOUBLE OR e.f1 < t.f1 - 0.02::DOUBLE OR e.recall < t.recall), false) AS worse
+        FROM turns t JOIN eligible e ON e.model_name = t.model_name AND e.n = t.n + 1)),
+judged AS (
+  SELECT a.request_id, a.model_name, a.version, a.created_at, a.failed, t.base AS production_version, t.n AS position,
+    CASE WHEN a.error IS NOT NULL THEN a.error WHEN t.worse THEN 'candidate metrics regress against current Production' END AS error_message
+  FROM alone a LEFT JOIN turns t ON t.request_id = a.request_id)"""
 
 
 def production(t: Tables) -> DataFrame:
@@ -255,9 +268,9 @@ def promotion_gate(t: Tables) -> DataFrame:
     "promotion_lifecycle",
     f"""{GATE_SQL}, ok AS (SELECT * FROM judged WHERE error_message IS NULL),
 life AS (
-  SELECT model_name, version, 'production' AS s, created_at FROM ok
-  UNION ALL SELECT model_name, production_version, 'archived', created_at FROM ok WHERE production_version <> version)
-SELECT model_name, version, arg_max(s, (created_at, s = 'production')) AS lifecycle_status, strftime(max(created_at), '%Y-%m-%d %H:%M:%S.%f') AS since
+  SELECT model_name, version, 'production' AS s, created_at, position FROM ok
+  UNION ALL SELECT model_name, production_version, 'archived', created_at, position FROM ok WHERE production_version <> version)
+SELECT model_name, version, arg_max(s, (created_at, position, s = 'production')) AS lifecycle_status, strftime(max(created_at), '%Y-%m-%d %H:%M:%S.%f') AS since
 FROM life GROUP BY model_name, version""",
 )
 def promotion_lifecycle(t: Tables) -> DataFrame:
