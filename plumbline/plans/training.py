@@ -7,9 +7,9 @@ import json
 from dataclasses import dataclass, field
 from random import Random
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,11 +77,32 @@ def grid(name: str, cfg: TrainingConfig) -> list[dict]:
     return settings
 
 
+class ModeImputer(Estimator):
+    """Fits to a stage that writes each category column, missing values replaced by the most frequent one, as ``<name>__known``.
+
+    What it fits to is a plain ``SQLTransformer``, so the fill values are saved
+    and loaded with the model and every fold has its own.
+    """
+
+    def __init__(self, columns: list[str]) -> None:
+        super().__init__()
+        self.columns = columns
+
+    def _fit(self, dataset: DataFrame) -> SQLTransformer:
+        modes = category_modes(dataset, self.columns)
+        known = [f"coalesce(CAST(`{n}` AS STRING), {_quoted(modes.get(n) or '')}) AS `{n}__known`" for n in self.columns]
+        return SQLTransformer(statement=f"SELECT *, {', '.join(known)} FROM __THIS__")
+
+
+def _quoted(text: str) -> str:
+    inner = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{inner}'"
+
+
 def preprocessing(numeric: list[str], categorical: list[str], scale: bool) -> list:
-    """Median-impute (and optionally standardise) numbers; one-hot encode categories.
+    """Median-impute (and optionally standardise) numbers; mode-impute and one-hot encode categories.
 
-    A category not seen in training is encoded as all zeros. Missing categories
-    are filled beforehand by ``fill_modes``.
+    A category not seen in training is encoded as all zeros.
     """
     stages, inputs = [], []
     if numeric:
@@ -97,7 +118,8 @@ def preprocessing(numeric: list[str], categorical: list[str], scale: bool) -> li
         index = [f"{n}__index" for n in categorical]
         onehot = [f"{n}__onehot" for n in categorical]
         stages += [
-            StringIndexer(inputCols=categorical, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"),
+            ModeImputer(categorical),
+            StringIndexer(inputCols=[f"{n}__known" for n in categorical], outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"),
             OneHotEncoder(inputCols=index, outputCols=onehot, dropLast=True, handleInvalid="error"),
         ]
         inputs += onehot
@@ -148,20 +170,23 @@ def category_modes(df: DataFrame, categorical: list[str]) -> dict[str, str]:
     """Most frequent value of each categorical column (smallest on a tie)."""
     if not categorical:
         return {}
-    row = df.agg(*[F.mode(col(n), True).alias(f"m{i}") for i, n in enumerate(categorical)]).first()
-    return {n: row[f"m{i}"] for i, n in enumerate(categorical)}
+    names = {f"m{i}": n for i, n in enumerate(categorical)}
+    long = df.select(*[col(n).cast("string").alias(m) for m, n in names.items()]).unpivot([], list(names), "series", "value")
+    counts = long.where("value IS NOT NULL").groupBy("series", "value").agg(F.count(F.lit(1)).alias("n"))
+    # Counts and the choice are combined before each shuffle; one row per column remains.
+    best = counts.groupBy("series").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("value")).collect()
+    return {n: None for n in categorical} | {names[r["series"]]: r["value"] for r in best}
 
 
-def prepare(df: DataFrame, target: str, modes: dict[str, str] | None = None) -> tuple[DataFrame, list[str], list[str]]:
-    """Flat column names, double features, an integer ``label``, filled categories."""
+def prepare(df: DataFrame, target: str) -> tuple[DataFrame, list[str], list[str]]:
+    """Flat column names, double features, an integer ``label``."""
     flat, _ = with_flat_names(df)
     target = flat_name(target)
     numeric, categorical = split_by_type(flat, (target,))
     out = flat.withColumns({n: col(n).cast("double") for n in numeric})
     if target in flat.columns:
         out = out.withColumn("label", col(target).cast("int"))
-    fill = {n: v for n, v in (modes or {}).items() if v is not None}
-    return (out.fillna(fill) if fill else out), numeric, categorical
+    return out, numeric, categorical
 
 
 def balanced(df: DataFrame) -> DataFrame:
@@ -305,6 +330,8 @@ class TrainingResult:
     candidates: list[Candidate]
     test_metrics: dict
     runs: DataFrame
+    numeric: list[str]
+    categorical: list[str]
 
 
 def train(
@@ -323,8 +350,6 @@ def train(
     numeric = [n for n in numeric if n != flat_name(key)]
     categorical = [n for n in categorical if n != flat_name(key)]
     placed = stratified_split(ready, "label", flat_name(key), cfg.split)
-    modes = category_modes(placed.where(F.col("split") == "train"), categorical)
-    placed = placed.fillna({n: v for n, v in modes.items() if v is not None}) if modes else placed
     keep = [*numeric, *categorical, "label", flat_name(key), "split"]
     placed = placed.select(*[col(c) for c in dict.fromkeys(keep)]).persist()
     training = balanced(stratified_folds(placed.where(F.col("split") == "train"), "label", flat_name(key), cfg.folds, cfg.split.seed)).persist()
@@ -336,7 +361,7 @@ def train(
     candidates.append(tune(pick(spark, candidates), training, validation, numeric, categorical, rows, cfg))
     best = pick(spark, candidates)
     test_metrics = evaluate(best.model, placed.where(F.col("split") == "test"), best.threshold["threshold"])
-    result = TrainingResult(best, candidates, test_metrics, run_records(spark, candidates, cfg))
+    result = TrainingResult(best, candidates, test_metrics, run_records(spark, candidates, cfg), numeric, categorical)
     if artifact_root:
         save_artifacts(spark, result, artifact_root)
     training.unpersist()
@@ -353,15 +378,32 @@ def flat_test_metrics(result: TrainingResult) -> dict[str, float]:
 
 
 def save_artifacts(spark: SparkSession, result: TrainingResult, root: str) -> None:
-    """Model, metrics, threshold and run log under one folder."""
+    """Model, metrics, threshold, serving schema and run log under one folder."""
     result.best.model.write().overwrite().save(f"{root}/model")
     flat = {"cv_auc": result.best.cv_auc, **flat_test_metrics(result)}
     local_table(spark, list(flat.items()), "metric string, value double").write.mode("overwrite").json(f"{root}/metrics")
     threshold = list(result.best.threshold.items())
     local_table(spark, threshold, "name string, value double").write.mode("overwrite").json(f"{root}/threshold")
+    schema = [(n, "double") for n in result.numeric] + [(n, "string") for n in result.categorical]
+    local_table(spark, schema, "feature string, kind string").coalesce(1).write.mode("overwrite").json(f"{root}/schema")
     result.runs.write.mode("append").parquet(f"{root}/runs")
 
 
+def score_with_artifacts(spark: SparkSession, root: str, df: DataFrame) -> DataFrame:
+    """Score ``df`` with a stored model at its stored threshold.
+
+    The stored schema says which features to read and how: a feature that
+    ``df`` lacks is missing in every row (and imputed by the model), other
+    columns are handed through.
+    """
+    model = PipelineModel.load(f"{root}/model")
+    stored = {r["name"]: r["value"] for r in spark.read.schema("name string, value double").json(f"{root}/threshold").collect()}
+    flat, _ = with_flat_names(df)
+    features = spark.read.schema("feature string, kind string").json(f"{root}/schema").collect()
+    typed = {r["feature"]: (col(r["feature"]) if r["feature"] in flat.columns else F.lit(None)).try_cast(r["kind"]) for r in features}
+    return score(model, flat.withColumns(typed), stored["threshold"])
+
+
 # The cut a classifier uses by itself, as opposed to the tuned threshold.
 DEFAULT_CUT = 0.5
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from plumbline.operators.sampling import train_test_split
+from plumbline.operators.sampling import stratified_split, train_test_split
 from plumbline.plans.training import (
     TrainingConfig,
     balanced,
@@ -19,6 +19,7 @@ from plumbline.plans.training import (
     replay,
     retrain,
     score,
+    score_with_artifacts,
     train,
     with_probability,
 )
@@ -53,8 +54,7 @@ def test_balanced_weights(spark):
 def test_unseen_category_and_forest(spark, rows):
     ready, numeric, categorical = prepare(rows, "y")
     assert "emp_var_rate" in numeric and "job" in categorical
-    modes = category_modes(ready, categorical)
-    ready = ready.fillna(modes)
+    assert category_modes(ready, categorical)["job"] in ("admin.", "student", "services")
     numeric.remove("id")
     cfg = TrainingConfig(trees=5)
     model = estimator("random_forest", numeric, categorical, 400, cfg, depth=4).fit(balanced(ready))
@@ -76,10 +76,19 @@ def test_train_end_to_end(spark, rows, tmp_path):
     runs = spark.read.parquet(str(tmp_path / "art" / "runs")).collect()
     assert len(runs) == 3 and runs[0]["params"]["stratified"] == "true" and "validation_auc" in runs[0]["metrics"]
     model = PipelineModel.load(str(tmp_path / "art" / "model"))
-    line = replay(model, rows.fillna({"job": "admin."}), "y", "id").first()
+    line = replay(model, rows, "y", "id").first()
     assert line["n_test_rows"] == 120 and line["summary"].startswith(f"AUC={line['auc']:.4f}, F1={line['f1']:.4f}")
-    same = with_probability(model, prepare(rows.fillna({"job": "admin."}), "y")[0])
-    assert same.where("probability is null").count() == 0
+    fresh = {r["id"]: r["probability"] for r in with_probability(result.best.model, prepare(rows, "y")[0]).collect()}
+    loaded = {r["id"]: r["probability"] for r in with_probability(model, prepare(rows, "y")[0]).collect()}
+    assert loaded == fresh and None not in loaded.values()
+    # A missing category counts as the most frequent one of the training part, here and in the stored artifacts.
+    part = stratified_split(prepare(rows, "y")[0], "label", "id", SMALL.split).where("split = 'train'")
+    filled = rows.fillna({"job": category_modes(part, ["job"])["job"]})
+    assert {r["id"]: r["probability"] for r in with_probability(model, prepare(filled, "y")[0]).collect()} == fresh
+    stored = score_with_artifacts(spark, str(tmp_path / "art"), rows.drop("y").withColumn("more", F.lit(1))).collect()
+    assert {r["id"]: r["probability"] for r in stored} == fresh
+    assert all(r["prediction"] == int(r["probability"] >= result.best.threshold["threshold"]) for r in stored)
+    assert score_with_artifacts(spark, str(tmp_path / "art"), rows.drop("job")).where("probability is null").count() == 0
 
 
 def test_retrain_numbers_the_version(spark, rows, tmp_path):
