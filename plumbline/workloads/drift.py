@@ -418,8 +418,9 @@ def drift_event_message(t: Tables) -> DataFrame:
     )
 
 
+DAYS_SQL = "SELECT *, strftime(created_at, '%Y-%m-%d') AS day FROM cur"
 PERIOD_SQL = f"""WITH {LOG_SQL},
-days AS (SELECT *, strftime(created_at, '%Y-%m-%d') AS day FROM cur),
+days AS ({DAYS_SQL}),
 facts AS (SELECT day, count(*) AS window_size, max_by(model_version, (created_at, id)) AS model_version FROM days GROUP BY day HAVING count(*) >= 50),
 rlong AS ({long_sql('ref', NUMERIC)}), clong AS ({long_sql('days', NUMERIC, 'day')}),
 {edges_sql()}, {psi_sql('clong', 'day')}, {chi2_sql('ref', 'days', CATEGORICAL, 'day')}, {output_sql('days', 'day')},
@@ -445,6 +446,32 @@ def daily(t: Tables) -> tuple[DataFrame, DataFrame]:
     return period_reports(log, event_profile(t), CFG, "day")
 
 
+# The current part in periods of three days, named by their first day: the first is as it was, then values double (twice), then they
+# move a little and half of the events change their type, then all is as before.
+SHIFTED_SQL = """
+  SELECT * EXCLUDE (value, event_type, prediction, p), value, event_type, CASE WHEN value >= 50 THEN 1 ELSE 0 END AS prediction,
+         '2024-01-' || lpad((3 * p)::VARCHAR, 2, '0') AS day
+  FROM (SELECT * EXCLUDE (value, event_type), CASE WHEN p IN (6, 7) THEN value * 2 + 20 WHEN p = 8 THEN value + 12 ELSE value END AS value,
+               CASE WHEN p = 8 AND id % 2 = 0 THEN 'click' ELSE event_type END AS event_type
+        FROM (SELECT *, day(created_at) // 3 AS p FROM cur))"""
+SHIFTED_PERIOD_SQL = PERIOD_SQL.replace(DAYS_SQL, SHIFTED_SQL)
+
+
+def shifted(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Reports and metrics of the shifted periods."""
+    log = current_part(prediction_log(t.events)).withColumn("p", F.floor(F.dayofmonth("created_at") / 3))
+    p, value = F.col("p"), F.col("value")
+    log = log.withColumns(
+        {
+            "value": F.when(p.isin(6, 7), value * 2 + 20).when(p == 8, value + 12).otherwise(value),
+            "event_type": F.when((p == 8) & (F.col("id") % 2 == 0), "click").otherwise(F.col("event_type")),
+            "day": F.concat(F.lit("2024-01-"), F.lpad((3 * p).cast("string"), 2, "0")),
+        }
+    )
+    log = log.withColumn("prediction", (value >= 50).cast("int")).drop("p")
+    return period_reports(log, event_profile(t), CFG, "day")
+
+
 @query(
     "drift_alert_transitions",
     f"""{PERIOD_SQL} SELECT day, window_size, severity, previous_severity,
@@ -454,9 +481,12 @@ substr(model_version, 2)::INT AS version FROM reports""",
 )
 def drift_alert_transitions(t: Tables) -> DataFrame:
     """Daily severity history and which days raise an alert."""
+    return alert_transitions_of(*daily(t))
+
+
+def alert_transitions_of(reports: DataFrame, _: DataFrame) -> DataFrame:
     from plumbline.operators.drift import raises_alert
 
-    reports, _ = daily(t)
     return reports.select(
         "day", "window_size", "severity", "previous_severity",
         raises_alert(F.col("severity"), F.col("previous_severity")).alias("alert"),
@@ -475,7 +505,10 @@ FROM alerts a JOIN ranked r USING (day) WHERE r.r <= 5 GROUP BY a.day, a.severit
 )
 def drift_alert_messages(t: Tables) -> DataFrame:
     """Alert days with their five largest signals as message text."""
-    reports, metrics = daily(t)
+    return alert_messages_of(*daily(t))
+
+
+def alert_messages_of(reports: DataFrame, metrics: DataFrame) -> DataFrame:
     alerts = period_alerts(reports, metrics, "day")
     return alerts.select("day", "severity", metrics_block(F.col("top_metrics")).alias("metrics_block"))
 
@@ -486,12 +519,47 @@ def drift_alert_messages(t: Tables) -> DataFrame:
 FROM alerts a JOIN reports r USING (day)""",
 )
 def alert_report_join(t: Tables) -> DataFrame:
-    reports, metrics = daily(t)
+    return alert_report_join_of(*daily(t))
+
+
+def alert_report_join_of(reports: DataFrame, metrics: DataFrame) -> DataFrame:
     rows = reports.withColumn("report_id", F.col("day")).withColumn("model_name", F.lit(CFG.model_name))
     alerts = period_alerts(reports, metrics, "day").select(F.col("day").alias("report_id"), "severity")
     return alerts_with_reports(alerts, rows).select("report_id", "severity", "window_size", "previous_severity", "model_version")
 
 
+@query(
+    "drift_alert_transitions_shifted",
+    f"""{SHIFTED_PERIOD_SQL} SELECT day, window_size, severity, previous_severity,
+severity IN ('medium', 'high', 'critical') AND severity IS DISTINCT FROM previous_severity AS alert,
+CASE severity WHEN 'medium' THEN 'yellow' WHEN 'high' THEN 'red' ELSE 'green' END AS colour,
+substr(model_version, 2)::INT AS version FROM reports""",
+)
+def drift_alert_transitions_shifted(t: Tables) -> DataFrame:
+    return alert_transitions_of(*shifted(t))
+
+
+@query(
+    "drift_alert_messages_shifted",
+    f"""{SHIFTED_PERIOD_SQL},
+ranked AS (SELECT m.*, row_number() OVER (PARTITION BY day ORDER BY value DESC, src, feature) AS r FROM metrics m JOIN alerts a USING (day))
+SELECT a.day, a.severity, string_agg('  - ' || feature || ' (' || metric || '): ' || printf('%.4f', value) || ' (threshold ' ||
+  CASE metric WHEN 'chi2' THEN '0.0500' ELSE '0.2000' END || ')', chr(10) ORDER BY r) AS metrics_block
+FROM alerts a JOIN ranked r USING (day) WHERE r.r <= 5 GROUP BY a.day, a.severity""",
+)
+def drift_alert_messages_shifted(t: Tables) -> DataFrame:
+    return alert_messages_of(*shifted(t))
+
+
+@query(
+    "alerts_with_reports_shifted",
+    f"""{SHIFTED_PERIOD_SQL} SELECT a.day AS report_id, a.severity, r.window_size, r.previous_severity, r.model_version
+FROM alerts a JOIN reports r USING (day)""",
+)
+def alert_report_join_shifted(t: Tables) -> DataFrame:
+    return alert_report_join_of(*shifted(t))
+
+
 @query(
     "recent_reports",
     f"{PERIOD_SQL} SELECT day, window_size, severity, previous_severity FROM reports ORDER BY day DESC LIMIT 10",

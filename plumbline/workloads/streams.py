@@ -15,8 +15,10 @@ from plumbline.workloads.adapters import LOG_SQL, current_part, prediction_log,
 from plumbline.workloads.drift import (
     METRICS_SQL,
     PERIOD_SQL,
+    SHIFTED_PERIOD_SQL,
     daily,
     event_profile,
+    shifted,
 )
 from plumbline.workloads.operations import job_dedupe  # noqa: F401
 from plumbline.workloads.quality import CHECKED_SQL, EVENT_CONTRACT, event_payloads
@@ -89,8 +91,17 @@ def stream_window_reports(t: Tables) -> DataFrame:
 @query("stream_severity_alerts", f"{PERIOD_SQL} SELECT day, severity, previous_severity FROM alerts")
 def stream_severity_alerts(t: Tables) -> DataFrame:
     """Alerts of the daily report stream, with the previous severity kept as state."""
+    return severity_alerts_of(t, daily(t)[0])
+
+
+@query("stream_severity_alerts_shifted", f"{SHIFTED_PERIOD_SQL} SELECT day, severity, previous_severity FROM alerts")
+def stream_severity_alerts_shifted(t: Tables) -> DataFrame:
+    """The same over periods that were shifted, so that there are alerts."""
+    return severity_alerts_of(t, shifted(t)[0])
+
+
+def severity_alerts_of(t: Tables, reports: DataFrame) -> DataFrame:
     root = fresh_folder(t.spark)
-    reports, _ = daily(t)
     reports.select(
         F.lit(CFG.model_name).alias("model_name"), F.to_timestamp("day", "yyyy-MM-dd").alias("created_at"), "severity"
     ).write.parquet(f"{root}/in")
