@@ -151,14 +151,15 @@ def accept_jobs(
     """
     gap = hours * 3_600_000_000
     rows = jobs.select(
-        col(key).cast("string").alias("k"), F.unix_micros(col(time).cast("timestamp")).alias("t"), col(tie_break).alias("id")
+        # Jobs without a key are one key of their own; the prefix keeps them apart and lets joins find them.
+        F.coalesce(F.concat(F.lit("="), col(key).cast("string")), F.lit("none")).alias("k"), F.unix_micros(col(time).cast("timestamp")).alias("t"), col(tie_break).alias("id")
     )
     # Of jobs at the very same instant only the first can be accepted.
     instants = rows.groupBy("k", "t").agg(F.min("id").alias("id"))
     sizes = instants.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     # At most rows / max_rows_in_task keys are large, so their list is small
     # enough to broadcast, which also keeps their rows from being moved by key.
-    large = sizes.where(F.col("n") > max_rows_in_task).select("k").persist()
+    large = sizes.where(F.col("n") > max_rows_in_task).select("k")
     id_type = dict(rows.dtypes)["id"]
 
     def chain(groups: pd.DataFrame) -> pd.DataFrame:
@@ -175,7 +176,8 @@ def accept_jobs(
     if has_large:
         hot = instants.join(F.broadcast(large), "k", "left_semi")
         kept = kept.unionByName(_accept_large(hot, gap))
-    return kept.select(F.col("id").alias(tie_break), F.col("k").alias(key), F.timestamp_micros("t").alias(time))
+    name = F.when(F.col("k") != "none", F.expr("substring(k, 2)"))
+    return kept.select(F.col("id").alias(tie_break), name.alias(key), F.timestamp_micros("t").alias(time))
 
 
 def _accept_large(instants: DataFrame, gap: int) -> DataFrame:

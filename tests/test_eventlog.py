@@ -59,6 +59,13 @@ def test_repeats_are_refused_for_a_day(spark):
     assert accepted(df) == [("a", 1), ("a", 4), ("a", 6), ("b", 5)]
 
 
+@pytest.mark.parametrize("most", [1_000_000, 1])
+def test_jobs_without_a_key_are_one_key(spark, most):
+    df = jobs(spark, [(None, at(0), 1), (None, at(2), 2), (None, at(25), 3), ("none", at(1), 4), ("none", at(1), 5)])
+    got = eventlog.accept_jobs(df, "job_id", "created_at", "id", max_rows_in_task=most).collect()
+    assert sorted((str(r["job_id"]), r["id"]) for r in got) == [("None", 1), ("None", 3), ("none", 4)]
+
+
 def test_large_keys_take_rounds(spark):
     rng = np.random.default_rng(2)
     rows = [("hot" if i % 3 else f"k{i % 5}", at(h), i) for i, h in enumerate(rng.random(600) * 24 * 20)]
