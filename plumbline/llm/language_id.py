@@ -185,7 +185,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         counted.unpersist()
     parts = [got[got["lang"] == name] for name in names]
     model = build(names, [np.sort(p["gram"].to_numpy(np.int64).view(np.uint64)) for p in parts], [p["times"].to_numpy()[np.argsort(p["gram"].to_numpy(np.int64).view(np.uint64))] for p in parts])
-    check = entropies(rows.where(apart).orderBy("h").limit(most_calibration), model, "text")
+    # The hash up to which the sample goes comes from the hashes alone, so that no text is moved for it.
+    last = rows.where(apart).select("h").orderBy("h").limit(most_calibration).agg(F.max("h")).first()[0]
+    check = entropies(rows.where(apart & (F.col("h") <= F.lit(last))), model, "text")
     _calibrate(model, check.select("lang", "entropies", "letters").where("letters > 0").toPandas())
     return model
 
