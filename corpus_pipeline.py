@@ -11,22 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import byte_pairs, decontamination, jaccard_join, quality_mil, secret_scan
-from plumbline.llm.tables import written
+from plumbline.llm.tables import small_batches, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.3 or more; the classifier learns from the labels of four fifths of all ids."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     return quality_mil.score(docs, quality_mil.fit(docs, labels), out="_score").where("_score >= 0.3").drop("_score")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    small_batches(spark)
     return jaccard_join.one_per_component(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, whole or edited."""
+    small_batches(spark)
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -41,6 +44,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of what they decode to."""
+    small_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = byte_pairs.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
     return byte_pairs.decode(ids, path).select(

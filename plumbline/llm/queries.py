@@ -14,6 +14,7 @@ from plumbline.llm import language_id, license_scan, nearest_forest, quality_mil
 from plumbline.llm.byte_pairs import decode, encode
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.jaccard_join import jaccard_components
+from plumbline.llm.tables import small_batches
 from plumbline.llm.token_files import read_tokens, write_tokens
 from plumbline.sources.folders import fresh_folder
 
@@ -27,6 +28,7 @@ def query(name: str, oracle: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            small_batches(spark)
             spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)  # where the package isn't installed on the workers
             return fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 

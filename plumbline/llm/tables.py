@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from plumbline.sources.folders import fresh_folder
 
 
+#: Rows of whole texts that go to a Python worker at once.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches are counted in rows; of whole texts, and of pairs of them, a few hundred fill one."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of `df` from a new table in the shared folder: cuts the lineage and survives lost executors."""
     path = fresh_folder(df.sparkSession)
