@@ -1,7 +1,9 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-Texts are cut into sentences; each is normalised (lower case, only letters, digits, dots and hyphens, single spaces) and mapped to the
-identifier of a known licence sentence. A document becomes a sequence of identifiers, with a bar where other sentences stand between.
+Texts are normalised (lower case, only letters, digits, dots and hyphens) with a mark where a sentence ends and a lighter one where a line,
+table cell or clause (`;`, `:`) does. A known licence sentence is found wherever it stands between two marks of either kind; lighter marks
+may also stand inside it, so it may be wrapped, and a line of its own need not follow a full stop. A document becomes a sequence of
+identifiers, with a bar where other text stands between.
 Rules, in order, replace a run of identifiers by the licence it means, so that a longer rule takes its sentences before a shorter one
 sees them. What no rule takes is reported as unmatched.
 
@@ -111,18 +113,47 @@ RULES = [
 #: Words of which every known sentence holds one.
 ANCHORS = ["license", "copyright", "rights reserved", "redistribut", "permission", "warrant"]
 
-#: A sentence ends at a full stop, question or exclamation mark before white space, or at an empty line.
+#: Sentence ends of the SQL counterpart: a full stop, question or exclamation mark before white space, or an empty line. It cuts nowhere
+#: else, so it misses sentences that `_marked` lets `find_licenses` see.
 BREAK = r"[.!?]+[ \t\r\n]+|\n[ \t\r]*\n"
 
 
+#: Sign of a list item or comment word at the beginning of a line.
+ITEM = r"(?<=^|\n)[^a-z0-9\n|]*+(?:rem|dnl|[0-9a-z][)])(?=[ \t])"
+
+#: Stops that end a sentence: not inside a name, number or address. A second step is taken for "v. 2".
+STOP = r"(?<![.!?])[.!?]++(?![a-z0-9_/-])(?!(?<=\bv\.)[ \t\r\n]+[0-9])"
+
+
+def _marked(text: Column) -> Column:
+    """Words of the text with one sign between them: `|` where a sentence ends, a line break at lighter marks, or a space."""
+    s = F.translate(F.lower(text), "|;:", "\n\n\n")
+    for pattern, sign in (
+        (STOP, "|"),
+        (ITEM, "\n"),
+        (r"[^a-z0-9.|\n-]+", " "),
+        (r"(?<![a-z0-9])[.-]+|[.-]+(?![a-z0-9])", " "),
+        (r" {2,}", " "),
+        (r" ?\n[ \n]*", "\n"),
+        (r"[ \n]?\|[ \n|]*", "|"),
+        (r"^ | $", ""),
+    ):
+        s = F.regexp_replace(s, pattern, sign)
+    return s
+
+
 def _identifiers(text: Column) -> Column:
-    """`<id>` for known sentences and `|` for others, as one string."""
-    tidy = lambda s: F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9.-]+", " "), r"^[ .-]+|[ .-]+$", "")
+    """`<id>` for known sentences and `|` for other text, as one string."""
     known = {s: i for i, many in SENTENCES.items() for s in many}
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    sentences = F.filter(F.transform(F.split(F.lower(text), BREAK, -1), tidy), lambda s: ~s.rlike("^[0-9a-z]?$"))
-    marks = F.transform(sentences, lambda s: F.when(s.isin(list(known)), F.concat(F.lit("<"), names[s], F.lit(">"))).otherwise("|"))
-    return F.regexp_replace(F.array_join(marks, ""), r"[|]+", "|")
+    longest_first = sorted(known, key=lambda s: (-len(s), s))
+    words = "|".join(s.replace(".", "[.]").replace(" ", "[ \n]") for s in longest_first)
+    pattern = rf"(?<=^|[|\n])(?:{words})(?=[|\n]|$)"
+    marked = _marked(text)
+    found = F.transform(F.regexp_extract_all(marked, F.lit(pattern), F.lit(0)), lambda s: F.concat(F.lit("<"), names[F.translate(s, "\n", " ")], F.lit(">")))
+    # Between: more than single letters and digits, as before list items, is other text.
+    between = F.transform(F.split(marked, pattern, -1), lambda s: F.when(s.rlike(r"[^|\n]{2}"), "|").otherwise(""))
+    return F.array_join(F.zip_with(between, found, lambda b, f: F.concat(b, F.coalesce(f, F.lit("")))), "")
 
 
 def find_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:

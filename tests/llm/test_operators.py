@@ -243,6 +243,24 @@ def test_licenses(spark):
     assert license_scan.find_licenses(table(spark, [])).collect() == []
 
 
+def licenses_of(spark, texts):
+    rows = license_scan.find_licenses(table(spark, list(enumerate(texts)))).collect()
+    return [(r.licenses, r.unmatched) for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_license_lines_behind_open_lines(spark):
+    """A licence line or wrapped sentence needs no full stop before it."""
+    before = ["Heading", "| a | b |", "x = f(y)", "- item", "***", "no stop here", "Terms:"]
+    line = "Licensed under CC BY-NC 4.0."
+    assert licenses_of(spark, [f"Some text. Other text\n{b}\n{line}\nMore" for b in before]) == [("CC-BY-NC-4.0", "")] * len(before)
+    wrapped = "This work is licensed\n  under the GNU General\n  Public License, version 3"
+    assert licenses_of(spark, [f"{b}\n{wrapped}\n{line}" for b in before]) == [("CC-BY-NC-4.0,GPL-3.0", "")] * len(before)
+    assert licenses_of(spark, ["| name | Licensed under CC BY 4.0 |", "\n".join("See the GNU General Public License for more details".split())]) == [("CC-BY-4.0", ""), ("", "gpl-see")]
+    # Part of a longer line is no sentence of its own.
+    assert licenses_of(spark, ["It is not released under the MIT License", "Released under the MIT License by nobody"]) == [("", "")] * 2
+    assert licenses_of(spark, ["." * 100_000 + "a license" + "\n" * 100_000 + "- " * 50_000 + "\n" + line]) == [("CC-BY-NC-4.0", "")]
+
+
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
