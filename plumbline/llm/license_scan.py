@@ -110,8 +110,111 @@ RULES = [
     ("Proprietary", ["all-rights-reserved"]),
 ]
 
+def _spdx() -> tuple[dict, list]:
+    """Sentences and rules of the SPDX lines that `SENTENCES` does not have, with old and new names."""
+    names = {n: [n] for n in ("BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0")}
+    for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"):
+        names |= {n: [n, f"{n}-only"], f"{n}-or-later": [f"{n}-or-later"]}
+    sentences = {f"spdx-{n.lower()}": [f"spdx-license-identifier {x.lower()}" for x in many] for n, many in names.items()}
+    return sentences, [(n, [f"spdx-{n.lower()}"]) for n in names]
+
+
+def _later(program: str, name: str, version: str) -> str:
+    return (
+        f"this {program} is free software you can redistribute it and or modify it under the terms of the gnu {name} general public license as published "
+        f"by the free software foundation either version {version} of the license or at your option any later version"
+    )
+
+
+def _gnu_warranty(program: str) -> str:
+    return (
+        f"this {program} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+        "merchantability or fitness for a particular purpose"
+    )
+
+
+#: Sentences of published headers and texts beyond `SENTENCES`, which the SQL counterpart shares.
+PUBLISHED = {
+    "apache-2": [
+        "licensed to you under the apache license version 2.0 the license",
+        "the asf licenses this file to you under the apache license version 2.0 the license",
+        "apache license version 2.0",
+    ],
+    "apache-obtain": [f"you may obtain a copy of the license at {p} www.apache.org licenses license-2.0.{x}" for p in ("http", "https") for x in ("txt", "html")],
+    "mit": ["the mit license", "the mit license mit", "mit license mit"],
+    "mit-notice": [
+        "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software"
+    ],
+    "bsd-2": ["licensed under the bsd 2-clause license", "bsd 2-clause license", "the bsd 2-clause license"],
+    "bsd-3": ["licensed under the bsd 3-clause license", "bsd 3-clause license", "the bsd 3-clause license"],
+    "cc-by-4": ["this work is licensed under cc by 4.0", "this work is licensed under the creative commons attribution 4.0 international license"],
+    "cc-by-nc-4": ["this work is licensed under cc by-nc 4.0", "this work is licensed under the creative commons attribution-noncommercial 4.0 international license"],
+    "cc-by-sa-4": ["this work is licensed under cc by-sa 4.0", "this work is licensed under the creative commons attribution-sharealike 4.0 international license"],
+    "gpl-2-only": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published "
+        "by the free software foundation",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published "
+        "by the free software foundation version 2 of the license",
+    ],
+    "lgpl-2.1-later": [_later(p, "lesser", "2.1") for p in ("library", "program")],
+    "lgpl-3-later": [_later(p, "lesser", "3") for p in ("library", "program")],
+    "lgpl-2.1": ["licensed under the gnu lesser general public license version 2.1", "this work is licensed under the gnu lesser general public license version 2.1"],
+    "lgpl-3": ["licensed under the gnu lesser general public license version 3", "this work is licensed under the gnu lesser general public license version 3"],
+    "lgpl-warranty": [_gnu_warranty("library")],
+    "lgpl-see": ["see the gnu lesser general public license for more details"],
+    "agpl-3-later": [_later("program", "affero", "3")],
+    "agpl-3": ["licensed under the gnu affero general public license version 3", "this work is licensed under the gnu affero general public license version 3"],
+    "agpl-see": ["see the gnu affero general public license for more details"],
+    "mpl-2": [
+        "this source code form is subject to the terms of the mozilla public license v 2.0",
+        "licensed under the mozilla public license version 2.0",
+        "licensed under the mozilla public license v 2.0",
+    ],
+    "mpl-obtain": [f"if a copy of the mpl was not distributed with this file you can obtain one at {a} mpl 2.0" for p in ("http", "https") for a in (f"{p} mozilla.org", f"{p} www.mozilla.org")],
+    "isc": ["licensed under the isc license", "released under the isc license", "isc license", "the isc license", "isc license isc", "the isc license isc"],
+    "isc-permit": [
+        f"permission to use copy modify {how} distribute this software for any purpose with or without fee is hereby granted provided that the above "
+        "copyright notice and this permission notice appear in all copies"
+        for how in ("and or", "and")
+    ],
+    "isc-warranty": [
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of "
+        "merchantability and fitness"
+    ],
+    "isc-liability": [
+        "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from "
+        "loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the "
+        "use or performance of this software"
+    ],
+}
+
+#: Rules for `PUBLISHED`.
+PUBLISHED_RULES = [
+    ("BSD-3-Clause", ["all-rights-reserved", "bsd-permit", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty"]),
+    ("BSD-2-Clause", ["all-rights-reserved", "bsd-permit", "bsd-source", "bsd-binary", "bsd-warranty"]),
+    ("GPL-2.0", ["gpl-2-only", "gpl-warranty", "gpl-see"]),
+    ("LGPL-2.1-or-later", ["lgpl-2.1-later", "lgpl-warranty", "lgpl-see"]),
+    ("LGPL-2.1-or-later", ["lgpl-2.1-later", "gpl-warranty", "lgpl-see"]),
+    ("LGPL-3.0-or-later", ["lgpl-3-later", "lgpl-warranty", "lgpl-see"]),
+    ("LGPL-3.0-or-later", ["lgpl-3-later", "gpl-warranty", "lgpl-see"]),
+    ("AGPL-3.0-or-later", ["agpl-3-later", "gpl-warranty", "agpl-see"]),
+    ("MPL-2.0", ["mpl-2", "mpl-obtain"]),
+    ("ISC", ["isc-permit", "isc-warranty", "isc-liability"]),
+    ("GPL-2.0", ["gpl-2-only"]),
+    ("LGPL-2.1-or-later", ["lgpl-2.1-later"]),
+    ("LGPL-3.0-or-later", ["lgpl-3-later"]),
+    ("AGPL-3.0-or-later", ["agpl-3-later"]),
+    ("LGPL-2.1", ["lgpl-2.1"]),
+    ("LGPL-3.0", ["lgpl-3"]),
+    ("AGPL-3.0", ["agpl-3"]),
+    ("MPL-2.0", ["mpl-2"]),
+    ("ISC", ["isc"]),
+    ("BSD-2-Clause", ["bsd-2"]),
+    ("BSD-3-Clause", ["bsd-3"]),
+]
+
 #: Words of which every known sentence holds one.
-ANCHORS = ["license", "copyright", "rights reserved", "redistribut", "permission", "warrant"]
+ANCHORS = ["license", "copyright", "rights reserved", "redistribut", "permission", "warrant", "mozilla", "tortious"]
 
 #: Sentence ends of the SQL counterpart: a full stop, question or exclamation mark before white space, or an empty line. It cuts nowhere
 #: else, so it misses sentences that `_marked` lets `find_licenses` see.
@@ -127,7 +230,7 @@ STOP = r"(?<![.!?])[.!?]++(?![a-z0-9_/-])(?!(?<=\bv\.)[ \t\r\n]+[0-9])"
 
 def _marked(text: Column) -> Column:
     """Words of the text with one sign between them: `|` where a sentence ends, a line break at lighter marks, or a space."""
-    s = F.translate(F.lower(text), "|;:", "\n\n\n")
+    s = F.translate(F.regexp_replace(F.lower(text), r"(?<=gpl-[0-9][.][0-9])[+]", "-or-later"), "|;:", "\n\n\n")
     for pattern, sign in (
         (STOP, "|"),
         (ITEM, "\n"),
@@ -144,7 +247,7 @@ def _marked(text: Column) -> Column:
 
 def _identifiers(text: Column) -> Column:
     """`<id>` for known sentences and `|` for other text, as one string."""
-    known = {s: i for i, many in SENTENCES.items() for s in many}
+    known = {s: i for bank in (SENTENCES, PUBLISHED, _spdx()[0]) for i, many in bank.items() for s in many}
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     longest_first = sorted(known, key=lambda s: (-len(s), s))
     words = "|".join(s.replace(".", "[.]").replace(" ", "[ \n]") for s in longest_first)
@@ -164,7 +267,7 @@ def find_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for word in ANCHORS[1:]:
         anchored = anchored | low.contains(word)
     run = F.when(anchored, _identifiers(text)).otherwise("")
-    for licence, ids in RULES:
+    for licence, ids in sorted([*RULES, *PUBLISHED_RULES, *_spdx()[1]], key=lambda rule: -len(rule[1])):  # longer rules first, else in order
         run = F.replace(run, F.lit("".join(f"<{i}>" for i in ids)), F.lit(f"[{licence}]"))
     return (
         docs.withColumn("_run", run)

@@ -261,6 +261,112 @@ def test_license_lines_behind_open_lines(spark):
     assert licenses_of(spark, ["." * 100_000 + "a license" + "\n" * 100_000 + "- " * 50_000 + "\n" + line]) == [("CC-BY-NC-4.0", "")]
 
 
+GNU = """This {0} is free software{1} you can redistribute it and/or
+modify it under the terms of the GNU {2}General Public
+License as published by the Free Software Foundation{3} either
+version {4} of the License, or (at your option) any later version.
+
+This {0} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+{2}General Public License for more details.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+"""
+ENDORSE = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+HEADERS = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+""",
+    "MIT": """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+    "BSD-2-Clause": BSD.format(""),
+    "BSD-3-Clause": BSD.format(ENDORSE),
+    "GPL-2.0-or-later": GNU.format("program", ";", "", ";", "2"),
+    "GPL-3.0-or-later": GNU.format("program", ":", "", ",", "3"),
+    "LGPL-2.1-or-later": GNU.format("library", ";", "Lesser ", ";", "2.1"),
+    "LGPL-3.0-or-later": GNU.format("program", ":", "Lesser ", ",", "3"),
+    "AGPL-3.0-or-later": GNU.format("program", ":", "Affero ", ",", "3"),
+    "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+}
+
+
+def test_published_license_headers(spark):
+    """Verbatim headers, also in comments and with line ends of another kind, are the licence as a whole and leave nothing unmatched."""
+    for prefix in ("", " * ", "# ", "// ", "-- ", ";; ", "REM ", "dnl "):
+        texts = ["Copyright 2020 Somebody\n\n" + h.strip() for h in HEADERS.values()]
+        texts = ["\n".join(prefix + x for x in t.split("\n")) for t in texts]
+        assert licenses_of(spark, texts) == [(n, "") for n in HEADERS], prefix
+    assert licenses_of(spark, [h.replace("\n", "\r\n") for h in HEADERS.values()]) == [(n, "") for n in HEADERS]
+    assert licenses_of(spark, ["Copyright (c) 2020, Somebody\nAll rights reserved.\n\n" + HEADERS[n] for n in ("BSD-2-Clause", "BSD-3-Clause")]) == [("BSD-2-Clause", ""), ("BSD-3-Clause", "")]
+
+
+def test_spdx_lines(spark):
+    names = [*HEADERS, "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"]
+    assert licenses_of(spark, [f"// SPDX-License-Identifier: {n}\nint x;" for n in names]) == [(n, "") for n in names]
+    assert licenses_of(spark, [f"# SPDX-License-Identifier: GPL-2.0{x}" for x in ("+", "-only")]) == [("GPL-2.0-or-later", ""), ("GPL-2.0", "")]
+
+
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
