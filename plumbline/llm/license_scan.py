@@ -213,8 +213,8 @@ PUBLISHED_RULES = [
     ("BSD-3-Clause", ["bsd-3"]),
 ]
 
-#: Words of which every known sentence holds one.
-ANCHORS = ["license", "copyright", "rights reserved", "redistribut", "permission", "warrant", "mozilla", "tortious"]
+#: Single words (or parts) of which every known sentence holds one, however it is wrapped.
+ANCHORS = ["license", "copyright", "reserved", "redistribut", "permission", "warrant", "mozilla", "tortious"]
 
 #: Sentence ends of the SQL counterpart: a full stop, question or exclamation mark before white space, or an empty line. It cuts nowhere
 #: else, so it misses sentences that `_marked` lets `find_licenses` see.

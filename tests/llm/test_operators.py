@@ -367,6 +367,13 @@ def test_spdx_lines(spark):
     assert licenses_of(spark, [f"# SPDX-License-Identifier: GPL-2.0{x}" for x in ("+", "-only")]) == [("GPL-2.0-or-later", ""), ("GPL-2.0", "")]
 
 
+def test_wrapped_sentences_pass_the_prefilter(spark):
+    known = {s: i for bank in (license_scan.SENTENCES, license_scan.PUBLISHED, license_scan._spdx()[0]) for i, many in bank.items() for s in many}
+    texts = [s.replace(" ", gap) for s in known for gap in ("\n", "  ", " \n\t")]
+    assert [t for t, got in zip(texts, licenses_of(spark, texts), strict=True) if got == ("", "")] == []
+    assert licenses_of(spark, ["(c) 2020 X. All rights\nreserved."]) == [("Proprietary", "")]
+
+
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
