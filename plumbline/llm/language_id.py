@@ -8,8 +8,8 @@ up by binary search from the highest order down. The language with the lowest cr
 A tenth of the training texts (by a hash of the id, at most `most_calibration` of them) is kept out of the counts. It calibrates how
 differences of cross-entropy become a probability, and for each language the cross-entropy beyond which a text is marked `rejected`.
 
-The model holds at most about `most_grams` windows: in each language those below a count that all rows agree on are left out, as in any
-pruned model. Null texts and texts without a letter are `und`; ties go to the name that sorts first. Rows with a null language or id
+The model holds every window of every language, so continuation counts and discounts are those of the whole corpus. Its size grows with
+the distinct windows (not with the rows); it is built on the driver and shared with the workers. Null texts and texts without a letter are `und`; ties go to the name that sorts first. Rows with a null language or id
 teach nothing. With no training text all texts are `und`.
 """
 
@@ -141,7 +141,7 @@ def build(names: list[str], grams: list[np.ndarray], counts: list[np.ndarray]) -
     return LanguageModel(names, keys, logs, context_keys, weights, np.log(np.maximum(unknown, 1e-12)))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_grams: int = 1_000_000, most_calibration: int = 4000) -> LanguageModel | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_calibration: int = 4000) -> LanguageModel | None:
     """Models of all languages in `docs`; None if there is no text with a language."""
     rows = docs.select(F.xxhash64(id_col, F.lit("calibration")).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col(id_col).isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -164,25 +164,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 yield pa.record_batch({"lang": pa.array([lang] * len(g), pa.string()), "gram": pa.array(g.view(np.int64)), "times": pa.array(times[a : a + 100_000])})
 
     counted = rows.where(~apart).select("text", "lang").mapInArrow(count, "lang string, gram long, times long")
-    counted = counted.groupBy("lang", "gram").agg(F.sum("times").alias("times")).cache()
-    try:
-        sizes = counted.groupBy("lang", F.least("times", F.lit(1000)).alias("times")).agg(F.count("*").alias("n")).collect()
-        names = sorted({r["lang"] for r in sizes})
-        if not names:
-            return None
-        enough = {}
-        for name in names:  # the least count that leaves no more windows than the language's part of the model
-            left = most_grams // len(names)
-            enough[name] = 1000
-            for r in sorted((r for r in sizes if r["lang"] == name), key=lambda r: -r["times"]):
-                left -= r["n"]
-                if left < 0:
-                    break
-                enough[name] = r["times"]
-        floor = F.create_map(*[F.lit(x) for pair in enough.items() for x in pair])
-        got = counted.where(F.col("times") >= floor[F.col("lang")]).toArrow().to_pandas().sort_values(["lang", "gram"])
-    finally:
-        counted.unpersist()
+    counted = counted.groupBy("lang", "gram").agg(F.sum("times").alias("times"))
+    got = counted.toArrow().to_pandas().sort_values(["lang", "gram"])
+    names = sorted(set(got["lang"]))
+    if not names:
+        return None
     parts = [got[got["lang"] == name] for name in names]
     model = build(names, [np.sort(p["gram"].to_numpy(np.int64).view(np.uint64)) for p in parts], [p["times"].to_numpy()[np.argsort(p["gram"].to_numpy(np.int64).view(np.uint64))] for p in parts])
     # The hash up to which the sample goes comes from the hashes alone, so that no text is moved for it.

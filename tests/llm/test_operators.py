@@ -495,6 +495,21 @@ def test_languages(spark):
     assert {r.lang_pred for r in language_id.predict(docs, language_id.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_languages_beyond_a_million_windows(spark):
+    """Rare windows count at any size of the model: each text below was learned from once, and most windows occur once."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(0x4E00 + 2000 * (i % 2), 0x4E00 + 2000 * (i % 2) + 4000, 60_000))) for i in range(24)]
+    docs = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(8)
+    apart = {r[0] for r in docs.where(F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(10)) == 0).select("doc_id").collect()}
+    model = language_id.fit(docs)
+    letters = language_id.Letters()
+    want = {int(w) for i, t in enumerate(texts) if i not in apart for w in np.unique(letters.codes([t])[0])}
+    assert len(want) > 1_000_000 and len(model.keys[-1]) == len(want)
+    known = np.array(sorted(want), np.uint64)
+    got, where = language_id._find(model.keys[-1], language_id.mix(known))
+    assert where.all()
+
+
 def test_kneser_ney_sums_to_one():
     letters = language_id.Letters()
     windows, _, _ = letters.codes(["abab abba", "baba ab", "abc"])
