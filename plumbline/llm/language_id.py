@@ -5,12 +5,14 @@ the cluster; lower orders follow from the distinct windows (continuation counts)
 languages with a row of interpolated log-probabilities per hash, and one of contexts with their interpolation weights; a window is looked
 up by binary search from the highest order down. The language with the lowest cross-entropy per letter is predicted.
 
-A tenth of the training texts (by a hash of the id, at most `most_calibration` of them) is kept out of the counts. It calibrates how
-differences of cross-entropy become a probability, and for each language the cross-entropy beyond which a text is marked `rejected`.
+A tenth of the training texts (by a hash of the id, at most about `most_calibration` of them: those with the least hashes) is kept out of
+the counts, all others are counted. It calibrates how differences of cross-entropy become a probability, and for each language the
+cross-entropy beyond which a text is marked `rejected`.
 
 The model holds every window of every language, so continuation counts and discounts are those of the whole corpus. Its size grows with
-the distinct windows (not with the rows); it is built on the driver and shared with the workers. Null texts and texts without a letter are `und`; ties go to the name that sorts first. Rows with a null language or id
-teach nothing. With no training text all texts are `und`.
+the distinct windows (not with the rows); it is built on the driver and shared with the workers. Null texts and texts without a letter
+are `und`; ties go to the name that sorts first. Rows with a null language or id teach nothing. With no training text all texts are
+`und`.
 """
 
 from __future__ import annotations
@@ -146,6 +148,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = docs.select(F.xxhash64(id_col, F.lit("calibration")).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col(id_col).isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
     apart = F.pmod("h", F.lit(10)) == 0
+    # The hash up to which the sample goes comes from the hashes alone, so that no text is moved for it.
+    last = rows.where(apart).select("h").orderBy("h").limit(most_calibration).agg(F.max("h")).first()[0]
+    aside = apart & (F.col("h") <= last) if last is not None else F.lit(False)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, held = Letters(), {}
@@ -163,7 +168,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 g = grams[a : a + 100_000]
                 yield pa.record_batch({"lang": pa.array([lang] * len(g), pa.string()), "gram": pa.array(g.view(np.int64)), "times": pa.array(times[a : a + 100_000])})
 
-    counted = rows.where(~apart).select("text", "lang").mapInArrow(count, "lang string, gram long, times long")
+    counted = rows.where(~aside).select("text", "lang").mapInArrow(count, "lang string, gram long, times long")
     counted = counted.groupBy("lang", "gram").agg(F.sum("times").alias("times"))
     got = counted.toArrow().to_pandas().sort_values(["lang", "gram"])
     names = sorted(set(got["lang"]))
@@ -171,9 +176,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return None
     parts = [got[got["lang"] == name] for name in names]
     model = build(names, [np.sort(p["gram"].to_numpy(np.int64).view(np.uint64)) for p in parts], [p["times"].to_numpy()[np.argsort(p["gram"].to_numpy(np.int64).view(np.uint64))] for p in parts])
-    # The hash up to which the sample goes comes from the hashes alone, so that no text is moved for it.
-    last = rows.where(apart).select("h").orderBy("h").limit(most_calibration).agg(F.max("h")).first()[0]
-    check = entropies(rows.where(apart & (F.col("h") <= F.lit(last))), model, "text")
+    check = entropies(rows.where(aside), model, "text")
     _calibrate(model, check.select("lang", "entropies", "letters").where("letters > 0").toPandas())
     return model
 

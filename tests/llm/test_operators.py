@@ -510,6 +510,12 @@ def test_languages_beyond_a_million_windows(spark):
     assert where.all()
 
 
+def test_languages_learn_from_all_but_the_calibration_sample(spark):
+    docs = spark.createDataFrame([(i, chr(0x4E00 + i) * 9, "ab"[i % 2]) for i in range(200)], "doc_id long, text string, lang string")
+    for most in (3, 10):
+        assert len(language_id.fit(docs, most_calibration=most).keys[0]) == 200 + 1 - most  # a letter of its own for each text, and the space
+
+
 def test_kneser_ney_sums_to_one():
     letters = language_id.Letters()
     windows, _, _ = letters.codes(["abab abba", "baba ab", "abc"])
