@@ -6,10 +6,11 @@
    segment the rarest one is a seed: any `n + window - 1` unchanged words in a row keep a seed, however often an item was copied.
 3. A second scan joins documents to segments on the seeds and aligns the words around them with the segment: +2 for an equal word, -1
    for another one, -1 for a missing or additional one. The score is the best local alignment divided by that of the whole segment.
-   A document is contaminated by an item when a segment reaches `min_score` and at least `min_words` equal words' worth.
+   A document is contaminated by an item when a segment reaches `min_score` and at least `min_words` equal words' worth, or all of a
+   segment little longer than that but one word. Items of fewer than `min_words` words must be in the document word for word.
 
-Words are runs of letters and digits, A-Z in lower case. Both scans are map-only; only counts of the block's n-grams are shuffled. Null
-and empty texts, and items with fewer than `min_words` words, match nothing. Repeated documents each get their rows; equal items each
+Words are runs of letters and digits, A-Z in lower case, and single characters of scripts without spaces. Both scans are map-only; only
+counts of the block's n-grams are shuffled. Null and empty texts, and items with fewer than `n` words, match nothing. Repeated documents each get their rows; equal items each
 match. Ties between segments go to the higher score, then the earlier place.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.words import NOT_WORD, Hasher, per_text, shingles, slices, utf8
+from plumbline.llm.words import NOT_WORD, Hasher, per_text, shingles, slices, unicode_words, utf8
 
 SEGMENT = 128
 #: Words of a block of items.
@@ -47,7 +48,7 @@ def _block(rows: list, n: int) -> Block:
     items, words, sizes = [], [], []
     for item, text in rows:
         data = np.frombuffer((text or "").encode(), np.uint8)
-        _, _, h = hasher.words(data, np.array([0, len(data)]))
+        _, _, h = unicode_words(hasher, data, np.array([0, len(data)]))
         if not len(h):
             continue
         for part in np.array_split(h, -(-len(h) // SEGMENT)):
@@ -101,7 +102,7 @@ def _frequencies(docs: DataFrame, text_col: str, block: Block, n: int) -> np.nda
         for batch in batches:
             for part in slices(batch, text_col):
                 data, offsets = utf8(part.column(text_col))
-                starts, _, words = hasher.words(data, offsets)
+                starts, _, words = unicode_words(hasher, data, offsets)
                 total += np.bincount(lookup(_grams(words, per_text(starts, offsets), n)[0])[1], minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.record_batch({"gram": pa.array(some), "times": pa.array(total[some])})
@@ -112,15 +113,17 @@ def _frequencies(docs: DataFrame, text_col: str, block: Block, n: int) -> np.nda
     return out
 
 
-def seeds(block: Block, frequencies: np.ndarray, window: int) -> np.ndarray:
-    """Which n-gram occurrences are the rarest of some run of `window` neighbours in their segment."""
+def seeds(block: Block, frequencies: np.ndarray, window: int, n: int = 3) -> np.ndarray:
+    """Which n-gram occurrences are the rarest of some run of `window` neighbours in their segment; all of a segment that one change can leave without."""
     order = np.lexsort((block.grams, frequencies))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     value, chosen = rank[block.gram_at], np.zeros(len(block.places), bool)
     segment = np.searchsorted(block.begins, block.places, "right")
     for run in np.split(np.arange(len(value)), np.flatnonzero(np.diff(segment)) + 1):
-        if len(run):
+        if len(run) < n + 2 * window:
+            chosen[run] = True
+        else:
             views = np.lib.stride_tricks.sliding_window_view(value[run], min(window, len(run)))
             chosen[run[0] + np.arange(len(views)) + views.argmin(1)] = True
     return chosen
@@ -165,7 +168,7 @@ def _matcher(block: Block, chosen: np.ndarray, n: int, min_score: float, min_wor
 
     def match(part: pa.RecordBatch, column: str):
         data, offsets = utf8(part.column(column))
-        starts, ends, words = hasher.words(data, offsets)
+        starts, ends, words = unicode_words(hasher, data, offsets)
         counts = per_text(starts, offsets)
         grams, at = _grams(words, counts, n)
         hit, key = lookup(grams)
@@ -199,7 +202,9 @@ def _matcher(block: Block, chosen: np.ndarray, n: int, min_score: float, min_wor
             rows = block.begins[segment[c]][:, None] + np.arange(m[c].max())
             parts = np.where(rows < block.begins[segment[c] + 1][:, None], block.words[np.minimum(rows, len(block.words) - 1)], np.uint64(1))
             score, start, end = align(parts, m[c], texts)
-            good = (score >= 2 * min_words) & (score >= min_score * 2 * m[c])
+            # One changed or missing word costs 3. Segments below `min_words` must be there word for word.
+            least = np.where(m[c] < min_words, 2 * m[c], np.minimum(2 * min_words, 2 * m[c] - 3))
+            good = (score >= least) & (score >= min_score * 2 * m[c])
             for r, s, v, x, y in zip(row[c][good], segment[c][good], score[good], (lo[c] + start)[good], (lo[c] + end)[good], strict=True):
                 found.append((int(r), int(s), float(v / (2 * size[s])), int(starts[x] - offsets[r]), int(ends[y] - offsets[r])))
             a = b
@@ -217,7 +222,7 @@ def _blocks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_
         rows = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(number)) == i).collect()
         block = _block([(r["id"], r["text"]) for r in sorted(rows, key=lambda r: (r["id"] is None, r["id"], r["text"]))], n)
         if len(block.places):
-            yield block, seeds(block, _frequencies(docs, text_col, block, n), window)
+            yield block, seeds(block, _frequencies(docs, text_col, block, n), window, n)
 
 
 def contamination(

@@ -7,7 +7,9 @@ few times the text.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +92,42 @@ class Hasher:
         return starts + at, ends + at, mix(h)
 
 
+#: Scripts written without spaces: each character is a word.
+_UNSPACED = [(0x0E00, 0x1100), (0x1780, 0x1800), (0x3005, 0x3008), (0x3040, 0x3130), (0x31A0, 0x3200), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0xFF66, 0xFF9E), (0x20000, 0x40000)]
+_LETTER, _SIGN, _SINGLE = 0, 1, 2
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """Kind of each code point: in words, a sign between words (punctuation, symbols, spaces), or a word of its own."""
+    kind = np.zeros(0x110000, np.uint8)
+    for a, b in _UNSPACED:
+        kind[a:b] = _SINGLE
+    for c in range(0x80, 0x20000):
+        if unicodedata.category(chr(c))[0] in "PSZ" or c < 0xA0 or c in (0x200B, 0x2060, 0xFEFF):
+            kind[c] = _SIGN
+    return kind
+
+
+def unicode_words(hasher: Hasher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `hasher.words`, but words also end at signs beyond ASCII, and each character of a script without spaces is a word."""
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return hasher.words(data, offsets)
+    size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    point = data[lead].astype(np.int64) & (0xFF >> (size + 1))
+    for i in range(1, 4):
+        more = size > i
+        point[more] = point[more] << 6 | data[lead[more] + i] & 0x3F
+    kind = _kinds()[point]
+    sign, cut = kind == _SIGN, kind == _SINGLE
+    if sign.any():
+        data = data.copy()
+        for i in range(4):
+            data[lead[sign & (size > i)] + i] = 0x20
+    return hasher.words(data, np.concatenate([offsets, lead[cut], lead[cut] + size[cut]]))
+
+
 def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word shingles of each text, and their number per text.
 

@@ -159,6 +159,27 @@ def test_contamination(spark):
     assert decontamination.contamination(docs, items.limit(0)).collect() == [] == decontamination.contamination(table(spark, []), items).collect()
 
 
+def test_contamination_by_short_items_and_other_scripts(spark):
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(60))
+    thai = "".join(chr(0x0E01 + i * 5 % 44) for i in range(60))
+    quoted = "the quick brown fox jumps over one very lazy dog today"
+    items = spark.createDataFrame([(1, "what colour has the sky"), (2, "one two three four five six seven eight nine"), (3, han), (4, thai), (5, quoted)], "item_id long, text string")
+    rows = [
+        (1, "Well. What colour has the sky? Blue."),
+        (2, "what colour had the sky"),
+        (3, "zero one two three four FIVE-B six seven eight nine ten".replace("FIVE-B", "fifth")),
+        (4, f"\u3001\u3002x {han[:30]}\u3001{han[30:]}\u3002 y"),
+        (5, f"\u201c{thai}\u201d"),
+        (6, "\u201cThe quick\u201d \u2013 brown\u2014fox\u2026 \u201cjumps over\u201d one\u00a0very \u2018lazy\u2019 dog\u2014today"),
+        (7, han[::-1] + thai[::-1]),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in decontamination.contamination(table(spark, rows), items).collect()}
+    assert sorted(got) == [(1, 1), (3, 2), (4, 3), (5, 4), (6, 5)]
+    assert got[1, 1].score == got[4, 3].score == got[6, 5].score == 1
+    assert rows[4][1][got[5, 4].begin : got[5, 4].end] == thai
+    assert sorted(r.doc_id for r in decontamination.decontaminate(table(spark, rows), items).collect()) == [2, 7]
+
+
 def test_contamination_in_blocks(spark, monkeypatch):
     items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(20)], "item_id long, text string")
     docs = items.select(F.col("item_id").alias("doc_id"), "text")
