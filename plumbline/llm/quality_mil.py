@@ -6,7 +6,7 @@ over the document's passages, weighs the embeddings, and a logistic layer scores
 
 Training takes a bounded sample: at most `max_docs` labelled documents, those with the least hash of their id, with at most
 `MOST_PASSAGES` passages each; passages of longer texts are longer, so that no word is left out. Its passages fit the driver, where the
-small network is fitted. Scoring is one map over all documents.
+small network is fitted. Scoring is one map over all documents, with passages of `PASSAGE_WORDS` words at any length of text.
 
 Null and empty texts are one passage without words. Labels other than 0 and 1 and null ids are ignored; several labels of one id count
 by their majority, ties as 1. Repeated documents are scored alike. Without any label all scores are 0.5.
@@ -57,12 +57,12 @@ KIND, KINDS, COARSE = _byte_kinds()
 FEATURES = KINDS + 64 + 8
 
 
-def passages(part: pa.RecordBatch, column: str, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """Encoded passages of a part of a batch, and their number per text (one at least)."""
+def passages(part: pa.RecordBatch, column: str, hasher: Hasher, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Encoded passages of a part of a batch, and their number per text (one at least); with `most`, longer ones instead of more."""
     data, offsets = utf8(part.column(column))
     starts, ends, words = hasher.words(data, offsets)
     counts = per_text(starts, offsets)
-    size = np.maximum(PASSAGE_WORDS, -(-counts // MOST_PASSAGES))
+    size = np.maximum(PASSAGE_WORDS, -(-counts // most) if most else 0 * counts)
     number = np.maximum(1, -(-counts // size))
     first = np.cumsum(number) - number
     total = int(number.sum())
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
         hasher = Hasher()
         for batch in batches:
             for part in slices(batch, "text"):
-                x, number = passages(part, "text", hasher)
+                x, number = passages(part, "text", hasher, MOST_PASSAGES)
                 cut = np.split(x, np.cumsum(number)[:-1])
                 yield pa.record_batch({"h": part.column("h"), "y": part.column("y"), "x": pa.array([c.tobytes() for c in cut], pa.binary())})
 

@@ -465,6 +465,12 @@ def test_quality(spark):
     assert quality_mil.score(table(spark, []), model).collect() == []
 
 
+def test_quality_passages_do_not_grow():
+    part = quality_mil.pa.RecordBatch.from_pydict({"text": [" ".join(["word"] * 50_000), "", "a b"]})
+    assert quality_mil.passages(part, "text", Hasher())[1].tolist() == [1000, 1, 1]
+    assert quality_mil.passages(part, "text", Hasher(), quality_mil.MOST_PASSAGES)[1].tolist() == [64, 1, 1]
+
+
 def test_quality_gradients():
     """The network's gradients against finite differences."""
     rng = np.random.default_rng(4)
