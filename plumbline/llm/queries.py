@@ -14,6 +14,7 @@ from plumbline.llm import language_id, license_scan, nearest_forest, quality_mil
 from plumbline.llm.byte_pairs import decode, encode
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.jaccard_join import jaccard_components
+from plumbline.llm.minhash_dedup import near_duplicates
 from plumbline.llm.tables import small_batches
 from plumbline.llm.token_files import read_tokens, write_tokens
 from plumbline.sources.folders import fresh_folder
@@ -41,13 +42,15 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-OP5_SQL = r"""
+def _components_sql(k: int, percent: int) -> str:
+    """Components of documents by exact Jaccard similarity of k-word shingles."""
+    return rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM documents),
 s AS (
-  SELECT doc_id, CASE WHEN len(words) >= 3 THEN list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')))
+  SELECT doc_id, CASE WHEN len(words) >= {k} THEN list_distinct(list_transform(range(1, len(words) - {k - 2}), lambda i: array_to_string(words[i:i + {k - 1}], ' ')))
                       WHEN len(words) >= 1 THEN [array_to_string(words, ' ')] ELSE [] END AS grams
   FROM w),
 n AS (SELECT doc_id, len(grams) AS n, grams FROM s),
@@ -55,9 +58,9 @@ copies AS (SELECT min(doc_id) AS rep, any_value(n) AS n, grams FROM n WHERE n >
 g AS (SELECT rep, n, unnest(grams) AS gram FROM copies),
 hit AS (
   SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k
-  FROM g a JOIN g b ON a.gram = b.gram AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  FROM g a JOIN g b ON a.gram = b.gram AND a.rep < b.rep AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
   GROUP BY a.rep, b.rep),
-link AS (SELECT a, b FROM hit WHERE 100 * k >= 90 * (na + nb - k)),
+link AS (SELECT a, b FROM hit WHERE 100 * k >= {percent} * (na + nb - k)),
 two AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach AS (SELECT rep, rep AS other FROM copies UNION SELECT r.rep, b.b FROM reach r JOIN two b ON b.a = r.other),
 least AS (SELECT rep, min(other) AS component_id FROM reach GROUP BY rep)
@@ -65,7 +68,7 @@ SELECT n.doc_id, n.n AS n_shingles, coalesce(l.component_id, n.doc_id) AS compon
 FROM n LEFT JOIN copies c ON n.n > 0 AND c.grams = n.grams LEFT JOIN least l ON l.rep = c.rep"""
 
 
-@query("op5_ngram_jaccard_join", OP5_SQL)
+@query("op5_ngram_jaccard_join", _components_sql(3, 90))
 def op5(table):
     """Documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more, as components."""
     return jaccard_components(table("documents")).select("doc_id", "n_shingles", "component_id")
@@ -196,3 +199,12 @@ def op8(table):
     model = toxicity_chain.fit(table("documents"), table("labels").where(_fold(5) != 0))
     scored = toxicity_chain.score(table("documents").select("doc_id", "text"), model, names)
     return scored.where("p_toxic >= 0.5").select("doc_id", *(f"p_{n}" for n in names), F.lit(1).alias("predicted"))
+
+
+_KEPT_SQL = _components_sql(4, 80)
+
+
+@query("op13_minhash_dedup", f"SELECT *, doc_id = component_id AS kept FROM ({_KEPT_SQL})")
+def op13(table):
+    """Documents whose 4-word shingle sets have a Jaccard similarity of 0.8 or more, as components of which one row stays."""
+    return near_duplicates(table("documents"), k=4, percent=80)
