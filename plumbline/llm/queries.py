@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import plumbline
 from plumbline.llm import language_id, license_scan, nearest_forest, quality_mil, secret_scan, toxicity_chain
 from plumbline.llm.byte_pairs import decode, encode
+from plumbline.llm.cross_tokenizer import align
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.jaccard_join import jaccard_components
 from plumbline.llm.minhash_dedup import near_duplicates
@@ -208,3 +209,9 @@ _KEPT_SQL = _components_sql(4, 80)
 def op13(table):
     """Documents whose 4-word shingle sets have a Jaccard similarity of 0.8 or more, as components of which one row stays."""
     return near_duplicates(table("documents"), k=4, percent=80)
+
+
+@query("op11_cross_tokenizer")
+def op11(table):
+    """Tokens of two tokenizers over every document, aligned, with the corpus-wide counts of the id pairs that stand for each other."""
+    return align(table("documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
