@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import plumbline
 from plumbline.llm import language_id, license_scan, nearest_forest, quality_mil, secret_scan, toxicity_chain
 from plumbline.llm.byte_pairs import decode, encode
+from plumbline.llm.conversation_repair import repaired
 from plumbline.llm.cross_tokenizer import align
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.jaccard_join import jaccard_components
@@ -215,3 +216,80 @@ def op13(table):
 def op11(table):
     """Tokens of two tokenizers over every document, aligned, with the corpus-wide counts of the id pairs that stand for each other."""
     return align(table("documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+#: The checksum bit by bit; then from the last row to the first the cheapest rest (least audit, and what it leaves) behind each state.
+OP12_SQL = r"""
+WITH RECURSIVE source AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS mark
+  FROM conversations),
+checked AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(mark, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS part
+  FROM source),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN part = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN part = 1 THEN '' WHEN part = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM checked, range(CASE WHEN part = 3 THEN 2 ELSE 1 END)
+  WHERE part <> 0),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS last_sign, left(role, 1) AS c
+  FROM damaged),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM ordered),
+judged AS (
+  SELECT *, CASE WHEN last_sign = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN last_sign NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         coalesce(lag(c) OVER w || c NOT IN ('su', 'ua', 'au'), false) AS wrong
+  FROM numbered WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+         count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (wrong) AS illegal
+  FROM judged GROUP BY conv_id),
+plan AS (
+  SELECT conv_id, n + 1 AS i, {'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]} AS s0, {'c': 6::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']} AS s1,
+         {'c': 3::BIGINT, 'a': 'I', 't': ['assistant:']} AS s2, {'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]} AS s3
+  FROM counts
+  UNION ALL
+  SELECT conv_id, i,
+    list_sort([d0, k0, r0, u2])[1], list_sort([d1, k1, r1, v2])[1], list_sort([d2, k2, r2, w2])[1], list_sort([d3, k3, r3, x2])[1]
+  FROM (
+    SELECT *,
+      {'c': 3 + after_2.c, 'a': 'I' || after_2.a, 't': list_prepend('user:', after_2.t)} AS u2, u2 AS v2,
+      {'c': 3 + least_3.c, 'a': 'I' || least_3.a, 't': list_prepend('assistant:', least_3.t)} AS w2,
+      {'c': 3 + least_2.c, 'a': 'I' || least_2.a, 't': list_prepend('user:', least_2.t)} AS x2
+    FROM (
+      SELECT *, list_sort([d2, k2, r2])[1] AS least_2, list_sort([d3, k3, r3])[1] AS least_3,
+        list_sort([list_sort([d2, k2, r2])[1], {'c': 3 + list_sort([d3, k3, r3])[1].c, 'a': 'I' || list_sort([d3, k3, r3])[1].a,
+                   't': list_prepend('assistant:', list_sort([d3, k3, r3])[1].t)}])[1] AS after_2
+      FROM (
+        SELECT conv_id, j.i,
+          {'c': 4 + s0.c, 'a': 'D' || s0.a, 't': s0.t} AS d0, {'c': 4 + s1.c, 'a': 'D' || s1.a, 't': s1.t} AS d1,
+          {'c': 4 + s2.c, 'a': 'D' || s2.a, 't': s2.t} AS d2, {'c': 4 + s3.c, 'a': 'D' || s3.a, 't': s3.t} AS d3,
+          CASE WHEN stay AND c = 's' THEN {'c': more + s1.c, 'a': 'K' || s1.a, 't': list_prepend(own, s1.t)}
+               WHEN stay AND c = 'u' THEN {'c': more + s2.c, 'a': 'K' || s2.a, 't': list_prepend(own, s2.t)} ELSE never END AS k0,
+          CASE WHEN stay AND c = 'u' THEN {'c': more + s2.c, 'a': 'K' || s2.a, 't': list_prepend(own, s2.t)} ELSE never END AS k1,
+          CASE WHEN stay AND c = 'a' THEN {'c': more + s3.c, 'a': 'K' || s3.a, 't': list_prepend(own, s3.t)} ELSE never END AS k2,
+          CASE WHEN stay AND c = 'u' THEN {'c': more + s2.c, 'a': 'K' || s2.a, 't': list_prepend(own, s2.t)} ELSE never END AS k3,
+          CASE WHEN stay THEN {'c': 3 + more + s2.c, 'a': 'R' || s2.a, 't': list_prepend('user:' || text, s2.t)} ELSE never END AS r0, r0 AS r1, r0 AS r3,
+          CASE WHEN stay THEN {'c': 3 + more + s3.c, 'a': 'R' || s3.a, 't': list_prepend('assistant:' || text, s3.t)} ELSE never END AS r2
+        FROM (
+          SELECT p.*, j, j.text AS text, j.c AS c, j.role || ':' || j.text AS own, j.fault IN ('', 't') AS stay, CASE j.fault WHEN 't' THEN 3 ELSE 0 END AS more,
+                 {'c': 1000000000000::BIGINT, 'a': '', 't': []::VARCHAR[]} AS never
+          FROM plan p JOIN judged j ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.i = p.i - 1)))))
+SELECT s.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(p.s0.c, 0) AS cost, coalesce(p.s0.a, '') AS audit,
+       sha256(coalesce(array_to_string(p.s0.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) s
+LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM s.conv_id
+LEFT JOIN plan p ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND p.i = 1"""
+
+
+@query("op12_conversation_repair", OP12_SQL)
+def op12(table):
+    """Every conversation after damage: its faults, the cheapest repair and a digest of what is left."""
+    return repaired(table("conversations"))
