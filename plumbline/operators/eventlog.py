@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
+from plumbline.operators.chains import first_beyond, reachable
 from plumbline.sources.folders import ensure_checkpoint_folder
 
 # A key with at most this many rows is handled inside one task.
@@ -142,20 +143,21 @@ def accept_jobs(
 ) -> DataFrame:
     """Jobs accepted when a key is refused until ``hours`` after its last accepted job.
 
-    The rule looks at the last *accepted* job, so it is sequential within a key.
-    Keys of ordinary size are chained inside one task each. A key too large for
-    that advances one accepted job per round for all large keys together; each
-    round is a map-side combined minimum over the log, so no task ever holds
-    such a key. Rounds are as many as the accepted jobs of the busiest key,
-    which is bounded by the covered time divided by ``hours``.
+    The rule looks at the last *accepted* job, so it is a chain from job to job
+    within a key. Keys of ordinary size are followed inside one task each. For
+    the others each job points to the first one beyond its ``hours``; pointers
+    are doubled until they lead nowhere, and the accepted jobs are those that
+    can be reached from the first. Rounds grow with the logarithm of the
+    accepted jobs, and no task ever holds such a key.
     """
+    ensure_checkpoint_folder(jobs.sparkSession)
     gap = hours * 3_600_000_000
     rows = jobs.select(
         # Jobs without a key are one key of their own; the prefix keeps them apart and lets joins find them.
         F.coalesce(F.concat(F.lit("="), col(key).cast("string")), F.lit("none")).alias("k"), F.unix_micros(col(time).cast("timestamp")).alias("t"), col(tie_break).alias("id")
     )
     # Of jobs at the very same instant only the first can be accepted.
-    instants = rows.groupBy("k", "t").agg(F.min("id").alias("id"))
+    instants = rows.groupBy("k", "t").agg(F.min("id").alias("id")).checkpoint()
     sizes = instants.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     # At most rows / max_rows_in_task keys are large, so their list is small
     # enough to broadcast, which also keeps their rows from being moved by key.
@@ -181,16 +183,9 @@ def accept_jobs(
 
 
 def _accept_large(instants: DataFrame, gap: int) -> DataFrame:
-    """Rounds over the large keys; every round is checkpointed, so plans stay short."""
-    ensure_checkpoint_folder(instants.sparkSession)
-    log = instants.checkpoint()
-    first = F.min_by(F.struct("t", "id"), "t").alias("f")
-    latest = log.groupBy("k").agg(first).select("k", "f.t", "f.id").checkpoint()
-    kept = latest
-    while not latest.isEmpty():
-        # One row per large key.
-        last = F.broadcast(latest.select("k", F.col("t").alias("last")))
-        later = log.join(last, "k").where(F.col("t") > F.col("last") + gap)
-        latest = later.groupBy("k").agg(first).select("k", "f.t", "f.id").checkpoint()
-        kept = kept.unionByName(latest)
-    return kept
+    node = F.struct("k", "t").alias("node")
+    links = first_beyond(instants.select("k", "t"), gap)
+    links = links.select(node, F.when(F.col("next").isNotNull(), F.struct("k", F.col("next").alias("t"))).alias("next"))
+    starts = instants.groupBy("k").agg(F.min("t").alias("t")).select(node)
+    accepted = reachable(links, starts).select("node.k", "node.t")
+    return instants.join(accepted, ["k", "t"])

@@ -73,6 +73,17 @@ def test_large_keys_take_rounds(spark):
     assert accepted(df, max_rows_in_task=50) == accepted(df)
 
 
+def test_a_long_chain_takes_few_rounds(spark, caplog):
+    # A job every 10 hours: 10,000 accepted ones among 30,000, by pointers that double.
+    df = spark.range(30_000).select(
+        F.lit("hot").alias("job_id"), (F.lit("2000-01-01").cast("timestamp") + F.make_dt_interval(hours=F.col("id") * 10)).alias("created_at"), "id"
+    )
+    with caplog.at_level("INFO", "plumbline.operators.chains"):
+        got = accepted(df, max_rows_in_task=1000)
+    assert got == [("hot", i) for i in range(0, 30_000, 3)]
+    assert [int(r.message.split()[0]) for r in caplog.records] == [14]
+
+
 def test_state_merge_and_cursor(spark):
     log = spark.createDataFrame(
         [(1, "drift_event", "a", at(0)), (1, "replay_result", "x", at(1)), (1, "replay_result", "y", at(2)), (2, "other", "z", at(0))],
