@@ -24,9 +24,9 @@ from plumbline.operators.drift import (
 )
 from plumbline.operators.profile import Binned, ReferenceProfile, feature_of, long_labels
 from plumbline.plans.drift_check import ALERTS, METRICS, REPORTS, check_window, newest_rows, previous_severity
-from plumbline.streaming.runtime import for_each_batch, read_batches, write_batch
+from plumbline.streaming.runtime import for_each_batch, read_batch, write_batch
 
-WINDOW = "window"
+WINDOW, LAST = "window", "last"
 
 
 def check_each_batch(
@@ -34,25 +34,31 @@ def check_each_batch(
 ) -> DataStreamWriter:
     """After every micro-batch, check the newest ``cfg.window_size`` records of the whole stream.
 
-    Only the window itself is carried from batch to batch (a few hundred rows in
-    ``root/window``), so a check costs what the batch costs, not what the log costs.
+    Carried from batch to batch are only the window itself (a few hundred rows in
+    ``root/window``) and the last severity (one row in ``root/last``). A batch
+    reads them from the folder of the batch before it and looks at no other, so
+    a check costs what the batch costs, not what the log or the number of
+    batches costs. The newest records are those of the latest ``created_at``,
+    whatever the order in which batches arrive: records older than the whole
+    window change nothing, and the check of such a batch repeats the last one.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = read_batches(spark, f"{root}/{WINDOW}", batch_id)
-        rows = batch
-        if before is not None:
-            rows = rows.unionByName(before.where(F.col("batch") == batch_id - 1).drop("batch"))
+        before = read_batch(spark, f"{root}/{WINDOW}", batch_id - 1)
+        rows = batch if before is None else batch.unionByName(before)
         window = newest_rows(rows, cfg.window_size)
         as_of = F.lit(window.agg(F.max("created_at")).first()[0])
-        previous = previous_severity(read_batches(spark, f"{root}/{REPORTS}", batch_id))
-        check = check_window(window, profile, cfg, previous, as_of)
+        last = read_batch(spark, f"{root}/{LAST}", batch_id - 1)
+        check = check_window(window, profile, cfg, previous_severity(last), as_of)
         write_batch(window, f"{root}/{WINDOW}", batch_id)
         if check.metrics is not None:
             write_batch(check.metrics, f"{root}/{METRICS}", batch_id)
             write_batch(check.alert, f"{root}/{ALERTS}", batch_id)
             write_batch(check.report, f"{root}/{REPORTS}", batch_id)
+            last = read_batch(spark, f"{root}/{REPORTS}", batch_id)
+        if last is not None:
+            write_batch(last, f"{root}/{LAST}", batch_id)
 
     return for_each_batch(scored, handle, checkpoint)
 

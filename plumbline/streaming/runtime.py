@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from plumbline.sources.tables import read_or_none
@@ -36,12 +35,14 @@ def write_batch(df: DataFrame, root: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{BATCH}={batch_id}")
 
 
-def read_batches(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    """All batches written so far, or those before a batch id; None when there are none."""
-    out = read_or_none(spark, root)
-    if out is None or before is None:
-        return out
-    return out.where(F.col(BATCH) < before)
+def read_batch(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
+    """What one batch wrote, from its own folder; None if it wrote nothing. No other folder is looked at."""
+    return read_or_none(spark, f"{root}/{BATCH}={batch_id}")
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """State that is kept as lists and timers needs this store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def for_each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:

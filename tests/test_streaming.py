@@ -115,6 +115,49 @@ def test_jobs_across_batches(spark, tmp_path):
     assert got == sorted((r["job_id"], r["id"]) for r in accept_jobs(df, "job_id", "created_at", "id").collect())
 
 
+def test_jobs_out_of_time_order(spark, tmp_path):
+    # One job per batch and key: what comes late is judged by the accepted jobs on both sides of it.
+    make = lambda rows: spark.createDataFrame([(k, at(h * 60), i) for k, h, i in rows], "job_id string, created_at timestamp, id bigint")
+    stream = arrivals(
+        spark,
+        str(tmp_path / "in"),
+        make([("a", 100, 1), ("b", 100, 2), (None, 100, 3)]),
+        make([("a", 80, 4), ("b", 70, 5), (None, 124, 6)]),  # 20 hours before: refused; 30 hours before: accepted; 24 after: refused
+        make([("b", 94, 7), ("a", 124.5, 8), ("b", 125, 9), (None, 124.1, 10)]),  # 7: 24 hours behind 70, 6 before 100
+        make([("a", 20, 11), ("b", 60, 12)]),  # 11 is older than the watermark
+        make([("c", 400, 13)]),
+        make([("a", 401, 14), ("c", 424, 15)]),
+    )
+    root = str(tmp_path / "out")
+    query = drain(accept_jobs_each_batch(stream, root, str(tmp_path / "cp"), delay="3 days"))
+    got = sorted(r["id"] for r in spark.read.parquet(f"{root}/accepted").collect())
+    assert got == [1, 2, 3, 5, 8, 9, 10, 13, 14]
+    assert rows_past_watermark(query) == 1
+
+
+def test_check_of_late_batches(spark, log, profile, tmp_path):
+    cfg = DriftConfig(window_size=120, min_window_size=50)
+    parts = [log.where("id >= 200 and id < 350"), log.where("id < 100"), log.where("id >= 350")]
+    stream = arrivals(spark, str(tmp_path / "in"), *parts)
+    root = str(tmp_path / "out")
+    drain(check_each_batch(stream, profile, cfg, root, str(tmp_path / "cp")))
+    metrics = lambda b: values(spark.read.parquet(f"{root}/report_metrics").where(f"batch = {b}").collect())
+    assert metrics(1) == metrics(0) == values(drift_metrics(last_window(log.where("id < 350"), 120), profile, cfg).collect())
+    assert metrics(2) == values(drift_metrics(last_window(log, 120), profile, cfg).collect())
+
+
+def test_a_batch_reads_the_folder_before_only(spark, log, profile, tmp_path, monkeypatch):
+    from plumbline.streaming import runtime
+
+    read = []
+    monkeypatch.setattr(runtime, "read_or_none", lambda spark, path, f=runtime.read_or_none: (read.append(path), f(spark, path))[1])
+    stream = arrivals(spark, str(tmp_path / "in"), *[log.where(f"id >= {a} and id < {a + 100}") for a in range(0, 400, 100)])
+    root = str(tmp_path / "out")
+    drain(check_each_batch(stream, profile, DriftConfig(window_size=80), root, str(tmp_path / "cp")))
+    assert {p.rsplit("/", 1)[1] for p in read if "/window/" in p} == {f"batch={i}" for i in (-1, 0, 1, 2)}
+    assert all("/batch=" in p for p in read)
+
+
 def test_repeated_and_late_events(spark, tmp_path):
     make = lambda ids, start: spark.createDataFrame([(i, at(start)) for i in ids], "event_id int, created_at timestamp")
     stream = arrivals(spark, str(tmp_path / "in"), make([1, 2, 2], 5000), make([2, 3], 5001), make([4, 5, 6], 10))
