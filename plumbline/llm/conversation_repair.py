@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -352,7 +352,7 @@ def _illegal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def chain(pdf: pd.DataFrame) -> tuple[dict, np.ndarray]:
     """Counts of a conversation, and the costs behind each of its blocks; `pdf` has its blocks in order."""
     behind = np.zeros((len(pdf), STATES), np.int64)
-    now = np.array([0, NEVER, NEVER, 0], np.int64)
+    now = _ACCEPT
     for i in range(len(pdf) - 1, -1, -1):
         behind[i] = now
         matrix = np.array(pdf["matrix"].iloc[i]).reshape(STATES, STATES)  # by state behind, state before
@@ -368,26 +368,46 @@ def chain(pdf: pd.DataFrame) -> tuple[dict, np.ndarray]:
     return counts, behind
 
 
+COUNTS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+#: Costs behind a conversation's last row: nothing from where it may end.
+_ACCEPT = np.array([0, NEVER, NEVER, 0], np.int64)
+
+
 def _chained(summary: DataFrame) -> DataFrame:
-    """For each block: costs behind it, whether it is the last, and (on the first) the conversation's counts.
+    """For each block: costs behind it, its number, the conversation's blocks and counts.
 
-    A group has one row of about 200 bytes for each 4,096 rows; an audit is one string, so that a conversation has less than 2^31 rows and its
-    group less than 2^19.
+    Conversations of one block are worked out many at a time. Of the others a group has one row of about 200 bytes for each 4,096 rows; an
+    audit is one string, so that a conversation has less than 2^31 rows and its group less than 2^19.
     """
     kind = summary.schema["conv"].dataType.simpleString()
-    names = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    schema = f"part int, at long, conv {kind}, behind array<long>, number long, blocks long, " + ", ".join(f"{c} long" for c in COUNTS)
+    sized = summary.withColumn("blocks", F.count(F.lit(1)).over(Window.partitionBy("conv")))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+            matrix = batch.column("matrix").flatten().to_numpy().reshape(n, STATES, STATES)
+            cost = (matrix[:, :, 0] + with_inserts(_ACCEPT)).min(axis=1)
+            gaps = np.where(column("some"), column("high") - column("low") + 1 - column("turns"), 0)
+            made = {"behind": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * STATES, pa.int32()), pa.array(np.tile(_ACCEPT, n)))}
+            made |= {"number": pa.array(np.zeros(n, np.int64)), "blocks": batch.column("blocks"), "gaps": pa.array(gaps), "cost": pa.array(cost)}
+            known = {c: batch.column(c) for c in ("part", "at", "conv", *COUNTS[1:-1])} | made
+            yield pa.record_batch([known[c] for c in names], names)
+
+    names = ["part", "at", "conv", "behind", "number", "blocks", *COUNTS]
+
+    def several(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["part", "at"])
         counts, behind = chain(pdf)
         out = pdf[["part", "at", "conv"]].copy()
         out["behind"], out["number"], out["blocks"] = list(behind), np.arange(len(pdf)), len(pdf)
-        for c in names:
+        for c in COUNTS:
             out[c] = counts[c]
         return out
 
-    schema = f"part int, at long, conv {kind}, behind array<long>, number long, blocks long, " + ", ".join(f"{c} long" for c in names)
-    return summary.groupBy("conv").applyInPandas(one, schema)
+    alone = sized.where("blocks = 1").mapInArrow(single, schema)
+    return alone.unionByName(sized.where("blocks > 1").groupBy("conv").applyInPandas(several, schema))
 
 
 def repaired_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes, bytes]]:
@@ -425,8 +445,8 @@ def repair(rows: DataFrame) -> DataFrame:
     """One row per conversation of `rows` (as of `conversation_rows`): conv, gaps, blank, duplicate, truncated, illegal, cost, audit, sha256."""
     kind = rows.schema["conv"].dataType.simpleString()
     blocks = written(_blocks(_faults(rows)))
-    chained = written(_chained(_summary(blocks)))
-    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    chained = written(_chained(written(_summary(blocks))))
+    counts = COUNTS
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _arrow(batches):
@@ -490,7 +510,7 @@ def repaired(table: DataFrame, conv: str = "conv_id") -> DataFrame:
     rows = conversation_rows(table, conv)
     every, done = rows.select("conv").distinct().alias("e"), repair(damage(rows)).alias("d")
     found = every.join(done, _same("e", "d", ("conv",)), "left")
-    counts = [F.coalesce(f"d.{c}", F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    counts = [F.coalesce(f"d.{c}", F.lit(0).cast("long")).alias(c) for c in COUNTS]
     nothing = F.sha2(F.lit("").cast("binary"), 256)
     texts = F.coalesce("d.audit", F.lit("")).alias("audit"), F.coalesce("d.repaired_sha256", nothing).alias("repaired_sha256")
     return found.select(F.col("e.conv").alias(conv), *counts, *texts)

@@ -17,16 +17,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import ALLOWED_METRIC_DROP, CHECKLIST, MIN_RECALL, REQUIRED_ARTIFACTS
 from plumbline.functions.columns import col
+from plumbline.operators.chains import numbered, reachable
 
 PRODUCTION = "Production"
 DEFAULT = "Default"
 
+#: Requests of a model that one task goes through, and of a busier model in one block.
+MAX_REQUESTS_IN_TASK, BLOCK_REQUESTS = 50_000, 4096
+
 
 def version_order(version: Column) -> Column:
     """Version as a number; 0 when it is not one."""
@@ -191,81 +196,112 @@ def metric_regressions() -> Column:
     return F.array_compact(F.array(*cells))
 
 
-def gate(
-    requests: DataFrame,
-    versions: DataFrame,
-    production: DataFrame,
-    metrics: DataFrame,
-    artifacts_missing: DataFrame,
-    min_recall: float = MIN_RECALL,
+def judged_alone(
+    requests: DataFrame, versions: DataFrame, metrics: DataFrame, artifacts_missing: DataFrame, min_recall: float = MIN_RECALL
 ) -> DataFrame:
-    """Requests with ``status`` (accepted / rejected), ``error_message``, ``failed_items`` and ``regressions``.
+    """Requests with the metrics of their version, ``failed_items`` and ``error_message`` by what concerns the candidate alone.
 
     Rules in order: checklist, version exists, artifacts there, recall known and
-    above the floor, other metrics known, no regression against Production.
+    above the floor.
     """
-    own = metrics.withColumn("known", F.lit(True))
-    # Production of a model, or of a single request when it says which one.
-    of = ["request_id"] if "request_id" in production.columns else ["model_name"]
-    live = metrics.select(
-        "model_name", F.col("version").alias("production_version"), *[F.col(m).alias(f"production_{m}") for m in ALLOWED_METRIC_DROP]
-    )
-    lacking = artifacts_missing.select("model_name", "version", "missing")
     exists = versions.select("model_name", "version", F.lit(True).alias("exists"))
-    facts = (
-        exists.join(own, ["model_name", "version"], "left")
-        .join(lacking, ["model_name", "version"], "left")
-    )
-    judged = requests.join(facts, ["model_name", "version"], "left").join(production.select(*of, "production_version"), of, "left")
-    judged = judged.join(live, ["model_name", "production_version"], "left").withColumns(
-        {
-            "failed_items": failed_checks(),
-            "regressions": F.when(F.col("production_version").isNotNull(), metric_regressions()),
-        }
-    )
-    other = [m for m in ALLOWED_METRIC_DROP if m != "test_recall"]
-    unknown = F.lit(False)
-    for m in other:
-        unknown = unknown | F.col(m).isNull()
+    lacking = artifacts_missing.select("model_name", "version", "missing")
+    facts = exists.join(metrics, ["model_name", "version"], "left").join(lacking, ["model_name", "version"], "left")
+    judged = requests.join(facts, ["model_name", "version"], "left").withColumn("failed_items", failed_checks())
+    # The messages of the gate, here and in the comparison below.
     error = (
         F.when(F.size("failed_items") > 0, "promotion checklist failed")
         .when(F.col("exists").isNull(), "model version not found")
         .when(F.size(F.coalesce("missing", F.array().cast("array<string>"))) > 0, "missing artifacts")
         .when(F.col("test_recall").isNull(), "promotion metrics unavailable")
         .when(F.col("test_recall") < min_recall, "candidate recall is below the required operating floor")
-        .when(F.col("production_version").isNotNull() & unknown, "promotion metrics unavailable")
-        .when(F.size(F.coalesce("regressions", F.array())) > 0, "candidate metrics regress against current Production")
     )
-    return judged.select(
-        *[col(c) for c in requests.columns],
-        F.when(error.isNull(), "accepted").otherwise("rejected").alias("status"),
-        error.alias("error_message"),
-        "failed_items",
-        "regressions",
-        "production_version",
+    return judged.select(*[col(c) for c in requests.columns], *ALLOWED_METRIC_DROP, "failed_items", error.alias("error_message"))
+
+
+def gate(alone: DataFrame, turns: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Requests of ``judged_alone`` with ``status`` (accepted / rejected), ``regressions``, and the version live at their turn.
+
+    Only requests that passed alone have a turn (request_id, production_version,
+    position); they also need all other metrics and no regression against the
+    live version. The others keep their verdict.
+    """
+    live = metrics.select(
+        "model_name", F.col("version").alias("production_version"), *[F.col(m).alias(f"production_{m}") for m in ALLOWED_METRIC_DROP]
     )
+    passed = alone.where(F.col("error_message").isNull()).drop("error_message").join(turns, "request_id", "left")
+    passed = passed.join(live, ["model_name", "production_version"], "left")
+    passed = passed.withColumn("regressions", F.when(F.col("production_version").isNotNull(), metric_regressions()))
+    unknown = F.lit(False)
+    for m in ALLOWED_METRIC_DROP:
+        if m != "test_recall":
+            unknown = unknown | F.col(m).isNull()
+    error = F.when(F.col("production_version").isNotNull() & unknown, "promotion metrics unavailable").when(
+        F.size(F.coalesce("regressions", F.array())) > 0, "candidate metrics regress against current Production"
+    )
+    kept = [col(c) for c in alone.columns if c not in (*ALLOWED_METRIC_DROP, "failed_items", "error_message")]
+    status = F.when(F.col("error_message").isNull(), "accepted").otherwise("rejected").alias("status")
+    shown = [*kept, status, "error_message", "failed_items", "regressions", "production_version", "position"]
+    refused = alone.where(F.col("error_message").isNotNull()).withColumns(
+        {c: F.lit(None).cast(passed.schema[c].dataType) for c in ("regressions", "production_version", "position")}
+    )
+    return passed.withColumn("error_message", error).select(*shown).unionByName(refused.select(*shown))
+
+
+def _goes_live(own: tuple, live: str | None, values: tuple) -> bool:
+    """A candidate with metrics ``own`` is accepted when ``live``, with metrics ``values``, is in production."""
+    if pd.isna(live):
+        return True
+    if any(pd.isna(v) for n, v in zip(ALLOWED_METRIC_DROP, own) if n != "test_recall"):
+        return False
+    # A comparison with a missing number is no regression.
+    return not any(v < b - d for d, v, b in zip(ALLOWED_METRIC_DROP.values(), own, values) if pd.notna(v) and pd.notna(b))
 
 
 def production_in_order(
-    eligible: DataFrame, production: DataFrame, metrics: DataFrame, order: tuple[str, ...]
+    eligible: DataFrame,
+    production: DataFrame,
+    metrics: DataFrame,
+    order: tuple[str, ...],
+    max_rows_in_task: int = MAX_REQUESTS_IN_TASK,
+    block_rows: int = BLOCK_REQUESTS,
 ) -> DataFrame:
     """(request_id, production_version, position): what is live when each eligible request's turn comes.
 
-    Requests of a model are read in order, one after another, with the version
-    live at that point as the only state: an accepted one is the base of the
-    next. Rows stream through, so a model with very many requests takes time but
-    no memory. ``position`` counts the requests of a model.
+    An accepted request is the base of the next, so the requests of a model are
+    a chain. A model of ordinary size is followed in one task. The requests of a
+    busier one are numbered and cut into blocks; a block is a map from the
+    version live before it to the one live after it, worked out for all versions
+    at once. The maps are composed by doubling, and each block is followed with
+    the version it begins with. ``eligible`` has the metrics of its versions;
+    ``position`` counts the requests of a model from 1.
     """
     names = list(ALLOWED_METRIC_DROP)
-    base = metrics.select("model_name", F.col("version").alias("production_version"), *[F.col(m).alias(f"base_{m}") for m in names])
-    start = production.select("model_name", "production_version").join(base, ["model_name", "production_version"], "left")
-    rows = (
-        eligible.select("request_id", "model_name", "version", *[col(c) for c in order])
-        .join(metrics, ["model_name", "version"], "left")
-        .join(start, "model_name", "left")
+    rows = eligible.select("request_id", "model_name", "version", *names, *[col(c) for c in order if c != "request_id"])
+    base = metrics.select("model_name", F.col("version").alias("live"), *[F.col(m).alias(f"base_{m}") for m in names])
+    start = production.select("model_name", F.col("production_version").alias("live")).join(base, ["model_name", "live"], "left")
+    # At most rows / max_rows_in_task models are busy.
+    busy = rows.groupBy("model_name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_rows_in_task).select("model_name")
+    found = [r["model_name"] for r in busy.collect()]
+    rest = rows.where(~F.col("model_name").isin(*found)) if found else rows
+    turns = _followed(rest, start, order)
+    if found:
+        turns = turns.unionByName(_composed(rows.where(F.col("model_name").isin(*found)), start, order, block_rows))
+    return turns
+
+
+def _turn_schema(rows: DataFrame) -> str:
+    return f"request_id {rows.schema['request_id'].dataType.simpleString()}, production_version string, position long"
+
+
+def _followed(rows: DataFrame, start: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Models one after another, rows streaming through."""
+    names = list(ALLOWED_METRIC_DROP)
+    sorted_rows = (
+        rows.join(start, "model_name", "left")
         .repartition("model_name")
         .sortWithinPartitions("model_name", *[col(c) for c in order], "request_id")
-        .select("request_id", "model_name", "version", *names, "production_version", *[f"base_{m}" for m in names])
+        .select("request_id", "model_name", "version", *names, "live", *[f"base_{m}" for m in names])
     )
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,21 +309,83 @@ def production_in_order(
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                own = row[3 : 3 + len(names)]
                 if row.model_name != model:
                     model, position = row.model_name, 0
-                    live, values = row.production_version, row[4 + len(names) :]
+                    live, values = row.live, row[4 + len(names) :]
                 position += 1
                 out.append((row.request_id, live, position))
-                known = all(pd.notna(v) for n, v in zip(names, own) if n != "test_recall")
-                # A comparison with a missing number is no regression.
-                worse = any(v < b - ALLOWED_METRIC_DROP[n] for n, v, b in zip(names, own, values) if pd.notna(v) and pd.notna(b))
-                if pd.isna(live) or (known and not worse):
+                own = row[3 : 3 + len(names)]
+                if _goes_live(own, live, values):
                     live, values = row.version, own
             yield pd.DataFrame(out, columns=["request_id", "production_version", "position"])
 
-    request_type = eligible.schema["request_id"].dataType.simpleString()
-    return rows.mapInPandas(fold, f"request_id {request_type}, production_version string, position long")
+    return sorted_rows.mapInPandas(fold, _turn_schema(rows))
+
+
+def live_after(rows: pd.DataFrame, states: pd.DataFrame) -> np.ndarray:
+    """For each of the ``states`` (version, and its metrics) live before the ``rows``: the number of the state live after them.
+
+    States that have led to the same version go on as one.
+    """
+    names = list(ALLOWED_METRIC_DROP)
+    drops = np.array([ALLOWED_METRIC_DROP[n] for n in names])
+    number = {v: i for i, v in enumerate(states["live"])}
+    values = states[[f"base_{n}" for n in names]].to_numpy(float)
+    nothing = states["live"].isna().to_numpy()
+    own = rows[names].to_numpy(float)
+    known = ~np.isnan(own[:, [i for i, n in enumerate(names) if n != "test_recall"]]).any(axis=1)
+    now, of = np.arange(len(states)), np.arange(len(states))  # the different states by now, and the one each start has led to
+    for version, mine, complete in zip(rows["version"], own, known):
+        better = nothing[now] | (complete & ~(mine < values[now] - drops).any(axis=1))
+        if better.any():
+            moved = np.where(better, number[version], now)
+            now, slot = np.unique(moved, return_inverse=True)
+            of = slot[of]
+    return now[of]
+
+
+def _composed(rows: DataFrame, start: DataFrame, order: tuple[str, ...], block_rows: int) -> DataFrame:
+    names = list(ALLOWED_METRIC_DROP)
+    bases = [f"base_{m}" for m in names]
+    placed = numbered(rows, "model_name", (*order, "request_id"))
+    own = rows.select("model_name", F.col("version").alias("live"), *[F.col(m).alias(b) for m, b in zip(names, bases)])
+    begin = rows.select("model_name").distinct().join(start, "model_name", "left")
+    states = own.unionByName(begin.select(*own.columns)).groupBy("model_name", "live").agg(*[F.first(b).alias(b) for b in bases]).checkpoint()
+    # Blocks have as many rows as there are states at least, so all maps together are no larger than the rows.
+    size = max(block_rows, states.groupBy("model_name").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0])
+    cut = placed.withColumn("block", F.floor((F.col("position") - 1) / size)).select("model_name", "block", "position", "request_id", "version", *names).checkpoint()
+    keys, of = ["model_name", "block"], ["of_model", "of_block"]
+    each = cut.select(*keys).distinct().join(states, "model_name").withColumnsRenamed(dict(zip(keys, of)))
+    name = F.coalesce(F.concat(F.lit("="), F.col("live")), F.lit(""))
+
+    def as_map(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        live = right["live"].where(right["live"].notna(), None).to_numpy(object)
+        after = live[live_after(left.sort_values("position"), right.assign(live=live))]
+        text = lambda v: "" if v is None else f"={v}"
+        return pd.DataFrame({"model_name": key[0], "block": key[1], "before": [text(v) for v in live], "after": [text(v) for v in after]})
+
+    maps = cut.groupBy(*keys).cogroup(each.groupBy(*of)).applyInPandas(as_map, "model_name string, block long, before string, after string")
+    node = lambda block, live: F.struct("model_name", F.expr(block).alias("block"), F.col(live).alias("live"))
+    links = maps.select(node("block", "before").alias("node"), node("block + 1", "after").alias("next"))
+    first = begin.select("model_name", name.alias("live")).select(node("0L", "live").alias("node"))
+    at = reachable(links, first).select("node.*")
+    known = states.select("model_name", name.alias("name"), F.col("live").alias("version"), *bases)
+    entry = at.join(known.withColumnRenamed("name", "live"), ["model_name", "live"])
+    entry = entry.select(F.col("model_name").alias(of[0]), F.col("block").alias(of[1]), F.col("version").alias("live"), *bases)
+
+    def follow(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:  # what the last block leads to
+            return pd.DataFrame(columns=["request_id", "production_version", "position"])
+        left, before = left.sort_values("position"), []
+        live, values = right["live"].iloc[0], tuple(right[bases].iloc[0])
+        for version, *own in left[["version", *names]].itertuples(index=False):
+            before.append(None if pd.isna(live) else live)
+            if _goes_live(own, live, values):
+                live, values = version, own
+        return pd.DataFrame({"request_id": left["request_id"], "production_version": before, "position": left["position"]})
+
+    found = cut.groupBy(*keys).cogroup(entry.groupBy(*of))
+    return found.applyInPandas(follow, _turn_schema(rows))
 
 
 def first_requests(requests: DataFrame, audit: DataFrame | None = None, order: tuple[str, ...] = ("created_at",)) -> DataFrame:

@@ -11,6 +11,7 @@ from plumbline.operators.registry import (
     current_production,
     first_requests,
     gate,
+    judged_alone,
     metric_columns,
     mirror_rows,
     missing_artifacts,
@@ -18,6 +19,7 @@ from plumbline.operators.registry import (
     promotions,
     version_metadata,
 )
+from plumbline.sources.folders import ensure_checkpoint_folder
 
 
 def promote(
@@ -42,10 +44,10 @@ def promote(
     metadata = version_metadata(versions, runs)
     metrics, lacking = metric_columns(metadata), missing_artifacts(versions, artifacts)
     asked = first_requests(requests, audit, order)
-    alone = gate(asked, versions, production.where(F.lit(False)), metrics, lacking, min_recall)
-    turns = production_in_order(alone.where(F.col("status") == "accepted"), production, metrics, order)
-    judged = gate(asked, versions, turns, metrics, lacking, min_recall)
-    judged = judged.join(turns.select("request_id", "position"), "request_id", "left")
+    ensure_checkpoint_folder(requests.sparkSession)
+    alone = judged_alone(asked, versions, metrics, lacking, min_recall).checkpoint()
+    turns = production_in_order(alone.where(F.col("error_message").isNull()), production, metrics, order)
+    judged = gate(alone, turns, metrics)
     return {
         "judged": judged,
         "audit": audit_rows(judged),
