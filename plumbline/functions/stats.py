@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from plumbline.config import CLIP
 
 _SQRT_PI = math.sqrt(math.pi)
-# Beyond this many degrees of freedom the exact sum is replaced by the
-# Wilson-Hilferty cube-root normal form (error below 1e-6 there).
-MAX_EXACT_DF = 200_000
-
 
 def psi_term(reference: Column, current: Column) -> Column:
     """One bin's share of the population stability index."""
@@ -44,43 +40,55 @@ def erfc(z: Column) -> Column:
     return F.when(z < 2, near).otherwise(far)
 
 
+#: Steps by which the argument of the gamma function is raised before its asymptotic series.
+_RAISED = 10
+#: Coefficients 1/12, -1/360, ... of that series.
+_STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360)
+
+
+def _log1p_less(m: Column) -> Column:
+    """m - ln(1 + m), also where m is small."""
+    return m - F.log1p(m)
+
+
+def _log_density(a: Column, x: Column) -> Column:
+    """Logarithm of x^a e^-x / Gamma(a), without the large terms that would cancel each other."""
+    b = a + _RAISED
+    raised = F.lit(0.0)
+    for k in range(_RAISED):
+        raised = raised + F.ln((a + k) / x)
+    series = F.lit(0.0)
+    for i, c in enumerate(_STIRLING):
+        series = series + c / F.pow(b, F.lit(2.0 * i + 1))
+    return raised + 0.5 * F.ln(b / (2 * math.pi)) - b * _log1p_less((x - b) / b) - series
+
+
 def chi2_sf(statistic: Column, df: Column) -> Column:
     """Upper tail of the chi-square distribution; null when df is 0.
 
-    For whole df the tail is a finite sum. Terms are carried as logarithms so
-    that neither a large statistic nor a large df overflows.
+    The regularised incomplete gamma function of df / 2 and statistic / 2, by
+    its power series below the mean and by its continued fraction above. Both
+    take a number of terms that depends on df alone and is enough wherever the
+    statistic lies.
     """
-    half = statistic / 2
-    even = df % 2 == 0
-    steps = F.when(even, (df / 2).cast("int") - 1).otherwise(((df - 1) / 2).cast("int"))
-    # even: terms k = 0..df/2-1, log term 0 = -h; odd: terms k = 1..(df-1)/2
-    first = F.when(even, -half).otherwise(
-        0.5 * F.ln(half) - math.log(_SQRT_PI / 2) - half
-    )
-    start = F.when(even, F.exp(-half)).otherwise(
-        F.when(df >= 3, F.exp(first)).otherwise(F.lit(0.0))
-    )
-    more = F.when(even, steps).otherwise(steps - 1)
-    shift = F.when(even, F.lit(0.0)).otherwise(F.lit(0.5))
-    tail = F.aggregate(
-        F.when(more >= 1, F.sequence(F.lit(1), more)).otherwise(F.array().cast("array<int>")),
-        F.struct(start.alias("total"), first.alias("log_term")),
-        lambda acc, k: F.struct(
-            (acc["total"] + F.exp(acc["log_term"] + F.ln(half) - F.ln(k + shift))).alias("total"),
-            (acc["log_term"] + F.ln(half) - F.ln(k + shift)).alias("log_term"),
-        ),
-        lambda acc: acc["total"],
+    a, x = df.cast("double") / 2, statistic.cast("double") / 2
+    terms = F.lit(80) + F.ceil(9 * F.sqrt(a)).cast("int")
+    steps = F.sequence(F.lit(1), terms)
+    below = F.aggregate(
+        steps,
+        F.struct(F.lit(1.0).alias("total"), F.lit(1.0).alias("term")),
+        lambda acc, k: F.struct((acc["total"] + acc["term"] * x / (a + k)).alias("total"), (acc["term"] * x / (a + k)).alias("term")),
+        lambda acc: acc["total"] / a,
     )
-    exact = F.when(even, tail).otherwise(erfc(F.sqrt(half)) + tail)
-    spread = F.lit(2.0) / (9 * df)
-    z = (F.pow(statistic / df, F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
-    root2 = math.sqrt(2)
-    cube_root = F.when(z >= 0, erfc(z / root2) / 2).otherwise(1 - erfc(-z / root2) / 2)
+    # From the last step to the first: x + 2k - 1 - a + k (a - k) / (what is behind).
+    behind = x + 2 * terms + 1 - a
+    above = F.aggregate(F.reverse(steps), behind, lambda acc, k: x + (2 * k - 1) - a + k * (a - k) / acc, lambda acc: 1 / acc)
+    density = F.exp(_log_density(a, x))
+    tail = F.when(x < a + 1, 1 - density * below).otherwise(density * above)
     return (
         F.when(df < 1, F.lit(None).cast("double"))
         .when(statistic <= 0, F.lit(1.0))
-        .when(df > MAX_EXACT_DF, cube_root)
-        .otherwise(F.least(exact, F.lit(1.0)))
+        .otherwise(F.greatest(F.least(tail, F.lit(1.0)), F.lit(0.0)))
     )
 
 

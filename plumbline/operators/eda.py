@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from plumbline.functions.columns import col, is_numeric, local_table
 from plumbline.functions.stats import adjusted_skewness
-from plumbline.operators.profile import numeric_columns, split_by_type
+from plumbline.operators.moments import correlations
+from plumbline.operators.profile import label_counts, numeric_columns, split_by_type
 from plumbline.operators.ranks import exact_quantiles, values_at_ranks
 
 # Up to this many colliding row hashes the exact duplicate check looks at those
@@ -220,25 +221,22 @@ def describe_numeric(df: DataFrame) -> DataFrame:
     return local_table(df.sparkSession, rows, schema)
 
 
+def text_labels(df: DataFrame, names: list[str]) -> dict[str, Column]:
+    """Text columns with texts longer than a digest replaced by their digest, so that no long text is moved."""
+    return {n: F.when(F.length(col(n)) > 32, F.md5(col(n))).otherwise(col(n)) for n in names}
+
+
 def token_summary(df: DataFrame, token: str = "unknown") -> DataFrame:
     """Text columns that hold the token: its count and percent, and the column's distinct values."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    aggregates = [F.count(F.lit(1)).alias("rows")]
-    for i, n in enumerate(names):
-        aggregates.append(F.count_if(col(n) == token).alias(f"c{i}"))
-        aggregates.append(F.count_distinct(col(n)).alias(f"d{i}"))
-        aggregates.append(F.max(col(n).isNull().cast("int")).alias(f"z{i}"))
-    structs = [
-        F.struct(
-            F.lit(n).alias("column"),
-            F.col(f"c{i}").alias("token_count"),
-            F.round(F.when(F.col("rows") > 0, F.col(f"c{i}") / F.col("rows") * 100), 2).alias("token_percent"),
-            (F.col(f"d{i}") + F.coalesce(f"z{i}", F.lit(0))).alias("unique_count"),
-        )
-        for i, n in enumerate(names)
-    ]
-    rows = df.agg(*aggregates).select(F.inline(F.array(*structs)))
-    return rows.where(F.col("token_count") > 0).orderBy(F.col("token_percent").desc(), "column")
+    counts = label_counts(df, text_labels(df, names))
+    mark = F.lit(token) if len(token) <= 32 else F.md5(F.lit(token))
+    per = counts.groupBy(F.col("feature").alias("column")).agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("label") == mark, F.col("n"))), F.lit(0)).alias("token_count"), F.count(F.lit(1)).alias("unique_count")
+    )
+    percent = F.round(F.when(F.col("rows") > 0, F.col("token_count") / F.col("rows") * 100), 2).alias("token_percent")
+    rows = per.where("token_count > 0").select("column", "token_count", percent, "unique_count")
+    return rows.orderBy(F.col("token_percent").desc(), "column")
 
 
 def target_correlation(df: DataFrame, target: str) -> DataFrame:
@@ -251,21 +249,9 @@ def target_correlation(df: DataFrame, target: str) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(left, right, correlation) for all ordered pairs of numeric columns, in one pass."""
+    """(left, right, correlation) for all ordered pairs of numeric columns, each over the rows that have both, in one pass."""
     names = names or split_by_type(df)[0]
-    values = numeric_columns(df, names)
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    row = df.agg(*[F.corr(values[names[i]], values[names[j]]).alias(f"r{i}_{j}") for i, j in pairs])
-    cells = [
-        F.struct(
-            F.lit(names[i]).alias("left"),
-            F.lit(names[j]).alias("right"),
-            F.col(f"r{min(i, j)}_{max(i, j)}").alias("correlation"),
-        )
-        for i in range(len(names))
-        for j in range(len(names))
-    ]
-    return row.select(F.inline(F.array(*cells)))
+    return correlations(df, numeric_columns(df, names))
 
 
 def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
