@@ -10,6 +10,7 @@ cluster size.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,8 +54,8 @@ def _class_key(label: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), col(label).cast("string")), F.lit("null"))
 
 
-def _assign(df: DataFrame, label: str, h: Column, cuts_of, name: str) -> DataFrame:
-    """Part number of each row: how many of its class's cut ranks its hash has passed.
+def _assign(df: DataFrame, label: str, h: Column, cuts_of) -> DataFrame:
+    """(_row, _part): part number of each row, that is how many of its class's cut ranks its hash has passed.
 
     ``cuts_of`` turns the class table (``_class``, ``size``) into (``_class``,
     ``cuts``). Hash buckets are counted per class, which tells in which bucket
@@ -63,7 +64,8 @@ def _assign(df: DataFrame, label: str, h: Column, cuts_of, name: str) -> DataFra
     class) are then joined to the rows; a frequent class is split by the join.
     """
     bucket = F.shiftright("_h", 64 - BUCKET_BITS)
-    keyed = df.withColumns({"_class": _class_key(label), "_h": h})
+    # The user's row stays in one column, so that its names can't meet those made here.
+    keyed = df.select(F.struct(*[col(c) for c in df.columns]).alias("_row"), _class_key(label).alias("_class"), h.alias("_h"))
     counts = keyed.groupBy("_class", bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy("_class").agg(F.sum("n").alias("size"))
     cuts = cuts_of(sizes).select("_class", F.posexplode("cuts").alias("_cut", "_rank"))
@@ -78,8 +80,13 @@ def _assign(df: DataFrame, label: str, h: Column, cuts_of, name: str) -> DataFra
     # A cut at or past the end of a class has no limit: the later parts stay empty.
     passed = F.size(F.filter("_limits", lambda x: x <= F.col("_h")))
     # One row per class; a class has no limits only when all its cuts are past its end.
-    joined = keyed.join(limits, "_class", "left")
-    return joined.withColumn(name, F.coalesce(F.when(F.col("_limits").isNotNull(), passed), F.lit(0))).select(*[col(c) for c in df.columns], name)
+    part = F.coalesce(F.when(F.col("_limits").isNotNull(), passed), F.lit(0))
+    return keyed.join(limits, "_class", "left").select("_row", part.alias("_part"))
+
+
+def _with_part(df: DataFrame, assigned: DataFrame, name: str, part: Column) -> DataFrame:
+    """The rows as they came, with ``name`` added or replaced."""
+    return assigned.select(*[F.col("_row").getField(c).alias(c) for c in df.columns if c != name], part.alias(name))
 
 
 def stratified_split(
@@ -113,8 +120,8 @@ def _split(df, label, key, cfg: SplitConfig, name: str, parts: list[str]) -> Dat
         table = apportion(table, "rest", math.ceil(left * cfg.test / (cfg.validation + cfg.test) - 1e-9) if left else 0, "test")
         return table.select("_class", F.array("train", F.col("size") - F.col("test")).alias("cuts"))
 
-    placed = _assign(df, label, row_hash(key, cfg.seed), cuts_of, "_part")
-    return placed.withColumn(name, F.get(F.array(*[F.lit(p) for p in parts]), F.col("_part"))).drop("_part")
+    assigned = _assign(df, label, row_hash(key, cfg.seed), cuts_of)
+    return _with_part(df, assigned, name, F.get(F.array(*[F.lit(p) for p in parts]), F.col("_part")))
 
 
 def stratified_folds(
@@ -127,7 +134,7 @@ def stratified_folds(
 
     if k < 2:
         return df.withColumn(name, F.lit(0))
-    return _assign(df, label, row_hash(key, seed), cuts_of, name)
+    return _with_part(df, _assign(df, label, row_hash(key, seed), cuts_of), name, F.col("_part"))
 
 
 def split_summary(df: DataFrame, label: str, by: str = "split") -> DataFrame:
@@ -139,32 +146,105 @@ def split_summary(df: DataFrame, label: str, by: str = "split") -> DataFrame:
     )
 
 
+def _row_text(df: DataFrame) -> Column:
+    """Everything in a row as text; equal rows, and only these, have the same."""
+    return F.to_json(F.struct(*[col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+
+
+@dataclass(frozen=True)
+class _Cut:
+    """Where a slice ends: rows of a lesser order value come before, of rows with this very value those of a lesser tie-break, and of rows
+    equal in both the first ``copies``."""
+
+    value: int
+    tie: int | None = None
+    copies: int = 0
+
+    def before(self, order: Column, tie: Column) -> Column:
+        less = order < F.lit(self.value)
+        return less if self.tie is None else less | ((order == F.lit(self.value)) & (tie < F.lit(self.tie)))
+
+    def at(self, order: Column, tie: Column) -> Column:
+        return (order == F.lit(self.value)) & (tie == F.lit(self.tie))
+
+
+def _cuts(df: DataFrame, order: Column, tie: Column, ranks: list[int]) -> list[_Cut | None]:
+    """The cut in front of each of the ascending ranks; None at or past the end."""
+    size = max(df.count(), 1)
+    found = values_at_ranks(df, {"o": order}, [min(r / size, 1.0) for r in ranks], lambda *_: ranks, dtype="bigint")["o"]
+    inside = [r for r in ranks if r < found.n]
+    # Ranks among the rows of one order value: repeated keys, or keys of one hash.
+    split = {r: (found.values[r], r - found.below[r]) for r in inside if r > found.below[r]}
+    ties = {}
+    if split:
+        names = {f"t{i}": r for i, r in enumerate(split)}
+        parts = {name: F.when(order == F.lit(split[r][0]), tie) for name, r in names.items()}
+        among = df.where(order.isin(*{v for v, _ in split.values()}))
+        got = values_at_ranks(among, parts, [0.0, 0.5, 1.0], lambda name, _: [split[names[name]][1]], dtype="bigint")
+        ties = {r: (got[name].values[split[r][1]], split[r][1] - got[name].below[split[r][1]]) for name, r in names.items()}
+    return [_Cut(found.values[r], *ties.get(r, (None, 0))) if r < found.n else None for r in ranks]
+
+
+def _copies(df: DataFrame, where: Column, first: int, behind: int | None) -> DataFrame:
+    """Copies ``first`` .. ``behind - 1`` of the rows of one order value and tie-break, which are counted and not moved one by one."""
+    rows = df.where(where)
+    same = rows.groupBy(_row_text(df).alias("text")).agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*[col(c) for c in df.columns])).alias("row"))
+    # Rows that differ and still have both hashes in common: hardly ever more than one kind.
+    start = F.sum("n").over(Window.orderBy("text")) - F.col("n")
+    end = F.col("n") + F.col("start")
+    behind_here = end if behind is None else F.least(end, F.lit(behind))
+    taken = same.withColumn("start", start).withColumn("taken", (behind_here - F.greatest(F.col("start"), F.lit(first))).cast("int"))
+    return taken.where("taken > 0").select("row", F.explode(F.sequence(F.lit(1), "taken"))).select("row.*")
+
+
+def _slices(df: DataFrame, order: Column, bounds: list[int]) -> list[DataFrame]:
+    """Rows ``bounds[i]`` .. ``bounds[i + 1] - 1`` in the order of ``order``, then of the whole row.
+
+    Cut-offs come from rank search, so a slice may be as large as the table.
+    """
+    tie = F.xxhash64(_row_text(df))
+    cuts, out = _cuts(df, order, tie, bounds), []
+    for low, high in zip(cuts, cuts[1:]):
+        if low is None:
+            out.append(df.where(F.lit(False)))
+            continue
+        keep = ~low.before(order, tie)
+        if high is not None:
+            keep = keep & high.before(order, tie)
+        whole, parts = keep, []
+        if low.copies:
+            whole = whole & ~low.at(order, tie)
+            together = high is not None and (high.value, high.tie) == (low.value, low.tie)
+            parts.append(_copies(df, low.at(order, tie), low.copies, high.copies if together else None))
+        else:
+            together = False
+        if high is not None and high.copies and not together:
+            parts.append(_copies(df, high.at(order, tie), 0, high.copies))
+        rows = df.where(whole)
+        for part in parts:
+            rows = rows.unionByName(part)
+        out.append(rows)
+    return out
+
+
 def first_rows(df: DataFrame, order: Column, n: int, skip: int = 0) -> DataFrame:
-    """Rows ``skip`` .. ``skip + n - 1`` in the order of a unique whole-number expression.
+    """Rows ``skip`` .. ``skip + n - 1`` in the order of a whole-number expression; rows equal in it follow a hash of the whole row.
 
-    Cut-offs come from rank search, so ``n`` may be as large as the table.
+    Always min(n, rows left) rows: of rows that are equal altogether as many copies as are needed.
     """
-    size = max(df.count(), 1)
-    near = [min(skip / size, 1.0), min((skip + n) / size, 1.0)]
-    found = values_at_ranks(df, {"o": order}, near, lambda *_: [skip, skip + n], dtype="bigint")["o"]
-    if skip >= found.n or n <= 0:
-        return df.where(F.lit(False))
-    out = df if skip == 0 else df.where(order >= F.lit(found.values[skip]))
-    return out if skip + n >= found.n else out.where(order < F.lit(found.values[skip + n]))
+    return _slices(df, order, [skip, skip + max(n, 0)])[0] if n > 0 else df.where(F.lit(False))
 
 
 def seeded_sample(df: DataFrame, key: str | list[str], n: int, seed: int = 42) -> DataFrame:
-    """Exactly min(n, rows) rows, the same ones on every run."""
+    """Exactly min(n, rows) rows, the same ones on every run; the key may repeat."""
     return first_rows(df, row_hash(key, seed), n)
 
 
 def sample_slices(
     df: DataFrame, key: str | list[str], sizes: list[int], seed: int = 42
 ) -> list[DataFrame]:
-    """Disjoint consecutive slices of the hash order."""
-    h = row_hash(key, seed)
-    starts = [sum(sizes[:i]) for i in range(len(sizes))]
-    return [first_rows(df, h, n, start) for start, n in zip(starts, sizes)]
+    """Disjoint consecutive slices of the hash order; the key may repeat."""
+    return _slices(df, row_hash(key, seed), [sum(sizes[:i]) for i in range(len(sizes) + 1)])
 
 
 def full_shift(df: DataFrame, add: dict[str, float] | None = None, overwrite: dict[str, str] | None = None) -> DataFrame:

@@ -377,7 +377,8 @@ def seeded_sample_summary(t: Tables) -> DataFrame:
 
 @query(
     "sample_slices",
-    """SELECT 'normal' AS part, 250::BIGINT AS rows, 250::BIGINT AS distinct_keys UNION ALL SELECT 'shifted', 250, 250 UNION ALL SELECT 'both', 500, 500""",
+    """WITH s AS (SELECT least(250, count(*)) AS a, greatest(least(250, count(*) - 250), 0) AS b FROM events)
+SELECT 'normal' AS part, a AS rows, a AS distinct_keys FROM s UNION ALL SELECT 'shifted', b, b FROM s UNION ALL SELECT 'both', a + b, a + b FROM s""",
 )
 def sample_slices_summary(t: Tables) -> DataFrame:
     """Two disjoint slices of 250 rows each, the second one shifted."""
@@ -388,6 +389,36 @@ def sample_slices_summary(t: Tables) -> DataFrame:
     return both.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("event_id").alias("distinct_keys"))
 
 
+@query(
+    "sample_repeated_keys",
+    """WITH n AS (SELECT count(*) AS n, (count(*) * 2 // 5)::BIGINT AS m FROM lineitem)
+SELECT 'sample' AS part, m AS rows, m AS known, 0::BIGINT AS beyond FROM n UNION ALL SELECT 'first', m, m, 0 FROM n
+UNION ALL SELECT 'rest', n - m, n - m, 0 FROM n UNION ALL SELECT 'both', n, n, 0 FROM n""",
+)
+def repeated_keys_sample(t: Tables) -> DataFrame:
+    """Two fifths of the lines by a key that has three values, and the slices before and behind that cut.
+
+    Every row is found again in the table, and none more often than it stands there.
+    """
+    names = ["l_returnflag", "l_linestatus", "l_linenumber", "l_tax"]
+    lines = t.lineitem.select(*names)
+    n = lines.count()
+    size = n * 2 // 5
+    first, rest = sample_slices(lines, "l_returnflag", [size, n])
+    parts = {"sample": seeded_sample(lines, "l_returnflag", size), "first": first, "rest": rest, "both": first.unionByName(rest)}
+    table = lines.groupBy(*names).agg(F.count(F.lit(1)).alias("there"))
+    out = None
+    for part, rows in parts.items():
+        counted = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("taken")).join(table, names, "left")
+        summary = counted.agg(
+            F.sum("taken").alias("rows"),
+            F.sum(F.when(F.col("there").isNotNull(), F.col("taken")).otherwise(0)).alias("known"),
+            F.sum((F.col("taken") > F.col("there")).cast("long")).alias("beyond"),
+        ).select(F.lit(part).alias("part"), "rows", "known", "beyond")
+        out = summary if out is None else out.unionByName(summary)
+    return out
+
+
 @query("full_shift", "SELECT event_id, value + 3.0 AS value, 'signup' AS event_type FROM events")
 def shifted_events(t: Tables) -> DataFrame:
     return full_shift(t.events.select("event_id", "value", "event_type"), {"value": 3.0}, {"event_type": "signup"})

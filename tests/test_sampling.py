@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.config import SplitConfig
-from plumbline.operators import eda
+from plumbline.operators import eda, sampling
 from plumbline.operators.sampling import (
     first_rows,
     full_shift,
@@ -134,3 +136,39 @@ def test_histogram_of_a_constant(spark):
     df = spark.createDataFrame([(3.0,)] * 4, "v double")
     row = eda.histogram(df, ["v"], 10).collect()
     assert len(row) == 1 and row[0]["n"] == 4
+
+
+@pytest.mark.parametrize("n", [1, 2, 149, 150, 151, 999, 1000, 2000])
+def test_samples_of_repeated_keys_are_exact(spark, n):
+    """Keys repeat, and so do whole rows: a third of the table is one row."""
+    rng = np.random.default_rng(3)
+    rows = [(7, "x", None)] * 333 + [(int(k), "y", float(v)) for k, v in zip(rng.integers(0, 6, 400), rng.integers(0, 3, 400))]
+    rows += [(int(k), "z", i * 1.0) for i, k in enumerate(rng.integers(0, 3, 267))]
+    df = spark.createDataFrame(rows, "k int, s string, v double").repartition(5)
+    sample = [tuple(r) for r in sampling.seeded_sample(df, "k", n).collect()]
+    assert len(sample) == min(n, 1000)
+    assert not Counter(sample) - Counter(rows)
+    assert Counter(sample) == Counter(tuple(r) for r in sampling.seeded_sample(df.repartition(3), "k", n).collect())
+
+
+def test_slices_of_repeated_keys_are_disjoint(spark):
+    rows = [(1, "same")] * 500 + [(i % 4, f"r{i % 30}") for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, s string").repartition(4)
+    sizes = [10, 200, 0, 250, 100, 400]
+    slices = [Counter(tuple(r) for r in part.collect()) for part in sampling.sample_slices(df, "k", sizes)]
+    assert [sum(c.values()) for c in slices] == [10, 200, 0, 250, 100, 240]
+    assert sum(slices, Counter()) == Counter(rows)
+    # The first slices together are the sample of that size.
+    assert slices[0] + slices[1] == Counter(tuple(r) for r in sampling.seeded_sample(df, "k", 210).collect())
+
+
+def test_columns_of_any_name_survive_a_split(spark):
+    names = ["_class", "_h", "_row", "_part", "_bucket", "_limits", "_offset", "_rank", "_cut", "n", "size", "train", "test"]
+    df = spark.range(60).select((F.col("id") % 3).alias("y"), "id", *[F.concat(F.lit(f"{c}-"), F.col("id")).alias(c) for c in names])
+    want = {r["id"]: r for r in df.collect()}
+    for made in (sampling.stratified_split(df, "y", "id"), sampling.stratified_folds(df, "y", "id", 3), sampling.train_test_split(df, "y", "id")):
+        got = made.collect()
+        assert len(got) == 60 and all(r[c] == want[r["id"]][c] for r in got for c in df.columns)
+    # A column of the name to be made is replaced.
+    again = sampling.stratified_split(df.withColumn("split", F.lit("old")), "y", "id")
+    assert again.columns.count("split") == 1 and again.where("split = 'old'").count() == 0
