@@ -95,11 +95,11 @@ def initials(roles: list[str]) -> np.ndarray:
     return np.array(["?sua".find(r[:1]) if r else 0 for r in roles], np.int64).clip(0)
 
 
-def _cut(sizes: np.ndarray, change: np.ndarray) -> np.ndarray:
+def _cut(sizes: np.ndarray, change: np.ndarray, block_rows: int) -> np.ndarray:
     """First rows of blocks: where a conversation begins, and where a block would be too large."""
     first, rows, held = [], 0, 0
     for i, (size, new) in enumerate(zip(sizes.tolist(), change.tolist(), strict=True)):
-        if new or rows >= BLOCK_ROWS or held + size > BLOCK_BYTES and rows:
+        if new or rows >= block_rows or held + size > BLOCK_BYTES and rows:
             first.append(i)
             rows = held = 0
         rows, held = rows + 1, held + size
@@ -111,7 +111,7 @@ _LISTS = {"turns": pa.int64(), "roles": pa.string(), "texts": pa.string(), "n":
 _LISTS_SQL = "turns array<long>, roles array<string>, texts array<string>, n array<long>, blank array<boolean>, again array<boolean>, cut array<boolean>"
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, block_rows: int) -> DataFrame:
     """Rows in order, as blocks of one conversation each: `part` and `at` give the order of all blocks."""
     kind = rows.schema["conv"].dataType.simpleString()
     order = [F.col("conv"), F.col("turn"), F.col("role"), F.col("text")]
@@ -134,7 +134,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
         conv = table.column("conv").to_pylist()
         change = np.array([True] + [a != b for a, b in zip(conv, conv[1:])])
         sizes = np.array([len(t) for t in table.column("text").to_pylist()])
-        first = _cut(sizes, change)
+        first = _cut(sizes, change, block_rows)
         cuts = [*first.tolist(), table.num_rows]
         full = len(first) if last else len(first) - 1
         lists = {name: table.column({"turns": "turn", "roles": "role", "texts": "text"}.get(name, name)).combine_chunks() for name in _LISTS}
@@ -441,10 +441,10 @@ def repaired_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, byte
         yield i, s, int(final[j]), bytes(audit), "\n".join(out).encode() if out else None
 
 
-def repair(rows: DataFrame) -> DataFrame:
+def repair(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per conversation of `rows` (as of `conversation_rows`): conv, gaps, blank, duplicate, truncated, illegal, cost, audit, sha256."""
     kind = rows.schema["conv"].dataType.simpleString()
-    blocks = written(_blocks(_faults(rows)))
+    blocks = written(_blocks(_faults(rows), block_rows))
     chained = written(_chained(written(_summary(blocks))))
     counts = COUNTS
 
