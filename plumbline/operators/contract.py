@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.columns import col
+from plumbline.functions.columns import col, local_table
 from plumbline.operators.cleaning import INTEGER_DTYPES
 from plumbline.operators.profile import label_counts
+from plumbline.sources.folders import ensure_checkpoint_folder
 
 # A value list up to this length is carried as a literal set; a longer one stays
-# a table and is checked by a join.
+# a table, against which the different values of the payloads are looked up.
 MAX_ENUM = 10_000
-# Up to this length such a table is broadcast, so that payloads need no shuffle.
+# Up to so many values that are not allowed are broadcast to the payloads.
 MAX_BROADCAST_VALUES = 1_000_000
 
 # Declared dtype by Spark type.
@@ -116,34 +117,31 @@ def infer_fallback_contract(df: DataFrame, order: list[Column], target: str = "y
 def contract_table(df: DataFrame, target: str = "y", excluded: tuple[str, ...] = ("duration",)) -> DataFrame:
     """(field, dtype, required, json_type, n_allowed): one row per feature."""
     kept = [f for f in df.schema.fields if f.name != target and f.name not in excluded]
-    aggregates, cells = [], []
-    for i, f in enumerate(kept):
-        text = isinstance(f.dataType, T.StringType)
-        if text:
-            aggregates.append(F.count_distinct(col(f.name)).alias(f"d{i}"))
-        field = Field(f.name, dtype_name(f.dataType), () if text else None)
-        cells.append(
-            F.struct(
-                F.lit(f.name).alias("field"),
-                F.lit(field.dtype).alias("dtype"),
-                F.lit(True).alias("required"),
-                F.lit(field.json_type).alias("json_type"),
-                (F.col(f"d{i}") if text else F.lit(None).cast("long")).alias("n_allowed"),
-            )
-        )
-    row = df.agg(*(aggregates or [F.count(F.lit(1)).alias("n")]))
-    return row.select(F.inline(F.array(*cells)))
+    texts = [f.name for f in kept if isinstance(f.dataType, T.StringType)]
+    cells = []
+    for f in kept:
+        field = Field(f.name, dtype_name(f.dataType), () if f.name in texts else None)
+        cells.append((f.name, field.dtype, True, field.json_type, f.name in texts))
+    table = local_table(df.sparkSession, cells, "field string, dtype string, required boolean, json_type string, text boolean")
+    # One count of the different values of all text columns; long texts are counted by their digest.
+    labels = {n: F.when(F.length(col(n)) > 32, F.md5(col(n))).otherwise(col(n)) for n in texts}
+    counts = label_counts(df, labels).where(F.col("label").isNotNull()).groupBy("feature").agg(F.count(F.lit(1)).alias("n")) if texts else None
+    if counts is None:
+        return table.select("field", "dtype", "required", "json_type", F.lit(None).cast("long").alias("n_allowed"))
+    joined = table.join(F.broadcast(counts), F.col("field") == F.col("feature"), "left")  # one row per text column
+    return joined.select("field", "dtype", "required", "json_type", F.when(F.col("text"), F.coalesce("n", F.lit(0))).alias("n_allowed"))
 
 
 def json_schema(contract: Contract) -> str:
-    """The contract as a JSON Schema document; long value lists are named, not spelled out."""
+    """The contract as a JSON Schema document, with every allowed value of every text field, however many there are."""
     properties = {}
     for f in contract.fields:
         properties[f.name] = {"type": f.json_type}
         if f.allowed_values is not None:
             properties[f.name]["enum"] = list(f.allowed_values)
         elif f.by_table:
-            properties[f.name]["enum_table"] = "allowed_values"
+            listed = contract.values.where(F.col("field") == f.name).select("value").orderBy("value")
+            properties[f.name]["enum"] = [r["value"] for r in listed.toLocalIterator()]
     return json.dumps(
         {
             "type": "object",
@@ -172,7 +170,9 @@ def validate(df: DataFrame, contract: Contract, payload: str = "payload") -> Dat
     """Add ``errors`` (struct), ``valid`` and ``clean`` (typed struct) to payload rows.
 
     A payload that is not a JSON object, or repeats a key, is malformed. A JSON
-    boolean is never a number and 1.0 is not an integer.
+    boolean is never a number and 1.0 is not an integer. Of fields whose allowed
+    values are a table, the different values of all payloads are looked up once,
+    all fields together; only those that are not allowed go back to the payloads.
     """
     required, excluded = contract.required, sorted({*contract.excluded, contract.target})
     names = F.array(*[F.lit(n) for n in required])
@@ -182,15 +182,8 @@ def validate(df: DataFrame, contract: Contract, payload: str = "payload") -> Dat
 
     kinds = {f"_k{i}": F.schema_of_variant(F.try_variant_get("_doc", _path(f.name), "variant")) for i, f in enumerate(contract.fields)}
     parsed = parsed.withColumns(kinds)
-    for i, f in enumerate(contract.fields):
-        if f.by_table:
-            known = contract.values.where(F.col("field") == f.name).select(
-                F.col("value").alias(f"_v{i}"), F.lit(True).alias(f"_in{i}")
-            )
-            if f.n_values is not None and f.n_values <= MAX_BROADCAST_VALUES:
-                known = F.broadcast(known)
-            parsed = parsed.withColumn(f"_v{i}", F.try_variant_get("_doc", _path(f.name), "string"))
-            parsed = parsed.join(known, f"_v{i}", "left").drop(f"_v{i}")
+    if any(f.by_table for f in contract.fields):
+        parsed = _with_unlisted(parsed, contract)
 
     types, values, clean = [], [], []
     for i, f in enumerate(contract.fields):
@@ -198,7 +191,7 @@ def validate(df: DataFrame, contract: Contract, payload: str = "payload") -> Dat
         if f.enumerated:
             good, spark_type = kind == "STRING", "string"
             text = F.try_variant_get("_doc", _path(f.name), "string")
-            listed = F.coalesce(F.col(f"_in{i}"), F.lit(False)) if f.by_table else text.isin(*f.allowed_values)
+            listed = ~F.coalesce(F.col(f"_not{i}"), F.lit(False)) if f.by_table else text.isin(*f.allowed_values)
             values.append(F.when(there & good & ~listed, F.lit(f.name)))
         elif f.json_type == "integer":
             good, spark_type = kind == "BIGINT", "bigint"
@@ -232,6 +225,31 @@ def validate(df: DataFrame, contract: Contract, payload: str = "payload") -> Dat
     )
 
 
+def _with_unlisted(parsed: DataFrame, contract: Contract) -> DataFrame:
+    """``parsed`` with ``_not{i}``: true where the value of field i is not among its table of allowed values.
+
+    One map-side combined aggregation finds the different values of all fields,
+    so a value in most payloads travels once per task. What is not allowed is
+    joined back, as a broadcast while it is small.
+    """
+    long = {i: f for i, f in enumerate(contract.fields) if f.by_table}
+    text = {i: F.try_variant_get("_doc", _path(f.name), "string") for i, f in long.items()}
+    if parsed.isStreaming:  # nothing can be counted on a stream; each field is joined as it is
+        for i, f in long.items():
+            known = contract.values.where(F.col("field") == f.name).select(F.col("value").alias(f"_v{i}"), F.lit(False).alias(f"_not{i}"))
+            parsed = parsed.withColumn(f"_v{i}", text[i]).join(known, f"_v{i}", "left").withColumn(f"_not{i}", F.coalesce(f"_not{i}", F.lit(True))).drop(f"_v{i}")
+        return parsed
+    ensure_checkpoint_folder(parsed.sparkSession)
+    pairs = F.array(*[F.struct(F.lit(f.name).alias("field"), text[i].alias("value")) for i, f in long.items()])
+    seen = parsed.select(F.inline(pairs)).where("value IS NOT NULL").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    unlisted = seen.join(contract.values, ["field", "value"], "left_anti").select("field", "value").checkpoint()
+    small = unlisted.count() <= MAX_BROADCAST_VALUES
+    for i, f in long.items():
+        own = unlisted.where(F.col("field") == f.name).select(F.col("value").alias(f"_v{i}"), F.lit(True).alias(f"_not{i}"))
+        parsed = parsed.withColumn(f"_v{i}", text[i]).join(F.broadcast(own) if small else own, f"_v{i}", "left").drop(f"_v{i}")
+    return parsed
+
+
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(clean rows, quarantined rows)."""
     extra = ("errors", "valid", "clean")

@@ -16,7 +16,6 @@ from plumbline.operators.ranks import exact_quantiles
 
 DECILES = [k * 0.1 for k in range(10)] + [1.0]
 OUTPUT_EDGES = [-0.5, 0.5, 1.5]
-MAX_LABELS = 1_000
 
 
 @dataclass
@@ -170,6 +169,21 @@ def output_shares(df: DataFrame, target: str) -> DataFrame:
     return counts.select("label", (F.col("n") / total.scalar()).alias("ref_share"))
 
 
+def output_sides(shares: DataFrame) -> dict[int, float]:
+    """Label shares for the two output bins, at most one number for each whatever the number of labels.
+
+    A bin of one label keeps its share. The labels of a bin that has several
+    count in whole per-mille, at least one each; the share is that sum.
+    """
+    upper = F.col("label") >= F.lit(OUTPUT_EDGES[1])
+    weight = F.sum(F.greatest(F.floor(F.col("ref_share") * 1000), F.lit(1)))
+    sides = shares.where("label IS NOT NULL").groupBy(upper.alias("upper")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("label").alias("label"), F.min("ref_share").alias("share"), weight.alias("weight")
+    )
+    # Half a per-mille more, so that a sum of whole ones stays whole.
+    return {(r["label"] if r["n"] == 1 else int(r["upper"])): (r["share"] if r["n"] == 1 else (r["weight"] + 0.5) / 1000) for r in sides.collect()}
+
+
 def build_profile(
     df: DataFrame, numeric: list[str], categorical: list[str], target: str | None = None
 ) -> ReferenceProfile:
@@ -177,10 +191,7 @@ def build_profile(
     edges, shares, stats = numeric_profile(df, numeric) if numeric else ({}, {}, {})
     output = None
     if target:
-        rows = output_shares(df, target).limit(MAX_LABELS + 1).collect()
-        if len(rows) > MAX_LABELS:
-            raise ValueError(f"{target} has more than {MAX_LABELS} labels; it is not a class label")
-        output = {r["label"]: r["ref_share"] for r in rows}
+        output = output_sides(output_shares(df, target))
     return ReferenceProfile(
         edges=edges,
         stats=stats,

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators.cleaning import (
     BANK_RULES,
@@ -23,6 +24,8 @@ from plumbline.operators.contract import (
     validate,
     validate_events,
 )
+from plumbline.operators.drift import output_reference
+from plumbline.operators.profile import build_profile, output_shares
 
 SCHEMA = "` age` bigint, job string, duration bigint, pdays bigint, y string"
 
@@ -111,7 +114,8 @@ def test_validate(spark):
 def test_long_value_lists_are_checked_by_join(spark):
     df = spark.createDataFrame([(i, f"n{i}") for i in range(30)], "age bigint, name string")
     contract = infer_contract(df, max_enum=10)
-    assert contract.fields[1].by_table and "enum_table" in json_schema(contract)
+    assert contract.fields[1].by_table
+    assert json.loads(json_schema(contract)) == json.loads(json_schema(infer_contract(df, max_enum=30)))
     rows = errors(spark, '{"age": 1, "name": "n29"}', '{"age": 1, "name": "n30"}', '{"age": 1, "name": 4}', contract=contract)
     assert [r["valid"] for r in rows] == [True, False, False]
     assert rows[1]["errors"]["invalid_values"] == ["name"]
@@ -120,6 +124,30 @@ def test_long_value_lists_are_checked_by_join(spark):
     assert good.first()["name"] == "n2" and bad.count() == 0
 
 
+def test_many_long_lists_are_looked_up_together(spark, monkeypatch):
+    """Three fields, a value that half of the payloads hold, and more unlisted values than are broadcast."""
+    names = ["a", "b", "c"]
+    df = spark.createDataFrame([(i, *[f"{c}{i}" for c in names]) for i in range(40)], "age bigint, a string, b string, c string")
+    contract, plain = infer_contract(df, max_enum=10), infer_contract(df, max_enum=1000)
+    payloads = [json.dumps({"age": i, "a": "a7" if i % 2 else f"a{i}", "b": f"b{i % 50}", "c": None if i % 9 == 0 else f"c{i // 2}"}) for i in range(120)]
+    rows = spark.createDataFrame([(p,) for p in payloads], "payload string")
+    shown = lambda made: sorted((r["payload"], r["valid"], tuple(r["errors"]["invalid_values"]), str(r["errors"]["invalid_types"])) for r in made.collect())
+    want = shown(validate(rows, plain))
+    assert shown(validate(rows, contract)) == want and {v for _, v, _, _ in want} == {True, False}
+    monkeypatch.setattr("plumbline.operators.contract.MAX_BROADCAST_VALUES", 3)
+    assert shown(validate(rows, contract)) == want
+
+
+@pytest.mark.parametrize("labels", [2, 3, 999, 1000, 1001, 3000])
+def test_a_target_of_any_number_of_labels(spark, labels):
+    """Reference shares of the output bins from all labels one by one."""
+    df = spark.range(9000).select((F.col("id") % labels).cast("int").alias("y"), F.col("id").cast("double").alias("x"))
+    profile = build_profile(df, ["x"], [], "y")
+    whole = {r["label"]: r["ref_share"] for r in output_shares(df, "y").collect()}
+    assert output_reference(profile.output) == output_reference(whole)
+    assert len(profile.output) == 2 and (labels > 2 or profile.output == whole)
+
+
 def test_event_contract(spark):
     event = {
         "event_id": "e", "emitted_at": "2024-01-01T00:00:00Z", "model_name": "m", "model_version": 3,
