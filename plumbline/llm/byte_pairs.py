@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plumbline.llm.tables import written
+from plumbline.llm.tables import free, without, written
 from plumbline.llm.words import slices
 
 #: Characters behind a boundary that decide whether it is one: the longest alternative of the pattern looks that far ahead.
@@ -51,8 +51,9 @@ def _packed(ids: list[int]) -> bytes:
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids", chunk: int = 1 << 15, overlap: int = 1 << 11) -> DataFrame:
     """`docs` with the ids of each text as little-endian unsigned 32-bit integers in the binary column `out`.
 
-    `path` is the vocabulary's rank file, on every worker; `pattern` splits a text into pre-tokens.
+    `path` is the vocabulary's rank file, on every worker; `pattern` splits a text into pre-tokens. A column of that name is replaced.
     """
+    docs = without(docs, [out], (text_col,))
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +74,7 @@ def boundaries(text: str, splitter: regex.Pattern, begin: int, end: int) -> list
 
 def _long(docs: DataFrame, path: str, pattern: str, text_col: str, out: str, chunk: int, overlap: int) -> DataFrame:
     step = chunk - overlap
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias("_"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias(free(docs, "_")))
     # Numbered where the rows are read, before anything is dealt out, so a repeated task gives the same numbers.
     rows = docs.select(F.monotonically_increasing_id().alias("row"), rest.alias("rest"), F.col(f"`{text_col}`").alias("text"))
     kinds = T.StructType([T.StructField("row", T.LongType()), T.StructField("i", T.IntegerType()), T.StructField("last", T.BooleanType()), T.StructField("rest", rows.schema["rest"].dataType), T.StructField("text", T.StringType())])
@@ -136,7 +137,8 @@ def _long(docs: DataFrame, path: str, pattern: str, text_col: str, out: str, chu
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """`encoded` with the bytes that its ids stand for, in the binary column `out`."""
+    """`encoded` with the bytes that its ids stand for, in the binary column `out`, which replaces one of that name."""
+    encoded = without(encoded, [out], (ids_col,))
     schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.BinaryType())])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

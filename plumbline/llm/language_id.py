@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.tables import free, without
 from plumbline.llm.words import mix, slices
 
 ORDER = 4
@@ -205,8 +206,8 @@ def _posterior(h: np.ndarray, sharpness: float) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def entropies(docs: DataFrame, model: LanguageModel, text_col: str) -> DataFrame:
-    """`docs` with `entropies`, one number per language in the order of `model.names`, and `letters`."""
+def entropies(docs: DataFrame, model: LanguageModel, text_col: str, out: tuple[str, str] = ("entropies", "letters")) -> DataFrame:
+    """`docs` with entropies, one number per language in the order of `model.names`, and the number of letters, in the columns `out`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,26 +216,31 @@ def entropies(docs: DataFrame, model: LanguageModel, text_col: str) -> DataFrame
             for part in slices(batch, text_col):
                 h, count = shared.value.entropies(part.column(text_col).to_pylist(), letters)
                 cut = pa.array(np.arange(len(h) + 1) * h.shape[1], pa.int32())
-                yield pa.record_batch([*part.columns, pa.ListArray.from_arrays(cut, pa.array(h.ravel())), pa.array(count)], names=[*part.schema.names, "entropies", "letters"])
+                yield pa.record_batch([*part.columns, pa.ListArray.from_arrays(cut, pa.array(h.ravel())), pa.array(count)], names=[*part.schema.names, *out])
 
-    more = [T.StructField("entropies", T.ArrayType(T.DoubleType())), T.StructField("letters", T.LongType())]
+    more = [T.StructField(out[0], T.ArrayType(T.DoubleType())), T.StructField(out[1], T.LongType())]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
-    """`docs` with `lang_pred`, `score` (calibrated probability; 0 for `und`), and `rejected`: the text fits no learned language."""
+    """`docs` with `lang_pred`, `score` (calibrated probability; 0 for `und`), and `rejected`: the text fits no learned language.
+
+    Columns of these names are replaced.
+    """
+    docs = without(docs, ["lang_pred", "score", "rejected"], (text_col,))
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "rejected": F.lit(True)})
-    h: Column = F.col("entropies")
+    inside = free(docs, "entropies"), free(docs, "letters")
+    h: Column = F.col(inside[0])
     best = F.array_position(h, F.array_min(h)).cast("int")
-    known = F.col("letters") > 0
+    known = F.col(inside[1]) > 0
     names, limits = F.array(*map(F.lit, model.names)), F.array(*[F.lit(float(x)) for x in model.limits])
     total = F.aggregate(h, F.lit(0.0), lambda acc, x: acc + F.exp(-F.lit(model.sharpness) * (x - F.array_min(h))))
-    made = entropies(docs, model, text_col).withColumns(
+    made = entropies(docs, model, text_col, inside).withColumns(
         {
             "lang_pred": F.when(known, F.element_at(names, best)).otherwise(UNKNOWN),
             "score": F.when(known, 1 / total).otherwise(0.0),
             "rejected": F.when(known, F.array_min(h) > F.element_at(limits, best)).otherwise(True),
         }
     )
-    return made.drop("entropies", "letters")
+    return made.drop(*inside)

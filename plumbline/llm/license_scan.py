@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.tables import free, without
+
 #: Normalised sentences by identifier.
 SENTENCES = {
     "all-rights-reserved": ["all rights reserved"],
@@ -133,7 +135,7 @@ def _gnu_warranty(program: str) -> str:
     )
 
 
-#: Sentences of published headers and texts beyond `SENTENCES`, which the SQL counterpart shares.
+#: Sentences of published headers and texts beyond `SENTENCES`.
 PUBLISHED = {
     "apache-2": [
         "licensed to you under the apache license version 2.0 the license",
@@ -216,11 +218,6 @@ PUBLISHED_RULES = [
 #: Single words (or parts) of which every known sentence holds one, however it is wrapped.
 ANCHORS = ["license", "copyright", "reserved", "redistribut", "permission", "warrant", "mozilla", "tortious"]
 
-#: Sentence ends of the SQL counterpart: a full stop, question or exclamation mark before white space, or an empty line. It cuts nowhere
-#: else, so it misses sentences that `_marked` lets `find_licenses` see.
-BREAK = r"[.!?]+[ \t\r\n]+|\n[ \t\r]*\n"
-
-
 #: Sign of a list item or comment word at the beginning of a line.
 ITEM = r"(?<=^|\n)[^a-z0-9\n|]*+(?:rem|dnl|[0-9a-z][)])(?=[ \t])"
 
@@ -245,9 +242,19 @@ def _marked(text: Column) -> Column:
     return s
 
 
+def known_sentences() -> dict[str, str]:
+    """Identifier of every known sentence."""
+    return {s: i for bank in (SENTENCES, PUBLISHED, _spdx()[0]) for i, many in bank.items() for s in many}
+
+
+def rules() -> list[tuple[str, list[str]]]:
+    """All rules, longer ones first, else in order."""
+    return sorted([*RULES, *PUBLISHED_RULES, *_spdx()[1]], key=lambda rule: -len(rule[1]))
+
+
 def _identifiers(text: Column) -> Column:
     """`<id>` for known sentences and `|` for other text, as one string."""
-    known = {s: i for bank in (SENTENCES, PUBLISHED, _spdx()[0]) for i, many in bank.items() for s in many}
+    known = known_sentences()
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     longest_first = sorted(known, key=lambda s: (-len(s), s))
     words = "|".join(s.replace(".", "[.]").replace(" ", "[ \n]") for s in longest_first)
@@ -260,18 +267,21 @@ def _identifiers(text: Column) -> Column:
 
 
 def find_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Every row of `docs` with `licenses` (sorted, distinct) and `unmatched` (identifiers no rule took, in order), comma-joined."""
+    """Every row of `docs` with `licenses` (sorted, distinct) and `unmatched` (identifiers no rule took, in order), comma-joined.
+
+    Columns of these names are replaced.
+    """
+    docs = without(docs, ["licenses", "unmatched"], (text_col,))
     text = F.coalesce(F.col(text_col), F.lit(""))
     low = F.lower(text)
     anchored = low.contains(ANCHORS[0])
     for word in ANCHORS[1:]:
         anchored = anchored | low.contains(word)
     run = F.when(anchored, _identifiers(text)).otherwise("")
-    for licence, ids in sorted([*RULES, *PUBLISHED_RULES, *_spdx()[1]], key=lambda rule: -len(rule[1])):  # longer rules first, else in order
+    for licence, ids in rules():
         run = F.replace(run, F.lit("".join(f"<{i}>" for i in ids)), F.lit(f"[{licence}]"))
-    return (
-        docs.withColumn("_run", run)
-        .withColumn("licenses", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("_run", F.lit(r"\[([^\]]+)\]"), F.lit(1)))), ","))
-        .withColumn("unmatched", F.array_join(F.regexp_extract_all("_run", F.lit("<([^>]+)>"), F.lit(1)), ","))
-        .drop("_run")
-    )
+    inside = free(docs, "run")
+    licences = F.array_sort(F.array_distinct(F.regexp_extract_all(inside, F.lit(r"\[([^\]]+)\]"), F.lit(1))))
+    unmatched = F.regexp_extract_all(inside, F.lit("<([^>]+)>"), F.lit(1))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.withColumn(inside, run).select(*kept, F.array_join(licences, ",").alias("licenses"), F.array_join(unmatched, ",").alias("unmatched"))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.tables import without
 from plumbline.llm.words import Hasher, per_text, shingles, slices, utf8
 
 PASSAGE_WORDS = 50
@@ -193,7 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
 
 def score(docs: DataFrame, model: QualityModel | None, text_col: str = "text", out: str = "score") -> DataFrame:
-    """`docs` with the model's score (0 to 1, higher: label 1 likelier) in the column `out`."""
+    """`docs` with the model's score (0 to 1, higher: label 1 likelier) in the column `out`, which replaces one of that name."""
+    docs = without(docs, [out], (text_col,))
     if model is None:
         return docs.withColumn(out, F.lit(0.5))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -142,22 +142,44 @@ def op4(table):
 
 
 def _licenses_sql() -> str:
-    known = ", ".join(_sql(s) for many in license_scan.SENTENCES.values() for s in many)
-    names = ", ".join(_sql(i) for i, many in license_scan.SENTENCES.items() for _ in many)
+    """Pieces between line ends, table cells and clauses; runs of neighbouring pieces of a sentence looked up among the known sentences."""
+    known = license_scan.known_sentences()
+    texts, names = (", ".join(map(_sql, x)) for x in (known.keys(), known.values()))
+    firsts = ", ".join(_sql(x) for x in sorted({s.split()[0] for s in known}))
+    longest = max(len(s.split()) for s in known)
     run = "run"
-    for licence, ids in license_scan.RULES:
+    for licence, ids in license_scan.rules():
         run = f"replace({run}, {_sql(''.join(f'<{i}>' for i in ids))}, '[{licence}]')"
+    marked = "regexp_replace(translate(lower(coalesce(text, '')), '|;:', repeat(chr(10), 3)), '(gpl-[0-9][.][0-9])[+]', '\\1-or-later', 'g')"
+    for pattern, sign in (
+        (r"\bv\.[ \t\r\n]+([0-9])", r"v \1"),
+        (r"[.!?]+($|[^a-z0-9_/.!?-])", r"|\1"),
+        (r"(^|\n)[^a-z0-9\n|]*(rem|dnl|[0-9a-z][)])([ \t])", "\\1\n\\3"),
+        (r"[^a-z0-9.|\n-]+", " "),
+        (r"(^|[^a-z0-9])[.-]+", r"\1 "),
+        (r"[.-]+($|[^a-z0-9])", r" \1"),
+    ):
+        marked = f"regexp_replace({marked}, {_sql(pattern)}, {_sql(sign)}, 'g')"
     return rf"""
-WITH s AS (
-  SELECT doc_id, list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), {_sql(license_scan.BREAK)}),
-         lambda s: regexp_replace(regexp_replace(s, '[^a-z0-9.-]+', ' ', 'g'), '^[ .-]+|[ .-]+$', '', 'g')), lambda s: NOT regexp_matches(s, '^[0-9a-z]?$')) AS s
-  FROM documents),
-r AS (SELECT doc_id, list_transform(s, lambda x: CASE WHEN list_contains([{known}], x) THEN '<' || [{names}][list_position([{known}], x)] || '>' ELSE '|' END) AS marks FROM s),
-j AS (SELECT doc_id, regexp_replace(coalesce(array_to_string(marks, ''), ''), '[|]+', '|', 'g') AS run FROM r),
-f AS (SELECT doc_id, {run} AS run FROM j)
+WITH m AS (SELECT doc_id, {marked} AS t FROM documents),
+p AS (SELECT doc_id, list_transform(string_split(t, '|'), lambda s: list_filter(list_transform(string_split(s, chr(10)),
+        lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> '')) AS sentences FROM m),
+s AS (SELECT doc_id, unnest(sentences) AS p, generate_subscripts(sentences, 1) AS nth FROM p),
+f AS (
+  SELECT doc_id, nth, p, list_transform(range(1, len(p) + 1), lambda i: CASE WHEN list_contains([{firsts}], split_part(p[i], ' ', 1)) THEN
+    coalesce(list_max(list_filter(range(1, least({longest}, len(p) - i + 1) + 1), lambda k: list_contains([{texts}], array_to_string(p[i:i + k - 1], ' ')))), 0) ELSE 0 END) AS size
+  FROM s),
+e AS (
+  SELECT doc_id, nth, list_reduce(list_prepend({{'i': 0::BIGINT, 'free': 0::BIGINT, 'run': ''}}, list_transform(range(1, len(p) + 1),
+      lambda i: {{'i': i, 'free': i + size[i], 'run': CASE WHEN size[i] > 0 THEN '<' || [{names}][list_position([{texts}], array_to_string(p[i:i + size[i] - 1], ' '))] || '>'
+                  WHEN len(p[i]) > 1 THEN '|' ELSE '' END}})),
+    lambda a, x: CASE WHEN x.i < a.free THEN a ELSE {{'i': x.i, 'free': x.free, 'run': a.run || x.run}} END).run AS run
+  FROM f),
+j AS (SELECT doc_id, regexp_replace(coalesce(string_agg(run, '' ORDER BY nth), ''), '[|]+', '|', 'g') AS run FROM e GROUP BY doc_id),
+r AS (SELECT doc_id, {run} AS run FROM (SELECT doc_id, coalesce(run, '') AS run FROM documents LEFT JOIN j USING (doc_id)))
 SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(run, '\[([^\]]+)\]', 1))), ',') AS licenses,
        array_to_string(regexp_extract_all(run, '<([^>]+)>', 1), ',') AS unmatched
-FROM f"""
+FROM r"""
 
 
 @query("op3_license_scan", _licenses_sql())

@@ -19,6 +19,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.tables import free, without
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -142,29 +144,34 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every row of `docs` with `secrets`: an array of (start, kind, end), ordered, `kind` being the number of the rule."""
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, out: str = "secrets") -> DataFrame:
+    """Every row of `docs` with `out`: an array of (start, kind, end), ordered, `kind` being the number of the rule.
+
+    A column of that name is replaced.
+    """
     spark = docs.sparkSession
+    docs = without(docs, [out], (id_col, text_col))
+    named, held = free(docs, "key"), free(docs, "kinds")
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     terms = [(t, kind, i, len(alt)) for kind, q in queries.items() if q != ANY for i, alt in enumerate(sorted(q, key=sorted)) for t in sorted(alt)]
     key = F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)).otherwise(F.xxhash64(text_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("_key", key)
+    keyed = docs.withColumn(named, key)
 
-    found = keyed.select("_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_finder({t[0] for t in terms})), F.lit(1)))).alias("trigram"))
+    found = keyed.select(F.col(named).alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_finder({t[0] for t in terms})), F.lit(1)))).alias("trigram"))
     wanted = spark.createDataFrame(terms, "trigram string, kind string, alternative int, need int")  # as many rows as the rules have trigrams
     postings = found.join(F.broadcast(wanted), "trigram")
-    hits = postings.groupBy("_key", "kind", "alternative", "need").agg(F.count_distinct("trigram").alias("have")).where("have = need")
-    candidates = hits.groupBy("_key").agg(F.collect_set("kind").alias("_kinds"))
+    hits = postings.groupBy("key", "kind", "alternative", "need").agg(F.count_distinct("trigram").alias("have")).where("have = need")
+    candidates = hits.groupBy(F.col("key").alias(named)).agg(F.collect_set("kind").alias(held))
 
-    met = keyed.join(candidates.hint("shuffle_hash"), "_key", "left")
+    met = keyed.join(candidates.hint("shuffle_hash"), named, "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    kinds = F.coalesce("_kinds", F.array().cast("array<string>"))
+    kinds = F.coalesce(held, F.array().cast("array<string>"))
     parts = []
     for order, rule in enumerate(rules):
         verify = F.array_contains(kinds, rule.kind) if queries[rule.kind] != ANY else text.rlike(rule.pattern)
         parts.append(F.when(verify, _spans(text, rule, order)).otherwise(none))
-    return met.withColumn("secrets", F.array_sort(F.concat(*parts))).select(*[F.col(f"`{c}`") for c in docs.columns], "secrets")
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns], F.array_sort(F.concat(*parts)).alias(out))
 
 
 def listed(secrets: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -173,8 +180,8 @@ def listed(secrets: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_join(F.transform(secrets, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
 
 
-def redact(found: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Rows of `find_secrets` with each secret, or run of overlapping ones, replaced by `mark`; `secrets` is dropped."""
+def redact(found: DataFrame, text_col: str = "text", mark: str = "[SECRET]", secrets: str = "secrets") -> DataFrame:
+    """Rows of `find_secrets` with each secret, or run of overlapping ones, replaced by `mark`; the column `secrets` is dropped."""
     text = F.col(text_col)
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
@@ -184,5 +191,5 @@ def redact(found: DataFrame, text_col: str = "text", mark: str = "[SECRET]") ->
     )
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     end = lambda acc: F.array_join(F.concat(acc["out"], F.array(text.substr(acc["at"] + 1, F.length(text)))), "")
-    clean = F.when(F.size("secrets") == 0, text).otherwise(F.aggregate("secrets", begin, step, end))
-    return found.withColumn(text_col, clean).drop("secrets")
+    clean = F.when(F.size(secrets) == 0, text).otherwise(F.aggregate(secrets, begin, step, end))
+    return found.withColumn(text_col, clean).drop(secrets)

@@ -24,6 +24,22 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A name made from `name` that no column has, whatever the case: for what is only used inside."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, made: list[str], read: tuple[str, ...] = ()) -> DataFrame:
+    """`df` without columns of the names that are about to be `made`, whatever the case; what is `read` can't be replaced."""
+    names = {n.lower() for n in made}
+    if clash := [c for c in read if c.lower() in names]:
+        raise ValueError(f"read and made at once: {clash}")
+    return df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in names])
+
+
 def drop(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table made by `written`, once nothing reads it any more."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -44,7 +60,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Below, every row points from a greater vertex to a lesser one.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

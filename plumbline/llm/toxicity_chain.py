@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.tables import without
 from plumbline.llm.words import NOT_WORD, Hasher, mix, per_text, slices, utf8
 
 #: Groups of seed words, in chain order.
@@ -143,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
 
 def score(docs: DataFrame, model: Chain | None, names: list[str], text_col: str = "text") -> DataFrame:
-    """`docs` with a probability per category, named `p_<category>`."""
+    """`docs` with a probability per category, named `p_<category>`; columns of these names are replaced."""
+    docs = without(docs, [f"p_{n}" for n in names], (text_col,))
     if model is None:
         return docs.withColumns({f"p_{n}": F.lit(0.0) for n in names})
     shared = docs.sparkSession.sparkContext.broadcast(model)

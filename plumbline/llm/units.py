@@ -107,7 +107,7 @@ class ByteLevel(_Coder):
         before, model = known["pre_tokenizer"] or {}, known["model"]
         usual = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not known["normalizer"]
         added = self.tokenizer.get_added_tokens_decoder().values()
-        self.apart = bool(usual and model["type"] == "BPE" and not model.get("dropout") and not any(t.lstrip or t.rstrip or t.single_word for t in added))
+        self.apart = bool(usual and model["type"] == "BPE" and not model.get("dropout") and not any(t.lstrip or t.rstrip or t.single_word or set(t.content) & set(" \n") for t in added))
         # Byte-level vocabularies write a byte as the character of its number where that is printable, the others, in order, as characters
         # from 256 on.
         printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
