@@ -1,7 +1,11 @@
 """From raw documents to token ids: low quality, near copies and benchmark items go, secrets are masked, the rest is encoded.
 
 Stages run one after another over all that the stage before kept; each result is written as Parquet and read again. All but the last
-return the columns of `documents`.
+return the columns of `documents`, and further ones whatever their names.
+
+A null or empty text is scored, kept as it is and encoded as no ids; it is nobody's copy, holds no item and no secret. Of rows with the
+same id and text one stays; rows that repeat an id with other texts are rows of their own. Ties between copies go to the least id, then to
+the least text hash. Long texts are read whole by every stage. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -11,14 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import byte_pairs, decontamination, jaccard_join, quality_mil, secret_scan
-from plumbline.llm.tables import small_batches, written
+from plumbline.llm.tables import free, small_batches, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.3 or more; the classifier learns from the labels of four fifths of all ids."""
     small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    return quality_mil.score(docs, quality_mil.fit(docs, labels), out="_score").where("_score >= 0.3").drop("_score")
+    name = free(docs, "score")
+    return quality_mil.score(docs, quality_mil.fit(docs, labels), out=name).where(F.col(name) >= 0.3).drop(name)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +40,12 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each secret in the text replaced by a mark; `n_chars` follows."""
-    found = secret_scan.find_secrets(docs)
-    n_chars = F.when(F.size("secrets") > 0, F.lit(None)).otherwise(F.col("n_chars"))
-    clean = secret_scan.redact(found.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)))
+    name, kind = free(docs, "secrets"), docs.schema["n_chars"].dataType
+    found = secret_scan.find_secrets(docs, out=name)
+    n_chars = F.when(F.size(name) > 0, F.lit(None)).otherwise(F.col("n_chars"))
+    clean = secret_scan.redact(found.withColumn("n_chars", n_chars.cast(kind)), secrets=name)
     # Only texts without a count were masked, or had none before.
-    return clean.withColumn("n_chars", F.coalesce("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
+    return clean.withColumn("n_chars", F.coalesce("n_chars", F.length("text").cast(kind))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
