@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from plumbline.operators.drift import (
     with_previous_severity,
 )
 from plumbline.operators.profile import ReferenceProfile
-from plumbline.sources.tables import append, read_or_none
+from plumbline.sources.tables import DAY, append, read_or_none
 
 REPORTS = "reports"
 METRICS = "report_metrics"
@@ -46,13 +47,30 @@ def previous_severity(reports: DataFrame | None) -> str | None:
     return newest["s"]
 
 
+def newest_days(log: DataFrame, size: int, day: str = DAY) -> DataFrame:
+    """The rows of the newest day partitions that hold ``size`` rows together; all rows while they are fewer.
+
+    Days are known from the folders of the log. They are gone through newest
+    first, one, two, four, ... at a time, and only counted (from the files'
+    footers) until enough rows are held; what is older is never read.
+    """
+    names = {unquote(part[len(day) + 1 :]) for f in log.inputFiles() for part in f.split("/") if part.startswith(f"{day}=")}
+    days = sorted((d for d in names if d != "__HIVE_DEFAULT_PARTITION__"), reverse=True)
+    held, at, step = 0, 0, 1
+    while at < len(days) and held < size:
+        held += log.where(col(day).isin(days[at : at + step])).count()
+        at, step = at + step, step * 2
+    return log.where(col(day) >= F.lit(days[min(at, len(days)) - 1])) if held >= size else log
+
+
 def newest_rows(log: DataFrame, size: int) -> DataFrame:
     """The newest ``size`` rows as a table of their own.
 
     A window is a few hundred rows. Taken out once, all parts of a check see the
-    same rows, no cache stays behind, and the next check reads the log anew.
+    same rows, no cache stays behind, and the next check reads the log anew. Of
+    a log stored by day only the newest days are read.
     """
-    window = last_window(log, size)
+    window = last_window(newest_days(log, size) if DAY in log.columns and not log.isStreaming else log, size)
     return log.sparkSession.createDataFrame(window.collect(), window.schema)
 
 

@@ -39,12 +39,16 @@ def load_delimited(spark: SparkSession, path: str, schema: str | None = None) ->
     return strip_names(reader.csv(path))
 
 
+#: Partition column of tables stored by day.
+DAY = "dt"
+
+
 def append(df: DataFrame, path: str, day_of: str | None = None) -> None:
     """Append to a Parquet table, optionally partitioned by the day of a timestamp column."""
     if day_of is None:
         df.write.mode("append").parquet(path)
         return
-    df.withColumn("dt", F.to_date(col(day_of))).write.mode("append").partitionBy("dt").parquet(path)
+    df.withColumn(DAY, F.to_date(col(day_of))).write.mode("append").partitionBy(DAY).parquet(path)
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:

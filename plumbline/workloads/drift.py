@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,20 @@ from plumbline.operators.drift import (
 )
 from plumbline.functions.text import metrics_block, version_number
 from plumbline.operators.profile import bins_table, build_profile, stats_table
-from plumbline.plans.drift_check import alerts_with_reports, check_window, newest_rows, period_alerts, period_reports, result_tables
-from plumbline.sources.tables import as_of, newest
+from plumbline.plans.drift_check import (
+    ALERTS,
+    REPORTS,
+    alerts_with_reports,
+    check_drift,
+    check_window,
+    newest_rows,
+    period_alerts,
+    period_reports,
+    result_tables,
+)
+from plumbline.sources.folders import fresh_folder
+from plumbline.sources.profiles import load_active, save_profile
+from plumbline.sources.tables import append, as_of, newest
 from plumbline.workloads.adapters import (
     CATEGORICAL,
     LOG_SQL,
@@ -568,3 +582,47 @@ def recent_daily_reports(t: Tables) -> DataFrame:
     """The ten newest daily reports."""
     reports, _ = daily(t)
     return newest(reports, 10, "day", "day").select("day", "window_size", "severity", "previous_severity")
+
+
+# Checks one after another over the stored log, each with what happened to the newest records before it: too few of them for a check, as
+# they are, far off, just as far off, off in their types only, and as they are again.
+CHECKS = [
+    ("2024-02-01", 40, "value", "event_type"),
+    ("2024-02-02", 200, "value", "event_type"),
+    ("2024-02-03", 200, "value * 2 + 20", "event_type"),
+    ("2024-02-04", 200, "value * 2 + 20", "event_type"),
+    ("2024-02-05", 200, "value", "CASE WHEN id % 3 > 0 THEN 'click' ELSE event_type END"),
+    ("2024-02-06", 200, "value", "event_type"),
+]
+
+
+def _check_sql(day: str, size: int, value: str, kind: str) -> str:
+    window = f"""win AS (SELECT * EXCLUDE (value, event_type, prediction), {value} AS value, {kind} AS event_type,
+  CASE WHEN {value} >= 50 THEN 1 ELSE 0 END AS prediction FROM (SELECT * FROM log ORDER BY created_at DESC, id DESC LIMIT {size}))"""
+    plain = "win AS (SELECT * FROM log ORDER BY created_at DESC, id DESC LIMIT 200)"
+    return f"""SELECT * FROM ({OVERALL_SQL.replace(plain, window)}
+SELECT '{day}' AS day, severity, (SELECT count(*) FROM win) AS window_size FROM overall)"""
+
+
+@query(
+    "stored_drift_checks",
+    f"""WITH checks AS ({' UNION ALL '.join(_check_sql(*c) for c in CHECKS)}),
+reports AS (SELECT *, lag(severity) OVER (ORDER BY day) AS previous_severity FROM checks WHERE window_size >= 50)
+SELECT day, window_size, severity, previous_severity, CASE WHEN severity IN ('medium', 'high', 'critical') AND severity IS DISTINCT FROM previous_severity
+  THEN CASE severity WHEN 'medium' THEN 'yellow' ELSE 'red' END END AS alert FROM reports""",
+)
+def stored_drift_checks(t: Tables) -> DataFrame:
+    """Checks against the stored profile, with the stored log, the stored report before, and alerts as they were stored."""
+    root = fresh_folder(t.spark)
+    profile = build_profile(reference_part(prediction_log(t.events)), NUMERIC, CATEGORICAL, "prediction")
+    save_profile(t.spark, f"{root}/profiles", profile, CFG.model_name, "v1", "events", dt.datetime(2024, 1, 16))
+    append(prediction_log(t.events), f"{root}/log", day_of="created_at")
+    stored = load_active(t.spark, f"{root}/profiles", CFG.model_name)
+    for day, size, value, kind in CHECKS:
+        log = t.spark.read.parquet(f"{root}/log")
+        log = log.withColumns({"value": F.expr(value), "event_type": F.expr(kind)}).withColumn("prediction", (F.col("value") >= 50).cast("int"))
+        check_drift(t.spark, log, stored, f"{root}/checks", DriftConfig(window_size=size), as_of(f"{day} 00:00:00"))
+    reports, alerts = (t.spark.read.parquet(f"{root}/checks/{name}") for name in (REPORTS, ALERTS))
+    colour = F.get_json_object("payload", "$.current_severity").alias("alert")
+    joined = reports.join(alerts.select("report_id", colour), "report_id", "left")
+    return joined.select(F.date_format("created_at", "yyyy-MM-dd").alias("day"), "window_size", "severity", "previous_severity", "alert")

@@ -161,3 +161,21 @@ def test_window_is_the_newest_rows(spark):
     row = check.report.first()
     assert (row["window_size"], row["model_version"], row["previous_severity"]) == (60, "v7", "low")
     assert row["window_end"] == dt.datetime(2024, 1, 1, 0, 59)
+
+
+def test_a_stored_log_is_read_from_its_newest_days(spark, tmp_path):
+    """Days are taken newest first until the window is full; the plan reads no other folder."""
+    from plumbline.plans.drift_check import newest_days, newest_rows
+    from plumbline.sources.tables import append
+
+    rows = spark.range(1000).select("id", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=F.col("id"))).alias("created_at"))
+    append(rows.coalesce(1), str(tmp_path / "log"), day_of="created_at")
+    log = spark.read.parquet(str(tmp_path / "log"))
+    for size in (1, 16, 17, 100, 999, 1000, 2000):
+        got = newest_rows(log.select("id", "created_at", "dt"), size)
+        assert sorted(r["id"] for r in got.collect()) == list(range(max(0, 1000 - size), 1000))
+    few = newest_days(log, 40)
+    assert {f.split("/dt=")[1][:10] for f in few.where("id >= 0").inputFiles()} >= {"2024-02-11"}
+    pruned = few._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in pruned and few.select("dt").distinct().count() == 3
+    assert newest_days(log, 5000).count() == 1000 and newest_days(log.where("false"), 5).count() == 0
