@@ -585,14 +585,16 @@ def recent_daily_reports(t: Tables) -> DataFrame:
 
 
 # Checks one after another over the stored log, each with what happened to the newest records before it: too few of them for a check, as
-# they are, far off, just as far off, off in their types only, and as they are again.
+# they are, far off, just as far off, off in their types only, a little lower (twice), and as they are again.
 CHECKS = [
     ("2024-02-01", 40, "value", "event_type"),
     ("2024-02-02", 200, "value", "event_type"),
     ("2024-02-03", 200, "value * 2 + 20", "event_type"),
     ("2024-02-04", 200, "value * 2 + 20", "event_type"),
     ("2024-02-05", 200, "value", "CASE WHEN id % 3 > 0 THEN 'click' ELSE event_type END"),
-    ("2024-02-06", 200, "value", "event_type"),
+    ("2024-02-06", 200, "value - 9", "event_type"),
+    ("2024-02-07", 200, "value - 10", "event_type"),
+    ("2024-02-08", 200, "value", "event_type"),
 ]
 
 

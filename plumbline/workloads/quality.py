@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import truncated
-from plumbline.operators import eda
+from plumbline.operators import eda, sketches
 from plumbline.operators.cleaning import (
     CleaningRules,
     Sentinel,
@@ -40,7 +40,8 @@ from plumbline.operators.sampling import (
     stratified_split,
     train_test_split,
 )
-from plumbline.sources.tables import newest, table_fingerprint
+from plumbline.sources.folders import fresh_folder
+from plumbline.sources.tables import append, newest, table_fingerprint
 from plumbline.workloads.adapters import LABELLED_SQL, labelled_documents, stamp
 from plumbline.workloads.registry import Tables, query
 
@@ -743,3 +744,51 @@ def newest_orders(t: Tables) -> DataFrame:
     """The newest 25 rows of a log."""
     rows = newest(t.orders, 25, "o_orderdate", "o_orderkey")
     return rows.select("o_orderkey", stamp("o_orderdate").alias("o_orderdate"), "o_orderstatus")
+
+
+SKETCHED = ["l_quantity", "l_extendedprice", "l_discount"]
+SKETCH_FRACTIONS = [0.1, 0.25, 0.5, 0.75, 0.9]
+YEARS = [(1992, 1998), (1995, 1995), (1994, 1996)]
+
+
+@query(
+    "stored_sketches",
+    " UNION ALL ".join(
+        f"""SELECT '{a}-{b}' AS years, '{c}' AS "column", {f}::DOUBLE AS fraction, count(*) AS rows, count(*) - count({c}) AS nulls, min({c}) AS low, max({c}) AS high,
+true AS within_bound, true AS distinct_within_bound FROM lineitem WHERE year(l_shipdate) BETWEEN {a} AND {b} HAVING count({c}) > 0"""
+        for a, b in YEARS
+        for c in SKETCHED
+        for f in SKETCH_FRACTIONS
+    ),
+)
+def stored_sketches(t: Tables) -> DataFrame:
+    """Lines sketched day by day and stored; ranges of years merged from the stored rows alone.
+
+    Counts and limits are exact. The approximate numbers are held against the exact ones with the bound that the sketches promise.
+    """
+    root = fresh_folder(t.spark)
+    append(sketches.daily_sketches(t.lineitem, F.to_date("l_shipdate"), SKETCHED), root)
+    stored = t.spark.read.parquet(root)
+    out = None
+    for a, b in YEARS:
+        rows = sketches.merged(stored, F.year("day").between(a, b))
+        found = sketches.approximate_quantiles(rows, SKETCH_FRACTIONS).select("column", "fraction", "value")
+        facts = rows.select("column", "rows", "nulls", "low", "high", F.hll_sketch_estimate("distinct").alias("distinct"))
+        # What the answers are worth, from the lines themselves.
+        lines = t.lineitem.where(F.year("l_shipdate").between(a, b))
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in SKETCHED])
+        long = lines.select(F.inline(cells)).where("v IS NOT NULL").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+        exact = long.groupBy("column").agg(F.count(F.lit(1)).alias("exact"), F.sum("n").alias("all"))
+        # A few answers per column.
+        ranks = long.join(F.broadcast(found), "column").groupBy("column", "fraction").agg(
+            F.sum(F.when(F.col("v") < F.col("value"), F.col("n")).otherwise(0)).alias("below"),
+            F.sum(F.when(F.col("v") <= F.col("value"), F.col("n")).otherwise(0)).alias("upto"),
+        )
+        error = sketches.rank_error()
+        good = (F.col("below") / F.col("all") - error <= F.col("fraction")) & (F.col("fraction") <= F.col("upto") / F.col("all") + error)
+        near = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), sketches.distinct_error() * F.col("exact"))
+        part = ranks.join(exact, "column").join(facts, "column").select(
+            F.lit(f"{a}-{b}").alias("years"), "column", "fraction", "rows", "nulls", "low", "high", good.alias("within_bound"), near.alias("distinct_within_bound")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
