@@ -6,11 +6,13 @@ A document is its set of distinct word shingles. Two documents link when ``100 *
    functions (multiply, add, keep the high bits).
 2. Bands of `ROWS` minima each put classes into buckets. Two sets of Jaccard similarity 0.8 share none of the 40 buckets with a
    probability of 7e-10, and fewer than two with 2e-8.
-3. In each bucket every class is first compared with the one whose buckets hold the most classes (an original shares more buckets with its
-   copies than these with each other). Components of the links are contracted; after that only classes of different components in a
-   bucket are compared. Buckets with more than `CROWD` of these are taken apart by a second band: linked classes share two bands.
-4. A pair is a candidate if its sizes fit and its signatures (four bits of each minimum) agree in as many places as all but one in 10^9 of
-   the pairs at the bound do. Candidates are confirmed on their whole sets.
+3. In each bucket of the first `STARS` bands every class is compared with the one whose buckets hold the most classes (an original shares
+   more buckets with its copies than these with each other). Components of the links are contracted; after that only classes of different
+   components that share a bucket of any band are compared, in the first one they share. Buckets with more than `CROWD` classes are taken
+   apart by a second band: linked classes share two bands.
+4. A pair is a candidate if its sizes fit, its signatures (four bits of each minimum) agree in as many places as all but one in 10^9 of the
+   pairs at the bound do, and its parity bitmaps differ in no more bits than linked sets do in shingles. Candidates are confirmed on their
+   whole sets.
 5. Components by alternating large-star and small-star.
 
 Rows without words have no shingles, link to nothing and are their own component. A null id takes part like any other; it is never the
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.pairs import bitmap, compared
 from plumbline.llm.tables import components, drop, written
 from plumbline.llm.texts import digest, linked, shingle_sets, text_name
 from plumbline.llm.words import Hasher, mix, slices
@@ -37,8 +40,10 @@ from plumbline.llm.words import Hasher, mix, slices
 MINIMA, ROWS = 160, 4
 #: Minima of which four bits fill one 64-bit number of the short signature.
 _PLACES = 16
-#: Classes of different components that are compared within one bucket without taking it apart.
-CROWD = 512
+#: Bands of which the buckets make stars.
+STARS = 8
+#: Classes that are compared within one bucket without taking it apart.
+CROWD = 4096
 #: Shingles hashed at once.
 _CHUNK = 4096
 
@@ -97,8 +102,8 @@ def _agreeing(x: Column, y: Column) -> Column:
 
 def _near(x: Column, y: Column, percent: int) -> Column:
     """Sizes fit and signatures agree; both are structs of n and sig."""
-    n, m = x["n"], y["n"]
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (_agreeing(x["sig"], y["sig"]) >= least_agreeing(percent))
+    fit = 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
+    return fit & (_agreeing(x["sig"], y["sig"]) >= least_agreeing(percent))
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -113,7 +118,7 @@ def _marked(plain: DataFrame, k: int) -> DataFrame:
         hasher, none = Hasher(), np.zeros(0, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                sizes, names, buckets, signatures = [], [], [], []
+                sizes, names, buckets, signatures, bits = [], [], [], [], []
                 for distinct in shingle_sets(part.column("text"), hasher, k):
                     some = len(distinct) > 0
                     signature = minima(distinct) if some else None
@@ -121,29 +126,35 @@ def _marked(plain: DataFrame, k: int) -> DataFrame:
                     names.append(digest(distinct) if some else None)
                     buckets.append(bands(signature) if some else none)
                     signatures.append(short(signature) if some else none)
-                made = {"n": pa.array(sizes, pa.int64()), "cls": pa.array(names, pa.binary()), "bands": _lists(buckets), "sig": _lists(signatures)}
+                    bits.append(bitmap(distinct) if some else none)
+                made = {"n": pa.array(sizes, pa.int64()), "cls": pa.array(names, pa.binary()), "bands": _lists(buckets)}
+                made |= {"sig": _lists(signatures), "bits": _lists(bits)}
                 yield pa.record_batch({"id": part.column("id"), "name": part.column("name")} | made)
 
     kind = plain.schema["id"].dataType.simpleString()
-    return plain.mapInArrow(mark, f"id {kind}, name struct<h:long,g:int,l:int>, n long, cls binary, bands array<long>, sig array<long>")
+    return plain.mapInArrow(mark, f"id {kind}, name struct<h:long,g:int,l:int>, n long, cls binary, bands array<long>, sig array<long>, bits array<long>")
 
 
-def _crowded(lists: DataFrame, held: DataFrame) -> DataFrame:
-    """The rows of `lists` (bucket, c, component) with crowded buckets taken apart by every second bucket of their classes."""
-    sizes = lists.groupBy("bucket").agg(F.count("*").alias("m"))
-    if not sizes.where(F.col("m") > CROWD).head(1):
-        return lists
-    crowded = sizes.where(F.col("m") > CROWD).select("bucket")
-    hot = lists.join(crowded, "bucket").select("c", "component", F.col("bucket").alias("one"))
-    two = hot.join(held.select("c", F.col("bucket").alias("other")), "c").where("one <> other")
-    pairs = two.select(F.xxhash64(F.least("one", "other"), F.greatest("one", "other")).alias("bucket"), "c", "component").distinct()
-    return lists.join(crowded, "bucket", "left_anti").select("bucket", "c", "component").unionByName(pairs)
+def _buckets(classes: DataFrame, few: int = MINIMA // ROWS) -> DataFrame:
+    """A row for each class and bucket of the first `few` bands; `band` is the number of the band."""
+    return classes.select("c", "component", F.posexplode(F.slice("bands", 1, few)).alias("band", "bucket"))
 
 
 def _several(lists: DataFrame) -> DataFrame:
-    """Rows of buckets that hold more than one component, with the component of most of their links (`main`)."""
-    main = lists.groupBy("bucket").agg(F.min("component").alias("main"), F.max("component").alias("last")).where("main <> last")
-    return lists.join(main.select("bucket", "main"), "bucket")
+    """Rows of buckets that hold more than one component, with the number of rows of the bucket (`m`)."""
+    sizes = lists.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"))
+    return lists.join(sizes.where("low <> high").select("bucket", "m"), "bucket")
+
+
+def _apart(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of `lists`, with crowded buckets taken apart by every second bucket of their classes (band 0: pairs may come up again)."""
+    if not lists.where(F.col("m") > CROWD).head(1):
+        return lists
+    hot = lists.where(F.col("m") > CROWD).select("c", F.col("bucket").alias("one"))
+    two = hot.join(_buckets(classes).withColumnRenamed("bucket", "other"), "c").where("one <> other")
+    name = F.xxhash64(F.least("one", "other"), F.greatest("one", "other")).alias("bucket")
+    pairs = _several(two.select("c", "component", F.lit(0).alias("band"), name).distinct())
+    return lists.where(F.col("m") <= CROWD).unionByName(pairs)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -154,45 +165,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_name(text_col).alias("name"))
     marks = written(_marked(plain, k))
     classes = marks.where("n > 0").groupBy("cls").agg(
-        F.min("id").alias("least"), F.min("name").alias("name"), *(F.first(x).alias(x) for x in ("n", "bands", "sig"))
+        F.min("id").alias("least"), F.min("name").alias("name"), *(F.first(x).alias(x) for x in ("n", "bands", "sig", "bits"))
     )
-    classes = written(classes.withColumn("c", F.xxhash64("cls")))
+    classes = written(classes.withColumns({"c": F.xxhash64("cls"), "marks": F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))}))
 
-    # Buckets of more than one class. Only their name and a class number of 8 bytes each are shuffled for all buckets; the digest tells
-    # classes apart from the candidates on.
-    posts = classes.select("c", F.explode("bands").alias("bucket"))
+    # Stars in the first buckets: linked classes share one of them nearly always, and equal parts of the table meet in few rows.
+    signed = classes.select("c", "cls", F.struct("n", "sig").alias("s"))
+    posts = _buckets(classes.withColumn("component", F.lit(None)), STARS).select("c", "bucket")
     sizes = posts.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     held = written(posts.join(sizes, "bucket"))
-    signed = classes.select("c", "cls", F.struct("n", "sig").alias("s"))
-
     weight = held.groupBy("c").agg(F.sum("m").alias("weight"))
-    weighed = held.join(weight, "c")
-    hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "c"))["c"].alias("hub"))
+    hubs = held.join(weight, "c").groupBy("bucket").agg(F.max(F.struct("weight", "c"))["c"].alias("hub"))
     star = held.join(hubs, "bucket").where("c <> hub").select("hub", "c").distinct()
     one, two = (signed.select(F.col("c").alias(c), F.col("cls").alias(a), F.col("s").alias(s)) for c, a, s in (("hub", "a", "x"), ("c", "b", "y")))
-    near = star.join(one, "hub").join(two, "c").where(_near(F.col("x"), F.col("y"), percent)).select("a", "b").distinct()
+    near = star.join(one, "hub").join(two, "c").where(_near(F.col("x"), F.col("y"), percent)).select("a", "b")
     first = linked(written(near), plain, classes, k, percent)
 
-    # What is left: classes of different components in one bucket.
+    # What is left: classes of different components in one bucket of any band. Numbers of 8 bytes stand for classes and components in the
+    # buckets; the digest tells classes apart in the candidates.
     label = written(components(first))
-    named = classes.select("c", "cls").join(label.withColumnRenamed("vertex", "cls"), "cls", "left")
-    named = named.select("c", F.coalesce("component", "cls").alias("component"))
-    open_ = written(_several(held.select("bucket", "c").join(named, "c").select("bucket", "c", "component")).drop("main"))
-    lists = written(_several(_crowded(open_, held)))
-    full = lists.join(signed, "c").select("bucket", "cls", "component", "main", "s")
-    r, o = full.where("component <> main").alias("r"), full.alias("o")
-    once = (F.col("o.component") == F.col("o.main")) | (F.col("r.cls") < F.col("o.cls"))
-    same = (F.col("r.bucket") == F.col("o.bucket")) & (F.col("r.component") != F.col("o.component"))
-    more = r.join(o, same & once & _near(F.col("r.s"), F.col("o.s"), percent))
-    more = more.select(F.least("r.cls", "o.cls").alias("a"), F.greatest("r.cls", "o.cls").alias("b")).distinct()
+    named = classes.join(label.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("component", F.xxhash64(F.coalesce("component", "cls")))
+    named = written(named.select("c", "cls", "component", "bands", "n", "sig", "bits", "marks"))
+    lists = written(_apart(_several(_buckets(named)), named).select("bucket", "band", "c", "component", "m"))
+    more = compared(lists.join(named.drop("component", "bands"), "c"), percent, least_agreeing(percent)).distinct()
     second = linked(written(more), plain, classes, k, percent)
-    final = written(components(written(first.union(second))))
+    # The components found so far are stars already.
+    stars = label.where("vertex <> component").select(F.col("vertex").alias("a"), F.col("component").alias("b"))
+    final = written(components(stars.union(second))) if second.head(1) else label
 
     ids = classes.select("cls", "least").join(final.withColumnRenamed("vertex", "cls"), "cls", "left")
     ids = written(ids.select("cls", "least", F.coalesce("component", "cls").alias("component")))
     least = ids.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = written(ids.join(least, "component").select("cls", "component_id"))
-    for done in (classes, held, open_, lists, label, first, second, final, ids):
+    for done in (classes, held, named, lists, label, first, second, final, ids):
         drop(spark, done)
     out = marks.select("id", "n", "cls").join(of_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id"))
