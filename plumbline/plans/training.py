@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import json
 from dataclasses import dataclass, field
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 from random import Random
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -13,6 +15,7 @@ from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardS
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from plumbline.config import MIN_RECALL, SplitConfig
 from plumbline.functions.columns import col, flat_name, local_table, with_flat_names
@@ -27,6 +30,8 @@ from plumbline.operators.sampling import stratified_folds, stratified_split, tra
 
 WEIGHT = "class_weight"
 FAMILIES = ("logistic_regression", "random_forest", "hist_gradient_boosting")
+# Models of folds and candidates that are fitted at a time.
+PARALLELISM = 4
 
 
 @dataclass(frozen=True)
@@ -223,32 +228,47 @@ def positive_predictions(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("prediction") == 1).alias("positives"))
 
 
+def held_out(train: DataFrame, fits: list, folds: int, parallelism: int = PARALLELISM) -> DataFrame:
+    """(candidate, fold, label, probability): every row scored for every candidate by a model that has not seen its fold.
+
+    ``fits`` has a fitting function per candidate. Models of all candidates and
+    folds are fitted side by side, ``parallelism`` at a time, so that their
+    small jobs overlap; the result is one plan over all of them.
+    """
+    jobs = [(i, k) for i in range(len(fits)) for k in range(folds)]
+
+    def run(job: tuple[int, int]) -> DataFrame:
+        i, k = job
+        model = fits[i](train.where(F.col("fold") != k))
+        held = with_probability(model, train.where(F.col("fold") == k))
+        return held.select(F.lit(i).alias("candidate"), "fold", "label", "probability")
+
+    pool = ThreadPool(max(1, min(parallelism, len(jobs))))
+    try:
+        parts = pool.map(inheritable_thread_target(train.sparkSession)(run), jobs)
+    finally:
+        pool.close()
+    return reduce(DataFrame.unionByName, parts)
+
+
 def out_of_fold(train: DataFrame, fit, folds: int) -> DataFrame:
     """(label, probability) of every row, scored by a model that has not seen its fold."""
-    parts = []
-    for k in range(folds):
-        model = fit(train.where(F.col("fold") != k))
-        parts.append(with_probability(model, train.where(F.col("fold") == k)).select("label", "probability"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return held_out(train, [fit], folds).select("label", "probability")
 
 
 def cross_validated_auc(train: DataFrame, fit, folds: int) -> float:
     return roc_auc(out_of_fold(train, fit, folds), "label", "probability").first()["auc"]
 
 
+def mean_fold_aucs(train: DataFrame, fits: list, folds: int, parallelism: int = PARALLELISM) -> list[float]:
+    """Mean of the per-fold AUCs of each candidate, the score a grid search ranks by; one job for all of them."""
+    by_fold = roc_auc(held_out(train, fits, folds, parallelism), "label", "probability", ("candidate", "fold"))
+    means = {r["candidate"]: r["auc"] for r in by_fold.groupBy("candidate").agg(F.avg("auc").alias("auc")).collect()}
+    return [means.get(i) for i in range(len(fits))]
+
+
 def mean_fold_auc(train: DataFrame, fit, folds: int) -> float:
-    """Mean of the per-fold AUCs, the score a grid search ranks by."""
-    parts = []
-    for k in range(folds):
-        held = with_probability(fit(train.where(F.col("fold") != k)), train.where(F.col("fold") == k))
-        parts.append(held.select("label", "probability", "fold"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return roc_auc(out, "label", "probability", ("fold",)).agg(F.avg("auc").alias("auc")).first()["auc"]
+    return mean_fold_aucs(train, [fit], folds)[0]
 
 
 def evaluate(model: PipelineModel, df: DataFrame, threshold: float) -> dict:
@@ -273,11 +293,11 @@ def _candidate(name, params, train, validation, numeric, categorical, rows, cfg,
 
 def tune(best: Candidate, train, validation, numeric, categorical, rows, cfg: TrainingConfig) -> Candidate:
     """Grid search over the selected family only, ranked by mean fold AUC."""
-    tried = [
-        (mean_fold_auc(train, estimator(best.name, numeric, categorical, rows, cfg, **p).fit, cfg.folds), i, p)
-        for i, p in enumerate(grid(best.name, cfg))
-    ]
-    auc, _, params = max(tried, key=lambda t: (t[0], -t[1]))
+    tried = list(grid(best.name, cfg))
+    fits = [estimator(best.name, numeric, categorical, rows, cfg, **p).fit for p in tried]
+    aucs = mean_fold_aucs(train, fits, cfg.folds)
+    first = max(range(len(tried)), key=lambda i: (aucs[i], -i))
+    auc, params = aucs[first], tried[first]
     return _candidate(best.name, params, train, validation, numeric, categorical, rows, cfg, "tuned", auc)
 
 

@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import threading
+import time
+
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from plumbline.operators.sampling import stratified_split, train_test_split
+from plumbline.operators.sampling import stratified_folds, stratified_split, train_test_split
 from plumbline.plans.training import (
     TrainingConfig,
     balanced,
@@ -14,6 +17,8 @@ from plumbline.plans.training import (
     estimator,
     flat_test_metrics,
     grid,
+    mean_fold_auc,
+    mean_fold_aucs,
     positive_predictions,
     prepare,
     replay,
@@ -51,6 +56,33 @@ def test_balanced_weights(spark):
     assert {(r["label"], r["class_weight"]) for r in df.collect()} == {(1, 2.0), (0, 4 / 6)}
 
 
+def test_folds_of_candidates_overlap(spark, rows):
+    """Models are fitted side by side, with the numbers of one after another, and rank in one job."""
+    ready, numeric, categorical = prepare(rows.drop("id"), "y")
+    train = balanced(stratified_folds(prepare(rows, "y")[0], "label", "id", 3)).persist()
+    fits = [estimator("logistic_regression", numeric, categorical, 400, SMALL, C=c).fit for c in (0.01, 1.0)]
+    spans, lock = [], threading.Lock()
+
+    def timed(fit):
+        def run(df):
+            begin = time.time()
+            model = fit(df)
+            with lock:
+                spans.append((begin, time.time()))
+            return model
+
+        return run
+
+    together = mean_fold_aucs(train, [timed(f) for f in fits], 3, parallelism=3)
+    assert any(a < d and c < b for i, (a, b) in enumerate(spans) for c, d in spans[:i])
+    spans.clear()
+    alone = mean_fold_aucs(train, [timed(f) for f in fits], 3, parallelism=1)
+    assert not any(a < d and c < b for i, (a, b) in enumerate(spans) for c, d in spans[:i])
+    assert together == pytest.approx(alone, abs=1e-12)
+    assert together == pytest.approx([mean_fold_auc(train, f, 3) for f in fits], abs=1e-12)
+    train.unpersist()
+
+
 def test_unseen_category_and_forest(spark, rows):
     ready, numeric, categorical = prepare(rows, "y")
     assert "emp_var_rate" in numeric and "job" in categorical
