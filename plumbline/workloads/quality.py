@@ -17,6 +17,7 @@ from plumbline.operators.cleaning import (
     handle_sentinel,
     json_safe,
     split_bad_targets,
+    split_features_target,
     to_number,
     to_payload,
 )
@@ -29,6 +30,7 @@ from plumbline.operators.contract import (
     property_table,
     split_valid,
     validate,
+    validate_events,
 )
 from plumbline.operators.sampling import (
     full_shift,
@@ -41,7 +43,7 @@ from plumbline.operators.sampling import (
     train_test_split,
 )
 from plumbline.sources.folders import fresh_folder
-from plumbline.sources.tables import append, newest, table_fingerprint
+from plumbline.sources.tables import append, load_delimited, newest, table_fingerprint
 from plumbline.workloads.adapters import LABELLED_SQL, labelled_documents, stamp
 from plumbline.workloads.registry import Tables, query
 
@@ -792,3 +794,56 @@ def stored_sketches(t: Tables) -> DataFrame:
         )
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query(
+    "delimited_orders",
+    """SELECT 'features' AS part, count(*) AS rows, round(sum(o_totalprice), 2) AS total, count(DISTINCT o_orderpriority) AS kinds FROM orders
+UNION ALL SELECT 'labels', count(*), sum(o_custkey % 2)::DOUBLE, count(DISTINCT o_custkey % 2) FROM orders""",
+)
+def delimited_orders(t: Tables) -> DataFrame:
+    """Orders written as a semicolon file, read back by its header, brought into the wanted order and split into features and target."""
+    root = fresh_folder(t.spark)
+    odd = (F.col("o_custkey") % 2).alias(" odd")
+    t.orders.select("o_orderkey", F.col("o_totalprice").alias(" o_totalprice "), "o_orderpriority", odd).write.option("sep", ";").option("header", True).csv(root)
+    raw = load_delimited(t.spark, root, "o_orderkey bigint, o_totalprice double, o_orderpriority string, odd int")
+    features, labels = split_features_target(align_to(raw, ["odd", "o_orderpriority", "o_totalprice"]), "odd")
+    left = features.agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.count_distinct("o_orderpriority").alias("kinds"))
+    right = labels.agg(F.count(F.lit(1)).alias("rows"), F.sum("odd").cast("double").alias("total"), F.count_distinct("odd").alias("kinds"))
+    return left.select(F.lit("features").alias("part"), "*").unionByName(right.select(F.lit("labels").alias("part"), "*"))
+
+
+#: What is wrong with a drift event message, by the remainder of the event's id.
+EVENT_FAULTS = ["none", "unknown severity", "no model name", "six metrics", "unknown metric", "not JSON", "no threshold", "no window size", "no time", "no previous severity"]
+
+
+@query(
+    "drift_events_of_every_kind",
+    f"""SELECT {[*EVENT_FAULTS]}[(event_id % {len(EVENT_FAULTS)} + 1)::INT] AS fault, count(*) AS messages,
+count(*) FILTER (event_id % {len(EVENT_FAULTS)} = 0) AS valid FROM events GROUP BY 1""",
+)
+def drift_events_of_every_kind(t: Tables) -> DataFrame:
+    """A drift event message per event, nine tenths of them broken in one of nine ways, judged by the consumer's contract."""
+    kind = F.col("event_id") % len(EVENT_FAULTS)
+    metric = F.struct(
+        F.lit("value").alias("feature"),
+        F.when(kind == 4, "ks").otherwise("psi").alias("metric"),
+        F.col("value").alias("value"),
+        F.when(kind != 6, 0.2).alias("threshold"),
+    )
+    message = F.struct(
+        F.concat(F.lit("e-"), "event_id").alias("event_id"),
+        F.when(kind == 8, "yesterday").otherwise("2024-02-01T00:00:00Z").alias("emitted_at"),
+        F.when(kind != 2, "monitored-model").alias("model_name"),
+        F.lit(3).alias("model_version"),
+        F.lit("2024-01-31T00:00:00Z").alias("window_start"),
+        F.lit("2024-02-01T00:00:00Z").alias("window_end"),
+        F.when(kind != 7, 200).alias("window_size"),
+        F.when(kind != 9, "green").alias("previous_severity"),
+        F.when(kind == 1, "blue").otherwise("red").alias("current_severity"),
+        F.array_repeat(metric, F.when(kind == 3, 6).otherwise(2)).alias("top_metrics"),
+    )
+    payload = F.when(kind == 5, "{").otherwise(F.to_json(message)).alias("payload")
+    fault = F.get(F.array(*[F.lit(x) for x in EVENT_FAULTS]), kind.cast("int")).alias("fault")
+    judged = validate_events(t.events.select(fault, payload))
+    return judged.groupBy("fault").agg(F.count(F.lit(1)).alias("messages"), F.count_if("event_valid").alias("valid"))
