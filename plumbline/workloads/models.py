@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import SplitConfig
+from plumbline.functions.columns import local_table
+from plumbline.operators.contract import Contract, Field
 from plumbline.operators.evaluation import (
     classification_metrics,
     recall_thresholds,
     roc_auc,
     select_best,
 )
-from plumbline.plans.training import positive_predictions
+from plumbline.plans.training import TrainingConfig, balanced, estimator, positive_predictions, score_with_artifacts, with_probability
+from plumbline.sources.folders import fresh_folder
+from plumbline.streaming.runtime import drain, stream_table
+from plumbline.streaming.scoring import score_stream
 from plumbline.workloads.adapters import LABELLED_SQL, labelled_documents
 from plumbline.workloads.registry import Tables, query
 
@@ -178,3 +184,36 @@ def train_score_replay(t: Tables) -> DataFrame:
     model = estimator("logistic_regression", numeric, categorical, training.count(), cfg).fit(training)
     training.unpersist()
     return replay(model, rows, "quality", "doc_id")
+
+
+@query(
+    "stored_model_scores",
+    """WITH e AS (SELECT (value >= 50)::INT AS high, CASE WHEN event_type = 'click' OR value >= 80 THEN 1 ELSE 0 END AS y FROM events),
+n AS (SELECT count(*)::DOUBLE AS n, sum(y)::DOUBLE AS p FROM e),
+g AS (SELECT high, count(*) AS rows, sum(y) / any_value(p) AS pos, (count(*) - sum(y)) / any_value(n - p) AS neg FROM e, n GROUP BY high)
+SELECT how, high, rows, round(pos / (pos + neg), 2) AS probability, CASE WHEN pos / (pos + neg) >= 0.5 THEN 'yes' ELSE 'no' END AS decision
+FROM g, (VALUES ('batch'), ('stream')) h(how)""",
+)
+def stored_model_scores(t: Tables) -> DataFrame:
+    """A classifier fitted, stored and loaded again; scored as a table by its artifacts and as a stream of validated payloads.
+
+    With one yes-or-no feature and hardly any penalty its probabilities are the weighted shares of each group, which SQL can tell.
+    """
+    root = fresh_folder(t.spark)
+    y = ((F.col("event_type") == "click") | (F.col("value") >= 80)).cast("int").alias("label")
+    high = (F.col("value") >= 50).cast("double").alias("high")
+    rows = t.events.select("event_id", high, y)
+    cfg = TrainingConfig(logistic_iterations=100)
+    model = estimator("logistic_regression", ["high"], [], rows.count(), cfg, C=1e6).fit(balanced(rows))
+    model.write().save(f"{root}/model")
+    local_table(t.spark, [("threshold", 0.5)], "name string, value double").write.json(f"{root}/threshold")
+    local_table(t.spark, [("high", "double")], "feature string, kind string").write.json(f"{root}/schema")
+
+    batch = score_with_artifacts(t.spark, root, rows.drop("label")).select(F.lit("batch").alias("how"), "high", "probability", "decision")
+    loaded = PipelineModel.load(f"{root}/model")
+    payloads = stream_table(t.spark, t.path("events")).select("event_id", F.to_json(F.struct(high)).alias("payload"))
+    contract = Contract((Field("high", "float64"),))
+    drain(score_stream(payloads, contract, lambda df: with_probability(loaded, df), 0.5, f"{root}/out", f"{root}/checkpoint"))
+    stream = t.spark.read.parquet(f"{root}/out/scored").select(F.lit("stream").alias("how"), "high", "probability", "decision")
+    both = batch.unionByName(stream).groupBy("how", F.col("high").cast("int").alias("high"), "decision")
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("probability"), 2).alias("probability"))
