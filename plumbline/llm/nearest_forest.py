@@ -9,10 +9,10 @@
    halfway between two of them. Every point of the table is put into one leaf of each tree.
 4. A query walks all trees through one queue that always opens the most promising node: the one whose worst margin on the way is best. It
    stops when the leaves opened so far, each counted in full, hold `share` times as many sampled points as the sample. This is the knob
-   between effort and recall: vectors with close neighbours need little, evenly spread ones much. (tree, leaf) pairs join queries with points; leaves
-   with more points than `GROUP` are dealt into parts, which all of the leaf's queries visit.
-5. Each part scores its pairs exactly on the original vectors, in double precision, and hands on its k + 1 best; the best of these are the
-   result, by score and then id.
+   between effort and recall: vectors with close neighbours need little, evenly spread ones much. (tree, leaf) pairs join queries with
+   points; points and queries of a leaf are dealt into groups of bounded size.
+5. Pairs are scored exactly on the original vectors, in double precision. The first leaves of each query come first: their k + 1 best points
+   are a bound, and of all further leaves only candidates that reach it are handed on. The best are the result, by score and then id.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ from pyspark.sql.window import Window
 
 from plumbline.llm.tables import written
 
-#: Points of a leaf that are scored in one group.
-GROUP = 4096
+#: Points of a leaf, and queries that opened it, that are scored in one group.
+GROUP, ASKING = 4096, 4096
+#: Leaves of a query that are scored first.
+FIRST_LEAVES = 4
 
 
 @dataclass
@@ -167,49 +169,66 @@ def search_forest(
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
-                part, found, row = batch.slice(a, 256), [], []
+                part, found, row, turn = batch.slice(a, 256), [], [], []
                 for i, q in enumerate(_matrix(part.column("v"))):
                     opened = visit(forest.value, np.append(q / np.linalg.norm(q) * np.sqrt(longest), 0.0), search)
                     found += opened
                     row += [i] * len(opened)
+                    turn += range(len(opened))
                 row = pa.array(row, pa.int64())
                 yield pa.record_batch(
                     {
                         "tree": pa.array([t for t, _ in found], pa.int32()),
                         "leaf": pa.array([n for _, n in found], pa.int64()),
+                        "turn": pa.array(turn, pa.int32()),
                         "p": part.column("p").take(row),
-                        "v": part.column("v").take(row),
                     }
                 )
 
     kind = points.schema["v"].dataType.simpleString()
     name = "struct<h:bigint,g:int>"
-    placed = points.drop("ids").mapInArrow(place, f"tree int, leaf long, p {name}, v {kind}, first long")
-    full = placed.groupBy("tree", "leaf").agg(F.count("*").alias("held")).where(F.col("held") > GROUP)
-    big = full.select("tree", "leaf", F.ceil(F.col("held") / GROUP).cast("int").alias("parts"))
-    part_of = F.pmod(F.xxhash64("p"), F.coalesce("parts", F.lit(1))).cast("int")
-    placed = placed.join(big, ["tree", "leaf"], "left").withColumn("part", part_of).drop("parts")
-    wanted = points.join(asking.select("p").distinct(), "p", "left_semi").mapInArrow(ask, f"tree int, leaf long, p {name}, v {kind}")
-    wanted = wanted.join(big, ["tree", "leaf"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-    columns = ["tree", "leaf", "part"]
+    placed = written(points.drop("ids").mapInArrow(place, f"tree int, leaf long, p {name}, v {kind}, first long"))
+    asked_points = points.join(asking.select("p").distinct(), "p", "left_semi").select("p", "v")
+    wanted = written(asked_points.mapInArrow(ask, f"tree int, leaf long, turn int, p {name}"))
+    # Both sides of a leaf are dealt into groups of bounded size.
+    dealt = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    dealt = dealt.join(wanted.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("slots")), ["tree", "leaf"])
+    columns = ["tree", "leaf", "part", "slot"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    there = placed.join(dealt, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("p"), F.col("parts")).cast("int")).withColumn("slot", every("slots"))
+    there = there.select(*columns, "p", "v", "first")
 
     def rerank(key: tuple, asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(there):
             y, first = np.stack(there["v"].to_list()).astype(np.float64), there["first"].to_numpy(np.int64)
             h, g = (np.array([p[c] for p in asked["p"]], np.int64) for c in "hg")
+            bound = asked["bound"].to_numpy(np.float64)
             most = min(k + 1, len(there))
             for a in range(0, len(asked), 512):
                 q = np.stack(asked["v"].iloc[a : a + 512].to_list()).astype(np.float64)
                 scores = q @ y.T
-                low = np.partition(scores, len(there) - most, axis=1)[:, len(there) - most]
+                low = np.maximum(np.partition(scores, len(there) - most, axis=1)[:, len(there) - most], bound[a : a + 512])
                 i, j = np.nonzero(scores >= low[:, None] - 1e-9 * np.abs(low[:, None]))  # ties stay
                 # Summed again in one order, so that a pair has the same score in every leaf.
                 out.append(pd.DataFrame({"h": h[a + i], "g": g[a + i], "first": first[j], "score": (q[i] * y[j]).sum(1)}))
         return pd.concat(out) if out else pd.DataFrame([], columns=["h", "g", "first", "score"])
 
-    groups = wanted.select(*columns, "p", "v").groupBy(*columns).cogroup(placed.select(*columns, "p", "v", "first").groupBy(*columns))
-    pairs = groups.applyInPandas(rerank, "h long, g int, first long, score double")
+    def compared(opened: DataFrame) -> DataFrame:
+        """Candidates of the opened leaves (tree, leaf, p, bound) that reach the bound: at most k + 1 of a group and query, but for ties."""
+        asked = opened.join(asked_points, "p").join(dealt, ["tree", "leaf"]).withColumn("slot", F.pmod(F.xxhash64("p", F.lit(1)), F.col("slots")).cast("int"))
+        asked = asked.withColumn("part", every("parts")).select(*columns, "p", "v", "bound")
+        groups = asked.groupBy(*columns).cogroup(there.groupBy(*columns))
+        return groups.applyInPandas(rerank, "h long, g int, first long, score double").groupBy("h", "g", "first").agg(F.max("score").alias("score"))
+
+    # The first leaves of the queue give each query a score that its k-th best has at least; of all further leaves only what reaches it is
+    # handed on, which is little.
+    nearest = compared(wanted.where(F.col("turn") < FIRST_LEAVES).withColumn("bound", F.lit(float("-inf"))))
+    reached = Window.partitionBy("h", "g").orderBy(F.desc("score"), "first")
+    nearest = written(nearest.withColumn("nth", F.row_number().over(reached)).where(F.col("nth") <= k + 1))
+    bounds = nearest.where(F.col("nth") == k + 1).select(F.struct("h", "g").alias("p"), F.col("score").alias("bound"))
+    further = wanted.where(F.col("turn") >= FIRST_LEAVES).join(bounds, "p", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+    pairs = nearest.drop("nth").unionByName(compared(further))
     # A point is named by its smallest id; it comes from several trees.
     pairs = pairs.groupBy("h", "g", "first").agg(F.max("score").alias("score"))
     best = Window.partitionBy("h", "g").orderBy(F.desc("score"), "first")
