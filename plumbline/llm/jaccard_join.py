@@ -12,8 +12,8 @@ one row per document with the component of the link graph it belongs to.
    than t(x); then linked sets share an entry. Combinations keep the lists of passages and copies that a large share of the documents
    hold short.
 3. Exact copies (one digest of the set) are one class. In each list every class is first compared with the most ordinary one of its size
-   (the star round); components of those links are contracted, and after that only classes of fitting sizes in different components
-   are compared. Parity bitmaps rule pairs out inside the joins, so few leave them.
+   (the star round); components of those links are contracted. After that classes of different components are compared, list by list, lists
+   of the same classes once, in blocks of bounded size. Parity bitmaps rule pairs out where they stand, so hardly any but links leave a list.
 4. Each candidate pair is verified on its texts.
 
 Rows without words have 0 n-grams, link to nothing and are their own component. A null id takes part like any other; it is never the
@@ -34,15 +34,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.tables import components, written
+from plumbline.llm.pairs import BITMAP, bitmap, compared
+from plumbline.llm.tables import components, drop, free, written
+from plumbline.llm.texts import linked
 from plumbline.llm.words import Hasher, mix, per_text, shingles, slices, utf8
 
 #: Hashed counters of each sketch, and counters per row of the sketch while it is summed.
 COUNTERS, BLOCK = 1 << 18, 1 << 13
 #: Classes 2 and 3 hold n-grams that this share of the documents contains.
 SHARES = (0.01, 0.1)
-#: 64-bit numbers of a parity bitmap, and of its folded form.
-BITMAP, FOLDS = 32, 4
 
 def _sets(batch: pa.RecordBatch, column: str, hasher: Hasher, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per text: its words, its n-grams in order of position, made distinct, and where each stands first."""
@@ -136,12 +136,6 @@ def entries(words: np.ndarray, distinct: np.ndarray, at: np.ndarray, k: int, per
     return np.concatenate(out)
 
 
-def bitmap(distinct: np.ndarray) -> np.ndarray:
-    """Parity of the n-grams that fall on each bit: two bitmaps differ in no more bits than their sets differ in n-grams."""
-    bits = np.bincount((mix(distinct) % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
-
-
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
@@ -156,7 +150,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), name.alias("name"))
     counters = _sketch(plain, "text", k)
     n_docs = plain.count()
-    context = docs.sparkSession.sparkContext
+    spark, context = docs.sparkSession, docs.sparkSession.sparkContext
     rarity = context.broadcast(np.log1p(counters[0]).astype(np.float32))
     known = context.broadcast((1 + sum((counters[1] >= max(16, share * n_docs)).astype(np.int8) for share in SHARES)).astype(np.int8))
 
@@ -192,37 +186,36 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
     marked = marks.where(F.size("bits") > 0).select("cls", F.xxhash64("cls").alias("c"), "n", "score", "bits", "name")
     classes = marked.join(held.select("c").distinct(), "c", "left_semi").groupBy("cls", "c")
     classes = classes.agg(*(F.first(x).alias(x) for x in ("n", "score", "bits")), F.min("name").alias("name"))
-    classes = written(classes.withColumn("level", _level(F.col("n"))).withColumns({f"f{i}": _fold(i) for i in range(FOLDS)}))
+    classes = written(classes.withColumn("level", _level(F.col("n"))))
     shared = held.join(classes.select("c", "cls", "score", "level"), "c").drop("c")
 
     # The most ordinary words first: an original before its edited copies.
     hubs = shared.groupBy("entry", "level").agg(F.min(F.struct(-F.col("score"), "cls")).alias("hub"))
     star = shared.join(hubs, ["entry", "level"]).where("cls <> hub.cls").select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct()
-    first = written(_verified(written(_near(star, classes, percent)), plain, classes, k, percent))
+    near = written(_near(star, classes, percent))
+    first = linked(near, plain, classes, k, percent)
     label = written(components(first))
 
-    # What is left: pairs within a list whose classes are in different components, so that one is not in the component of the most
-    # ordinary member. Partners have one of the size levels of the first.
-    named = shared.join(label.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    main = named.groupBy("entry").agg(F.min_by("component", F.struct(-F.col("score"), "cls")).alias("main"))
-    open_ = written(named.join(main, "entry").select("entry", "cls", "component", "main", "level"))
-    still = open_.where("component <> main").select("entry").distinct()
-    narrow = classes.select("cls", "n", *(f"f{i}" for i in range(FOLDS)))
-    levels = F.sequence(_level(F.ceil(F.col("n") * percent / 100)), _level(F.floor(F.col("n") * 100 / percent)))
-    rest = open_.where("component <> main").select("entry", "cls", "component").join(narrow, "cls").withColumn("level", F.explode(levels))
-    others = open_.join(still, "entry").select("entry", "cls", "component", "main", "level").join(narrow, "cls")
-    r, o = rest.alias("r"), others.alias("o")
-    same = (F.col("r.entry") == F.col("o.entry")) & (F.col("r.level") == F.col("o.level")) & (F.col("r.component") != F.col("o.component"))
-    once = (F.col("o.component") == F.col("o.main")) | (F.col("r.cls") < F.col("o.cls"))
-    folded = [F.bit_count(F.col(f"r.f{i}").bitwiseXOR(F.col(f"o.f{i}"))) for i in range(FOLDS)]
-    near = same & once & _fits(F.col("r.n"), F.col("o.n"), sum(folded), percent)
-    more = r.join(o, near).select(F.least("r.cls", "o.cls").alias("a"), F.greatest("r.cls", "o.cls").alias("b")).distinct()
-    second = _verified(written(_near(more, classes, percent)), plain, classes, k, percent)
-    final = components(written(first.union(second)))
+    # What is left: classes of different components in one list. Lists of the same classes are one list; pairs of each list are compared by
+    # their parity bitmaps where they stand, so that hardly any but links leave it.
+    named = classes.join(label.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("component", F.xxhash64(F.coalesce("component", "cls")))
+    named = written(named.select("c", "cls", "component", "n", "bits"))
+    posted = held.join(named.select("c", "component"), "c")
+    ways = F.struct(F.count("*").alias("m"), F.bit_xor("c").alias("x"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("s")).alias("same")
+    several = posted.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high"), ways).where("low <> high")
+    several = several.groupBy("same").agg(F.min("entry").alias("entry")).select("entry", F.col("same.m").alias("m"))
+    open_ = written(held.join(several, "entry").select(F.col("entry").alias("bucket"), "m", "c"))
+    more = written(compared(open_.join(named, "c"), percent).distinct())
+    second = linked(more, plain, classes, k, percent)
+    # The components found so far are stars already.
+    stars = label.where("vertex <> component").select(F.col("vertex").alias("a"), F.col("component").alias("b"))
+    final = components(stars.union(second)) if second.head(1) else label
 
     ids = marks.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("least"))
     ids = ids.join(final.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     ids = written(ids)
+    for done in (held, classes, near, first, label, named, open_, more, second):
+        drop(spark, done)
     least = ids.groupBy("component").agg(F.min("least").alias("component_id"))
     return marks.select("id", "name", "n", "cls"), ids.join(least, "component").select("cls", "component", "component_id")
 
@@ -245,10 +238,11 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows, classes = _classified(docs, id_col, text_col, k, percent)
     best = F.struct(F.col("id").isNull().alias("none"), "id", "name")
     best = rows.join(classes, "cls").groupBy("component").agg(F.min(best).alias("best")).select("best.id", "best.name")
-    key = [F.xxhash64("id").alias("_i"), F.col("name.h").alias("_h"), F.col("name.g").alias("_g"), F.col("name.l").alias("_l")]
+    names = [free(docs, n) for n in ("i", "h", "g", "l")]
+    made = dict(zip(names, (F.xxhash64(id_col), F.xxhash64(text_col), F.hash(text_col), F.octet_length(text_col))))
+    key = [c.alias(n) for n, c in zip(names, (F.xxhash64("id"), F.col("name.h"), F.col("name.g"), F.col("name.l")))]
     stay = best.select(*key).union(rows.where("cls IS NULL").select(*key).distinct())
-    names = ["_i", "_h", "_g", "_l"]
-    named = docs.withColumns({"_i": F.xxhash64(id_col), "_h": F.xxhash64(text_col), "_g": F.hash(text_col), "_l": F.octet_length(text_col)})
+    named = docs.withColumns(made)
     for c in names:  # a null text has no length
         named, stay = named.withColumn(c, F.coalesce(c, F.lit(-1).cast(named.schema[c].dataType))), stay.withColumn(c, F.coalesce(c, F.lit(-1).cast(named.schema[c].dataType)))
     return named.join(stay, names, "left_semi").dropDuplicates(names).drop(*names)
@@ -259,26 +253,6 @@ def _level(n: Column) -> Column:
     return F.floor(F.log(n) / math.log(10 / 9)).cast("int")
 
 
-#: Rows of (text name, class) that may be broadcast: about 50 bytes each.
-MOST_NAMES = 200_000
-
-
-def _texts(plain: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One text of each class in `pairs`."""
-    wanted = classes.select("cls", "name").join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls")
-    if pairs.count() <= MOST_NAMES // 2:  # so at most MOST_NAMES classes
-        wanted = F.broadcast(wanted)
-    return plain.select("name", "text").join(wanted, "name").groupBy("cls").agg(F.first("text").alias("text"))
-
-
-def _fold(i: int) -> Column:
-    """Every FOLDS-th number of a bitmap, combined: a smaller parity bitmap with the same promise."""
-    out = F.col("bits")[i]
-    for j in range(i + FOLDS, BITMAP, FOLDS):
-        out = out.bitwiseXOR(F.col("bits")[j])
-    return out
-
-
 def _fits(n: Column, m: Column, differ: Column, percent: int) -> Column:
     """False only where sizes or differing bits rule a link out: linked sets differ in (100 - p)/(100 + p) of their sizes' sum at most."""
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ * (100 + percent) <= (n + m) * (100 - percent))
@@ -290,27 +264,3 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     p = p.join(narrow.select(F.col("cls").alias("b"), F.struct("n", "bits").alias("y")), "b")
     differ = sum(F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(BITMAP))
     return p.where(_fits(F.col("x.n"), F.col("y.n"), differ, percent)).select("a", "b")
-
-
-def _verified(pairs: DataFrame, plain: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose texts link."""
-    texts = written(_texts(plain, classes, pairs))
-    p = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
-    p = p.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in batches:
-            a = 0
-            sizes = np.diff(utf8(batch.column("text_a"))[1]) + np.diff(utf8(batch.column("text_b"))[1])
-            while a < batch.num_rows:
-                b = a + max(1, int(np.searchsorted(np.cumsum(sizes[a:]), 4 << 20)))
-                part, keep = batch.slice(a, b - a), []
-                both = zip(_sets(part, "text_a", hasher, k), _sets(part, "text_b", hasher, k), strict=True)
-                for (_, x, _), (_, y, _) in both:
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-                a = b
-
-    return p.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary")
