@@ -42,3 +42,21 @@ def test_stages(spark, tmp_path):
         assert np.frombuffer(ids[i].ids, "<u4").tolist() == plain.encode_ordinary(r.text) and ids[i].n_tokens * 4 == len(ids[i].ids)
     whole = {r.doc_id: bytes(r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == {i: bytes(r.ids) for i, r in ids.items()}
+
+
+def test_stages_of_nothing_and_of_odd_columns(spark, tmp_path):
+    """Empty tables, and rows without text with columns of names that the stages use."""
+    names = ["score", "secrets", "ids", "decoded", "key", "kinds", "i", "h", "g", "l"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rows in ([], [(1, None, None, None, None, *names), (None, "", None, None, 0, *names), (2, "password = hunter2hunter2", None, None, None, *names)]):
+        at = spark.createDataFrame(rows, schema)
+        columns = at.columns
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            at = stage(spark, at, str(tmp_path))
+            assert at.columns == columns
+        got = at.collect()
+        assert len(got) == len(rows) and all(r[n] == n for r in got for n in names)
+        assert not any("hunter2" in (r["text"] or "") for r in got)
+        assert corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).count() == len(rows)
