@@ -12,8 +12,10 @@ one row per document with the component of the link graph it belongs to.
    than t(x); then linked sets share an entry. Combinations keep the lists of passages and copies that a large share of the documents
    hold short.
 3. Exact copies (one digest of the set) are one class. In each list every class is first compared with the most ordinary one of its size
-   (the star round); components of those links are contracted. After that classes of different components are compared, list by list, lists
-   of the same classes once, in blocks of bounded size. Parity bitmaps rule pairs out where they stand, so hardly any but links leave a list.
+   (the star round); components of those links are contracted. Further rounds compare classes of other components with one that is drawn
+   from each list, which joins large groups whose copies are far from the first one. After that classes of different components are compared,
+   list by list, lists of the same classes once, in blocks of bounded size. Parity bitmaps rule pairs out where they stand, so hardly any but
+   links leave a list.
 4. Each candidate pair is verified on its texts.
 
 Rows without words have 0 n-grams, link to nothing and are their own component. A null id takes part like any other; it is never the
@@ -43,6 +45,9 @@ from plumbline.llm.words import Hasher, mix, per_text, shingles, slices, utf8
 COUNTERS, BLOCK = 1 << 18, 1 << 13
 #: Classes 2 and 3 hold n-grams that this share of the documents contains.
 SHARES = (0.01, 0.1)
+#: Rounds of drawn hubs at most; one that finds less than a tenth of the links of the one before is the last.
+TURNS = 6
+
 
 def _sets(batch: pa.RecordBatch, column: str, hasher: Hasher, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per text: its words, its n-grams in order of position, made distinct, and where each stands first."""
@@ -196,26 +201,43 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
     first = linked(near, plain, classes, k, percent)
     label = written(components(first))
 
-    # What is left: classes of different components in one list. Lists of the same classes are one list; pairs of each list are compared by
-    # their parity bitmaps where they stand, so that hardly any but links leave it.
-    named = classes.join(label.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("component", F.xxhash64(F.coalesce("component", "cls")))
-    named = written(named.select("c", "cls", "component", "n", "bits"))
-    posted = held.join(named.select("c", "component"), "c")
+    # What is left: classes of different components in one list. Lists of the same classes are one list.
+    several = _named(classes, label).join(held, "c")
     ways = F.struct(F.count("*").alias("m"), F.bit_xor("c").alias("x"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("s")).alias("same")
-    several = posted.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high"), ways).where("low <> high")
-    several = several.groupBy("same").agg(F.min("entry").alias("entry")).select("entry", F.col("same.m").alias("m"))
-    open_ = written(held.join(several, "entry").select(F.col("entry").alias("bucket"), "m", "c"))
+    several = several.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high"), ways).where("low <> high")
+    several = several.groupBy("same").agg(F.min("entry").alias("entry")).select("entry")
+    lists = written(held.join(several, "entry").select(F.col("entry").alias("bucket"), "c"))
+    done = [held, near, first, label]
+
+    # The hub of the first round may be far from most copies of a large group. Other hubs, one of each size in each list and new ones in
+    # every turn, join such groups before all pairs are compared: a turn looks at each row of a list once.
+    before = 0
+    for turn in range(TURNS):
+        star = written(_stars(lists, classes, label, turn, percent))
+        found = linked(star, plain, classes, k, percent)
+        done += [star, found]
+        many = found.count()
+        if many:
+            label = written(components(_links(label).union(found)))
+            done.append(label)
+        if not many or 10 * many < before:
+            break
+        before = many
+
+    # Pairs of each list are compared by their parity bitmaps where they stand, so that hardly any but links leave it.
+    named = written(_named(classes, label).select("c", "cls", "component", "n", "bits"))
+    sizes = lists.join(named.select("c", "component"), "c").groupBy("bucket")
+    sizes = sizes.agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high")
+    open_ = written(lists.join(sizes.select("bucket", "m"), "bucket"))
     more = written(compared(open_.join(named, "c"), percent).distinct())
     second = linked(more, plain, classes, k, percent)
-    # The components found so far are stars already.
-    stars = label.where("vertex <> component").select(F.col("vertex").alias("a"), F.col("component").alias("b"))
-    final = components(stars.union(second)) if second.head(1) else label
+    final = components(_links(label).union(second)) if second.head(1) else label
 
     ids = marks.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("least"))
     ids = ids.join(final.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     ids = written(ids)
-    for done in (held, classes, near, first, label, named, open_, more, second):
-        drop(spark, done)
+    for table in (*done, classes, lists, named, open_, more, second):
+        drop(spark, table)
     least = ids.groupBy("component").agg(F.min("least").alias("component_id"))
     return marks.select("id", "name", "n", "cls"), ids.join(least, "component").select("cls", "component", "component_id")
 
@@ -248,9 +270,30 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return named.join(stay, names, "left_semi").dropDuplicates(names).drop(*names)
 
 
-def _level(n: Column) -> Column:
+def _named(classes: DataFrame, label: DataFrame) -> DataFrame:
+    """`classes` with a number for the component of each."""
+    named = classes.join(label.withColumnRenamed("vertex", "cls"), "cls", "left")
+    return named.withColumn("component", F.xxhash64(F.coalesce("component", "cls")))
+
+
+def _links(label: DataFrame) -> DataFrame:
+    """The links (a, b) of components, which are stars."""
+    return label.where("vertex <> component").select(F.col("vertex").alias("a"), F.col("component").alias("b"))
+
+
+def _stars(lists: DataFrame, classes: DataFrame, label: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Candidates (a, b): a class of each size in each list, drawn anew for every `turn`, and those of its size and other components."""
+    level = _level(F.col("n"), turn % 2 / 2)
+    posted = lists.join(_named(classes, label).select("c", "cls", "component", level.alias("level")), "c")
+    drawn = F.min(F.struct(F.xxhash64("c", "bucket", F.lit(turn)).alias("h"), "cls", "component")).alias("hub")
+    hubs = posted.groupBy("bucket", "level").agg(drawn)
+    star = posted.join(hubs, ["bucket", "level"]).where("component <> hub.component")
+    return _near(star.select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct(), classes, percent)
+
+
+def _level(n: Column, shift: float = 0.0) -> Column:
     """Size level: grows with the size, one step for a ninth more."""
-    return F.floor(F.log(n) / math.log(10 / 9)).cast("int")
+    return F.floor(F.log(n) / math.log(10 / 9) + shift).cast("int")
 
 
 def _fits(n: Column, m: Column, differ: Column, percent: int) -> Column:
