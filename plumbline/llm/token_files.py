@@ -144,30 +144,36 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _encoders:
             _encoders[tokenizer] = UnitEncoder(tokenizer)
-        at = 0
+        at, total = 0, np.zeros(0, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                ids = [x + end for x in _encoders[tokenizer]([t or "" for t in part.column("text").to_pylist()])]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+                ids = pa.array([x + end for x in _encoders[tokenizer]([t or "" for t in part.column("text").to_pylist()])], pa.binary())
+                raw, offsets = utf8(ids)
+                seen = np.bincount(raw.view("<u4"), minlength=len(total))
+                seen[: len(total)] += total
+                total, n = seen, np.diff(offsets) // 4
                 begin = at + np.cumsum(n) - n
                 at += int(n.sum())
-                yield pa.record_batch({"part": part.column("part"), "at": pa.array(begin), "id": part.column("id"), "n": pa.array(n), "ids": pa.array(ids, pa.binary())})
+                made = {"part": part.column("part"), "at": pa.array(begin), "id": part.column("id"), "n": pa.array(n), "ids": ids}
+                yield pa.record_batch(made | {"counts": pa.nulls(len(ids), pa.binary())})
+        if at:  # a last row holds how often this task has met each id
+            none = {c: pa.nulls(1, x.type) for c, x in made.items()}
+            yield pa.record_batch(none | {"counts": pa.array([total.tobytes()], pa.binary())})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     dealt = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").select("id", "text", F.spark_partition_id().alias("part"))
-    encoded = written(dealt.mapInArrow(encode, f"part int, at long, id {kind}, n long, ids binary"))
+    both = written(dealt.mapInArrow(encode, f"part int, at long, id {kind}, n long, ids binary, counts binary"))
+    encoded = both.where("counts IS NULL").drop("counts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            seen = np.bincount(utf8(batch.column("ids"))[0].view("<u4"))
-            total = np.pad(total, (0, max(0, len(seen) - len(total))))
-            total[: len(seen)] += seen
-        some = np.flatnonzero(total)
-        yield pa.record_batch({"token": pa.array(some), "times": pa.array(total[some])})
+            for counts in batch.column("counts").to_pylist():
+                total = np.frombuffer(counts, np.int64)
+                some = np.flatnonzero(total)
+                yield pa.record_batch({"token": pa.array(some), "times": pa.array(total[some])})
 
     # A row per id of the vocabulary and a row per range: both small whatever the number of documents.
-    times = encoded.select("ids").mapInArrow(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    times = both.select("counts").where("counts IS NOT NULL").mapInArrow(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
     tokens = [r["token"] for r in sorted(times.collect(), key=lambda r: (-r["times"], r["token"]))]
     spark.createDataFrame(list(enumerate(tokens)), "rank long, token long").coalesce(1).write.parquet(f"{folder}/ranks")
     rank = np.zeros(max(tokens, default=0) + 1, np.uint32)
@@ -197,7 +203,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
 
     blocks = encoded.mapInArrow(code, f"at long, ids array<{kind}>, sizes array<long>, control binary, data binary")
     blocks.write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
-    drop(spark, encoded)
+    drop(spark, both)
 
 
 def read_tokens(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
