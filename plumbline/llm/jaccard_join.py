@@ -12,10 +12,10 @@ one row per document with the component of the link graph it belongs to.
    than t(x); then linked sets share an entry. Combinations keep the lists of passages and copies that a large share of the documents
    hold short.
 3. Exact copies (one digest of the set) are one class. In each list every class is first compared with the most ordinary one of its size
-   (the star round); components of those links are contracted. Further rounds compare classes of other components with one that is drawn
-   from each list, which joins large groups whose copies are far from the first one. After that classes of different components are compared,
-   list by list, lists of the same classes once, in blocks of bounded size. Parity bitmaps rule pairs out where they stand, so hardly any but
-   links leave a list.
+   (the star round); components of those links are contracted. Further rounds have several hubs in each list, each with the closest class
+   of every other component, which joins large groups whose copies are far from the first one. After that classes of different components
+   are compared, list by list, lists of the same classes once, in blocks of bounded size. Parity bitmaps rule pairs out where they stand, so
+   hardly any but links leave a list.
 4. Each candidate pair is verified on its texts.
 
 Rows without words have 0 n-grams, link to nothing and are their own component. A null id takes part like any other; it is never the
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.pairs import BITMAP, bitmap, compared
+from plumbline.llm.pairs import BITMAP, bitmap, compared, starred
 from plumbline.llm.tables import components, drop, free, written
 from plumbline.llm.texts import linked
 from plumbline.llm.words import Hasher, mix, per_text, shingles, slices, utf8
@@ -45,7 +45,7 @@ from plumbline.llm.words import Hasher, mix, per_text, shingles, slices, utf8
 COUNTERS, BLOCK = 1 << 18, 1 << 13
 #: Classes 2 and 3 hold n-grams that this share of the documents contains.
 SHARES = (0.01, 0.1)
-#: Rounds of drawn hubs at most; one that finds less than a tenth of the links of the one before is the last.
+#: Rounds of further hubs at most; one that finds less than a tenth of the links of the one before is the last.
 TURNS = 6
 
 
@@ -209,26 +209,30 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
     lists = written(held.join(several, "entry").select(F.col("entry").alias("bucket"), "c"))
     done = [held, near, first, label]
 
-    # The hub of the first round may be far from most copies of a large group. Other hubs, one of each size in each list and new ones in
-    # every turn, join such groups before all pairs are compared: a turn looks at each row of a list once.
-    before = 0
-    for turn in range(TURNS):
-        star = written(_stars(lists, classes, label, turn, percent))
+    # The hub of the first round may be far from most copies of a large group. Other hubs of each list, tried until its rows are near one,
+    # join such groups before all pairs are compared.
+    before, more_turns = first.count(), True
+    for turn in range(TURNS + 1):
+        named = written(_named(classes, label).select("c", "cls", "component", "n", "bits"))
+        sizes = lists.join(named.select("c", "component"), "c").groupBy("bucket")
+        sizes = sizes.agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high")
+        open_ = written(lists.join(sizes.select("bucket", "m"), "bucket"))
+        if turn == TURNS or not more_turns or not open_.head(1):
+            break
+        star = written(starred(open_.join(named, "c"), percent, turn).distinct())
         found = linked(star, plain, classes, k, percent)
-        done += [star, found]
+        drop(spark, star)
+        done.append(found)
         many = found.count()
-        if many:
-            label = written(components(_links(label).union(found)))
-            done.append(label)
-        if not many or 10 * many < before:
+        if not many:
             break
-        before = many
+        label = written(components(_links(label).union(found)))
+        done.append(label)
+        before, more_turns = many, 10 * many >= before
+        drop(spark, named)
+        drop(spark, open_)
 
     # Pairs of each list are compared by their parity bitmaps where they stand, so that hardly any but links leave it.
-    named = written(_named(classes, label).select("c", "cls", "component", "n", "bits"))
-    sizes = lists.join(named.select("c", "component"), "c").groupBy("bucket")
-    sizes = sizes.agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high")
-    open_ = written(lists.join(sizes.select("bucket", "m"), "bucket"))
     more = written(compared(open_.join(named, "c"), percent).distinct())
     second = linked(more, plain, classes, k, percent)
     final = components(_links(label).union(second)) if second.head(1) else label
@@ -281,19 +285,9 @@ def _links(label: DataFrame) -> DataFrame:
     return label.where("vertex <> component").select(F.col("vertex").alias("a"), F.col("component").alias("b"))
 
 
-def _stars(lists: DataFrame, classes: DataFrame, label: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Candidates (a, b): a class of each size in each list, drawn anew for every `turn`, and those of its size and other components."""
-    level = _level(F.col("n"), turn % 2 / 2)
-    posted = lists.join(_named(classes, label).select("c", "cls", "component", level.alias("level")), "c")
-    drawn = F.min(F.struct(F.xxhash64("c", "bucket", F.lit(turn)).alias("h"), "cls", "component")).alias("hub")
-    hubs = posted.groupBy("bucket", "level").agg(drawn)
-    star = posted.join(hubs, ["bucket", "level"]).where("component <> hub.component")
-    return _near(star.select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct(), classes, percent)
-
-
-def _level(n: Column, shift: float = 0.0) -> Column:
+def _level(n: Column) -> Column:
     """Size level: grows with the size, one step for a ninth more."""
-    return F.floor(F.log(n) / math.log(10 / 9) + shift).cast("int")
+    return F.floor(F.log(n) / math.log(10 / 9)).cast("int")
 
 
 def _fits(n: Column, m: Column, differ: Column, percent: int) -> Column:

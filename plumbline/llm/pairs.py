@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -85,6 +85,63 @@ def near_pairs(x: Classes, y: Classes | None, percent: int, agreeing: int = 0, b
             yield i, j
 
 
+def near_hubs(x: Classes, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of hubs, each with the closest candidate of every other component.
+
+    Hubs are the first row, then the first one that is a candidate of no hub yet, and so on, until all rows are.
+    """
+    free = np.ones(len(x.n), bool)
+    while free.any():
+        hub = int(free.argmax())
+        near = np.flatnonzero(100 * np.minimum(x.n, x.n[hub]) >= percent * np.maximum(x.n, x.n[hub]))
+        differ = np.bitwise_count(x.bits[near] ^ x.bits[hub]).sum(axis=1, dtype=np.int64)
+        fits = differ * (100 + percent) <= (x.n[near] + x.n[hub]) * (100 - percent)
+        near = near[fits][np.argsort(differ[fits], kind="stable")]
+        free[near] = False  # the hub is its own candidate
+        near = near[np.unique(x.component[near], return_index=True)[1]]
+        near = near[x.component[near] != x.component[hub]]
+        if len(near):
+            yield np.full(len(near), hub), near
+
+
+def starred(lists: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Candidates (a, b) of the hubs of each list, or of each part of a long one: a few for each row, so that large groups are joined.
+
+    Columns as for `compared`. Every `turn` has an order of all classes, so lists that share classes mostly have the same hubs.
+    """
+    key, order = ["bucket", "part"], F.xxhash64("c", F.lit(turn))
+    dealt = lists.withColumns({"part": F.pmod(F.xxhash64("c"), F.ceil(F.col("m") / PART)).cast("int"), "order": order})
+    dealt = dealt.select(*key, "order", "cls", "component", "n", "bits").repartition(*key).sortWithinPartitions(*key, "order")
+
+    def pairs(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        names = pa.concat_arrays(group.column("cls").chunks)
+        for i, j in near_hubs(Classes.of(group), percent):
+            yield pa.record_batch({"a": names.take(pa.array(i)), "b": names.take(pa.array(j))})
+
+    return dealt.mapInArrow(lambda batches: by_group(batches, key, pairs), "a binary, b binary")
+
+
+def by_group(batches: Iterator[pa.RecordBatch], key: list[str], made: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """What is `made` of each group of rows of the same key, which stand together."""
+    held: list[pa.RecordBatch] = []  # rows of the group that goes on in the next batch
+    last = None
+    for batch in batches:
+        columns = [batch.column(c).to_numpy() for c in key]
+        change = np.flatnonzero(np.any([np.diff(c) != 0 for c in columns], axis=0)) + 1
+        cuts = [0, *change.tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            now = tuple(c[a] for c in columns)
+            if now != last and held:
+                yield from made(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield from made(pa.Table.from_batches(held))
+
+
 def compared(lists: DataFrame, percent: int, agreeing: int = 0) -> DataFrame:
     """Candidates (a, b) among the classes of each list; a pair comes up once for each list, unless marks tell the first one.
 
@@ -106,23 +163,4 @@ def compared(lists: DataFrame, percent: int, agreeing: int = 0) -> DataFrame:
         for i, j in near_pairs(x, y, percent, agreeing, band):
             yield pa.record_batch({"a": names.take(pa.array(rows_x[i])), "b": names.take(pa.array(rows_y[j]))})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows of the group that goes on in the next batch
-        last = None
-        for batch in batches:
-            bucket, i, j = (batch.column(c).to_numpy() for c in key)
-            change = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-            cuts = [0, *change.tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                now = (bucket[a], i[a], j[a])
-                if now != last and held:
-                    yield from pairs(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = now
-        if held:
-            yield from pairs(pa.Table.from_batches(held))
-
-    return dealt.mapInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(lambda batches: by_group(batches, key, pairs), "a binary, b binary")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from plumbline.llm.words import Hasher, per_text, shingles, utf8
 
 #: Rows of (text name, class) that may be broadcast: about 50 bytes each.
 MOST_NAMES = 200_000
+#: Pairs that one task compares at least, if there are as many.
+PAIRS = 256
 #: Bytes of texts that are compared at once.
 COMPARED = 4 << 20
 
@@ -49,8 +52,9 @@ def texts_of(plain: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
 
 def linked(pairs: DataFrame, plain: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose whole sets link, as a written table."""
-    texts = written(texts_of(plain, classes, pairs))
-    p = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
+    tasks = math.ceil(pairs.count() / PAIRS) or 1
+    texts = written(texts_of(plain, classes, pairs).coalesce(tasks))
+    p = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").coalesce(tasks)
     p = p.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,6 +72,6 @@ def linked(pairs: DataFrame, plain: DataFrame, classes: DataFrame, k: int, perce
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
                 a = b
 
-    found = written(p.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary"))
+    found = written(p.select("a", "b", "text_a", "text_b").coalesce(tasks).mapInArrow(compare, "a binary, b binary"))
     drop(plain.sparkSession, texts)
     return found
