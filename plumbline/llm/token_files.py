@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import json
 import string
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +32,9 @@ from plumbline.llm.words import slices, utf8
 #: Bytes of raw ids in one block.
 BLOCK = 4 << 20
 #: Words whose ids a worker keeps.
-KEPT = 1_000_000
+KEPT = 2_000_000
+#: Counts of ids in one row.
+COUNTED = 1 << 13
 
 #: White space besides the space and the line feed.
 OTHER_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (0x0A, 0x20)]
@@ -82,8 +86,8 @@ class UnitEncoder:
     """Encodes texts word by word, keeping the ids of the words it has seen.
 
     For a byte-level tokenizer with the usual pre-token pattern, a single space or line feed between two other characters starts a new
-    pre-token, so words can be encoded apart; a word of letters behind a space is one pre-token, which goes straight to the tokenizer's
-    merges. Texts with other white space, or with an added token in them, and all texts of other tokenizers are encoded whole.
+    pre-token, so words can be encoded apart; a word of letters, with the space before it, is one pre-token, which goes straight to the
+    tokenizer's merges. Texts with other white space, or with an added token in them, and all texts of other tokenizers are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -99,18 +103,20 @@ class UnitEncoder:
         printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         self.letters = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
         self.first, self.spaced, self.lined = (_Words(self, gap) for gap in ("", " ", "\n"))
+        self.line = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def unit(self, gap: str, word: str) -> bytes:
-        if gap == " ":
-            stem = word.rstrip(SIGNS)
-            if stem.isalpha():
-                if len(stem) < len(word):  # the signs behind a word are one pre-token
-                    return self.spaced[stem] + self.first[word[len(stem) :]]
-                written = ("\u0120" + word) if word.isascii() else "\u0120" + word.encode().decode("latin-1").translate(self.letters)
-                return np.array([t.id for t in self.merges.tokenize(written)], "<u4").tobytes()
+        if word.isalpha():
+            if gap == "\n":  # a pre-token of its own
+                return self.line + self.first[word]
+            written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            return array("I", [t.id for t in self.merges.tokenize("\u0120" + written if gap else written)]).tobytes()
+        stem = word.rstrip(SIGNS)
+        if stem.isalpha():  # the signs behind a word are one pre-token
+            return {"": self.first, " ": self.spaced, "\n": self.lined}[gap][stem] + self.first[word[len(stem) :]]
         return self._whole(gap + word)
 
     def encode(self, text: str) -> bytes:
@@ -156,25 +162,26 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
                 at += int(n.sum())
                 made = {"part": part.column("part"), "at": pa.array(begin), "id": part.column("id"), "n": pa.array(n), "ids": ids}
                 yield pa.record_batch(made | {"counts": pa.nulls(len(ids), pa.binary())})
-        if at:  # a last row holds how often this task has met each id
-            none = {c: pa.nulls(1, x.type) for c, x in made.items()}
-            yield pa.record_batch(none | {"counts": pa.array([total.tobytes()], pa.binary())})
+        if at:  # last rows, numbered by `at`, hold how often this task has met each id
+            counts = [x.tobytes() for x in np.pad(total, (0, -len(total) % COUNTED)).reshape(-1, COUNTED)]
+            none = {c: pa.nulls(len(counts), x.type) for c, x in made.items()}
+            yield pa.record_batch(none | {"at": pa.array(range(len(counts)), pa.int64()), "counts": pa.array(counts, pa.binary())})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     dealt = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").select("id", "text", F.spark_partition_id().alias("part"))
     both = written(dealt.mapInArrow(encode, f"part int, at long, id {kind}, n long, ids binary, counts binary"))
     encoded = both.where("counts IS NULL").drop("counts")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for counts in batch.column("counts").to_pylist():
-                total = np.frombuffer(counts, np.int64)
-                some = np.flatnonzero(total)
-                yield pa.record_batch({"token": pa.array(some), "times": pa.array(total[some])})
-
-    # A row per id of the vocabulary and a row per range: both small whatever the number of documents.
-    times = both.select("counts").where("counts IS NOT NULL").mapInArrow(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
-    tokens = [r["token"] for r in sorted(times.collect(), key=lambda r: (-r["times"], r["token"]))]
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"at": pdf["at"].iloc[:1], "counts": [sum(np.frombuffer(x, np.int64) for x in pdf["counts"]).tobytes()]})
+
+    # Whole rows of counts are summed, in two steps, so that no group holds a row of every task; the vocabulary's size reaches the driver.
+    schema = "at long, counts binary"
+    counted = both.where("counts IS NOT NULL").select("at", "counts").groupBy("at", F.floor(F.spark_partition_id() / 64)).applyInPandas(add, schema)
+    counted = sorted(counted.groupBy("at").applyInPandas(add, schema).collect())
+    times = np.frombuffer(b"".join(r["counts"] for r in counted), np.int64) if counted else np.zeros(0, np.int64)
+    some = np.flatnonzero(times)
+    tokens = some[np.argsort(-times[some], kind="stable")].tolist()
     spark.createDataFrame(list(enumerate(tokens)), "rank long, token long").coalesce(1).write.parquet(f"{folder}/ranks")
     rank = np.zeros(max(tokens, default=0) + 1, np.uint32)
     rank[tokens] = np.arange(len(tokens), dtype=np.uint32)
